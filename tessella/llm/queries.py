@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, licenses, mixing, quality, secrets
+from tessella.llm import decontaminate, html_text, licenses, mixing, packing, quality, secrets
 from tessella.storage import table
 
 
@@ -14,6 +14,14 @@ def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("span_list")
 
@@ -32,4 +40,4 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scan, op7_quality_outliers, op8_license_scan, op9_source_mixing, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op3_token_packing, op4_secret_scan, op7_quality_outliers, op8_license_scan, op9_source_mixing, op10_benchmark_decontamination)}
