@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, html_text, licenses, mixing, near_dup, packing, quality, secrets
+from tessella.llm import decontaminate, html_text, language_model, licenses, mixing, near_dup, packing, quality, secrets
 from tessella.storage import table
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.find_classes(table(spark, sf_dir, "documents"))
 
@@ -44,4 +48,4 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_token_packing, op4_secret_scan, op6_near_duplicates, op7_quality_outliers, op8_license_scan, op9_source_mixing, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op3_token_packing, op4_secret_scan, op5_lm_score, op6_near_duplicates, op7_quality_outliers, op8_license_scan, op9_source_mixing, op10_benchmark_decontamination)}
