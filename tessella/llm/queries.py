@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontaminate, html_text, language_model, licenses, mixing, near_dup, packing, quality, secrets
+from tessella.llm import decontaminate, html_text, language_model, licenses, mixing, near_dup, packing, quality, secrets, suffix_dedup
 from tessella.storage import table
 
 
@@ -26,6 +26,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -48,4 +52,4 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_token_packing, op4_secret_scan, op5_lm_score, op6_near_duplicates, op7_quality_outliers, op8_license_scan, op9_source_mixing, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_suffix_dedup, op3_token_packing, op4_secret_scan, op5_lm_score, op6_near_duplicates, op7_quality_outliers, op8_license_scan, op9_source_mixing, op10_benchmark_decontamination)}
