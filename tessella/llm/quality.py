@@ -171,16 +171,34 @@ def consistency(share: float, p: int) -> float:
     return p / inner
 
 
-def score_outliers(documents: DataFrame, *, cutoff: float = CUTOFF, min_group: int = 200, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
-    """Counts, base_failed, squared distance, and kept for every document, beside the ``keep`` columns."""
-    counted = text_statistics(documents, keep).select("*", *features()).withColumn("levels", _levels())
-    counted = materialize(counted, "quality")
-    # Documents that the counted rules reject would widen the estimates.
+def _counted(documents: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    return text_statistics(documents, keep).select("*", *features()).withColumn("levels", _levels())
+
+
+def _fit_usable(counted: DataFrame, min_group: int) -> DataFrame:
+    """Estimates of groups that are large enough. Documents that the counted rules reject would widen them."""
     params = fit_mcd(counted.where(~base_failed()))
-    usable = params.where((F.col("total") >= min_group) | (F.col("level") == "[]"))
+    return params.where((F.col("total") >= min_group) | (F.col("level") == "[]"))
+
+
+def _judge(counted: DataFrame, usable: DataFrame, cutoff: float) -> DataFrame:
     for k, name in enumerate(("own", "language", "all")):
         own = usable.select(F.col("level").alias("key"), F.struct("center", "inverse").alias(name))
         counted = counted.join(own, F.col("levels")[k] == F.col("key"), "left").drop("key")
     best = F.coalesce("own", "language", "all")
     judged = counted.withColumn("center", best["center"]).withColumn("inverse", best["inverse"]).withColumn("distance", _distance()).withColumn("base_failed", base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cutoff))).drop("own", "language", "all", "center", "inverse", "levels", *FEATURES)
+
+
+def score_outliers(documents: DataFrame, *, cutoff: float = CUTOFF, min_group: int = 200, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
+    """Counts, base_failed, squared distance, and kept for every document, beside the ``keep`` columns."""
+    counted = materialize(_counted(documents, keep), "quality")
+    return _judge(counted, _fit_usable(counted, min_group), cutoff)
+
+
+def keep_good(documents: DataFrame, *, cutoff: float = CUTOFF, min_group: int = 200) -> DataFrame:
+    """Documents that are kept, columns as they are. Texts are read again instead of being shuffled or stored."""
+    counted = materialize(_counted(documents, ("lang", "source")), "quality")
+    rows = documents.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    judged = _judge(_counted(rows, ("lang", "source", "row")), _fit_usable(counted, min_group), cutoff)
+    return judged.where("kept").select("row.*")
