@@ -26,9 +26,13 @@ def mask(width: int) -> int:
 
 
 def little_endian(data: Column, width: int) -> Column:
-    """A binary of 1, 2, 4 or 8 bytes as a signed long."""
-    half = lambda x: F.conv(F.hex(F.reverse(x)), 16, 10).cast("long")
+    """A binary of 1, 2, 4 or 8 bytes as a signed long.
+
+    ``reverse`` would take the bytes for UTF-8 characters, so pairs of hexadecimal digits are reversed instead.
+    """
+    digits = F.hex(data)
+    number = lambda lo, hi: F.conv(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(lo, hi))]), 16, 10).cast("long")
     if width == 8:
-        return F.shiftleft(half(F.substring(data, 5, 4)), 32).bitwiseOR(half(F.substring(data, 1, 4)))
+        return F.shiftleft(number(4, 8), 32).bitwiseOR(number(0, 4))
     shift = 64 - 8 * width
-    return F.shiftright(F.shiftleft(half(data), shift), shift)
+    return F.shiftright(F.shiftleft(number(0, width), shift), shift)
