@@ -3,8 +3,8 @@
 The index is partitioned by document: a task turns its documents into postings ``(term, position)``, keeps those
 of terms that the benchmark uses, and answers every benchmark window from them. For a window, posting lists are
 intersected from the rarest term on, each list shifted by the term's offset in the window, so the cost of a window
-is the length of its shortest list. With ``slop`` > 0 the same walk also yields proximity matches: every term of
-the window stands within ``slop`` words of its place relative to the rarest one.
+is the length of its shortest list. With ``slop`` > 0 the same walk also yields proximity matches: there is a place in
+the document such that every term of the window stands within ``slop`` words of where it would stand from there.
 
 The benchmark is the stated query set. Its windows are packed on the driver in blocks of at most ``block_windows``
 windows; each block is a separate pass over the documents and passes are merged per document, so what is sent to
@@ -87,8 +87,8 @@ class PositionalIndex:
         key = self.keys[at_safe]
         return (at < len(self.keys)) & (key <= term * self.size + np.minimum(position + slop, self.size - 1)) & (position + slop >= 0)
 
-    def match(self, windows: Windows, doc: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, start position) of every match; with slop, the start is where the window would stand by its rarest term."""
+    def match(self, windows: Windows, doc: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, start position, position of its rarest term) of every match. A start of a proximity match may lie outside of the document."""
         width = windows.term.shape[1]
         inside = windows.term >= 0
         often = np.where(inside, self.frequency[np.maximum(windows.term, 0)], np.iinfo(np.int64).max)
@@ -101,6 +101,9 @@ class PositionalIndex:
         start = self.positions[ts.ranges(self.first[anchor], counts)] - np.repeat(rare, counts)
         n = len(doc)
         own = start + rare[window]
+        if slop:  # the rarest term itself may be off its place
+            shifts = np.arange(-slop, slop + 1)
+            window, own, start = np.repeat(window, len(shifts)), np.repeat(own, len(shifts)), (start[:, None] + shifts).reshape(-1)
         if not slop:
             end = start + windows.length[window] - 1
             keep = (start >= 0) & (end < n)
@@ -117,7 +120,7 @@ class PositionalIndex:
             if slop:  # a posting in a neighbouring document is no match
                 ok[used] &= self._same_document(term, place, own[used], doc, slop)
             window, start, own = window[ok], start[ok], own[ok]
-        return window, start
+        return window, start, own
 
     def _same_document(self, term: np.ndarray, place: np.ndarray, own: np.ndarray, doc: np.ndarray, slop: int) -> np.ndarray:
         found = np.zeros(len(term), dtype=bool)
@@ -141,7 +144,7 @@ def _scan(batches: Iterator[pa.RecordBatch], windows: Windows, slop: int) -> Ite
             exact: list[set[str]] = [set() for _ in range(len(chunk))]
             near: list[set[str]] = [set() for _ in range(len(chunk))]
             if len(index.positions):
-                window, start = index.match(windows, words.doc, 0)
+                window, start, _ = index.match(windows, words.doc, 0)
                 delta = np.zeros(len(words.doc) + 1, dtype=np.int64)
                 np.add.at(delta, start, 1)
                 np.add.at(delta, start + windows.length[window], -1)
@@ -156,9 +159,8 @@ def _scan(batches: Iterator[pa.RecordBatch], windows: Windows, slop: int) -> Ite
                 for w, d in set(zip(window.tolist(), words.doc[start].tolist(), strict=True)):
                     exact[d].update(windows.items[w])
                 if slop:
-                    window, start = index.match(windows, words.doc, slop)
-                    at = np.clip(start, 0, len(words.doc) - 1)
-                    for w, d in set(zip(window.tolist(), words.doc[at].tolist(), strict=True)):
+                    window, _, own = index.match(windows, words.doc, slop)
+                    for w, d in set(zip(window.tolist(), words.doc[own].tolist(), strict=True)):
                         near[d].update(windows.items[w])
             own = ids.slice(chunk.first, len(chunk))
             yield pa.RecordBatch.from_arrays([own.cast(pa.int64()), pa.array(words.count, pa.int64()), pa.array(spans, schema.field(2).type), pa.array([sorted(x) for x in exact], schema.field(3).type), pa.array([sorted(x | y) for x, y in zip(exact, near, strict=True)], schema.field(4).type)], schema=schema)

@@ -1,13 +1,13 @@
 """Mixing sources to target weights, exactly and repeatably, in DataFrame operations only.
 
-Every document gets a hash-random key. Its leading bits are a range of the key space, so (source, range) is a range
-partition of each source in key order. Token counts are summed per (source, range) - combined before the shuffle -
+Every document gets a hash-random key (the MD5 of seed and doc_id). Its leading digits are a range of the key space, so
+(source, range) is a range partition of each source in key order. Token counts are summed per (source, range) - combined before the shuffle -
 and a window over these few sums gives where each range starts in its source; a second window inside each range
 gives where each document starts. A document takes the part of the budget that falls on its interval, so each
 source is cut exactly at its budget. A budget of several epochs takes every document that many times and cuts the
 last epoch.
 
-A hot source is spread over ``ranges`` ranges, so no task holds a source. Only (source, range) sums and source
+A hot source is spread over 16 ** ``digits`` ranges, so no task holds a source. Only (source, range) sums and source
 totals are ever gathered by a key.
 
 Defined results: null text counts as empty (size 0, takes 0); null source is a source of its own, last in order;
@@ -50,15 +50,15 @@ def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, sh
     return ranked.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix_sources(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, ranges: int = 1024, seed: int = 17, size: F.Column | None = None, row: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def mix_sources(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, digits: int = 3, seed: int = 17, size: F.Column | None = None, row: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """For each row: the ``row`` columns, source, size, source_size, target, taken.
 
     ``size`` is the token count of a document, by default its words.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long") if size is None else size
-    key = F.xxhash64(F.lit(seed), "doc_id")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = documents.select(*row, "source", size.alias("size"), key.alias("key"))
-    sized = materialize(sized.withColumn("range", F.shiftrightunsigned("key", 32).cast("long") * ranges / 2.0**32).withColumn("range", F.floor("range").cast("int")), "mix")
+    sized = materialize(sized.withColumn("range", F.conv(F.substring("key", 1, digits), 16, 10).cast("int")), "mix")
     sums = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     sums = materialize(sums, "mix-sums")
     targets = source_targets(sums.select("source", F.col("range_size").alias("size")), weights=weights, share=share, most=most)
