@@ -15,6 +15,7 @@ def wrap32(x: Column) -> Column:
 
 def wrapping_add64(a: Column, b: Column) -> Column:
     """a + b modulo 2**64: the halves are added apart, so nothing overflows."""
+    a, b = a.cast("long"), b.cast("long")
     low = a.bitwiseAND(F.lit(LOW32)) + b.bitwiseAND(F.lit(LOW32))
     high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
     return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(LOW32)))
