@@ -80,7 +80,8 @@ def apply_mix(documents: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document once for each whole epoch, and once more if at least half of it is inside the
     budget of the last one (documents stay whole, so a source may miss its budget by half a document). Documents of
     size 0 take no budget and are left out. Rows are told apart by doc_id and a hash of the text."""
-    texted = documents.withColumn("mix_row", F.xxhash64("doc_id", "text"))
+    # Rows travel as one struct, so none of their columns clashes with those of the plan.
+    texted = documents.select("doc_id", "text", "source", F.xxhash64("doc_id", "text").alias("mix_row"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
     mixed = mix_sources(texted, row=("doc_id", "mix_row"), **options)
     copies = (F.col("epochs") + F.when(2 * F.col("last_epoch") >= F.col("size"), 1).otherwise(0)).cast("int")
     plan = mixed.where("size > 0").select(F.col("doc_id").alias("own_id"), F.col("mix_row").alias("own_row"), copies.alias("copies"), F.col("source").alias("own_source"))
@@ -88,4 +89,4 @@ def apply_mix(documents: DataFrame, **options) -> DataFrame:
     # All rows of a key are equal in id and text: the total of their copies is dealt evenly.
     joined = texted.join(plan, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mix_row") == F.col("own_row")) & F.col("source").eqNullSafe(F.col("own_source")))
     share = F.ceil(F.col("copies") / F.col("rows")).cast("int")
-    return joined.where(share > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1), share))).select(*documents.columns)
+    return joined.where(share > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1), share))).select("row.*")
