@@ -11,14 +11,16 @@ the latest slot of their document.
 Signatures are cut in bands. Identical texts are one node from the start (grouped by hash, so copies never meet).
 Documents that share a band are compared without forming all pairs of a band's bucket:
 
-1. every member with the bucket's least node, then in two more rounds with leaders drawn anew among buckets that
-   still hold several components;
-2. what is still apart: pairs of different components, except those that the triangle inequality of the Jaccard
-   distance to the bucket's first leader rules out.
+1. every member with the bucket's least node, then in two more rounds the members of other components with a leader
+   drawn from the bucket's least component, which is the group if there is one;
+2. documents whose buckets still hold several components get a second signature with longer bands (120 of 9: sharing
+   none has probability 3e-8 at similarity 0.8), which tell what only shares a passage apart. Along these bands a
+   document asks other components: it is verified against a single one, and compared with all such members of a larger
+   one block by block, over an inverted index. Only links become rows there.
 
-So every pair that shares a band is either verified, or already connected, or proven under the threshold; a large
-group of copies costs a few comparisons per member. At similarity 0.8 a pair shares no band with probability 3e-6
-(32 bands of 5 slots). Components come from ``components``; only counts reach the driver.
+So every pair of different components that shares bands is proven under the threshold; a large group of copies costs
+a few comparisons per member. At similarity 0.8 a pair shares no band with probability 3e-6 (32 bands of 5 slots).
+Components come from ``components``; only counts reach the driver.
 
 Defined results: texts without words (null, empty, white space) are in no class but their own; a doc_id stands for one
 document, so rows that repeat it share its class; rows without doc_id take the class of their text, named by a
@@ -31,7 +33,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ from tessella.storage import materialize
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
+FINER = (120, 9)  # bands and rows of the last round
+BLOCK = 1024  # documents of a component that are compared with so many others at once
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 MASK = (1 << 64) - 1
 
@@ -116,10 +119,10 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[
             doc, key, count, n = shingles(chunk)
             keys = band_keys(bag_minhash(doc, key, count, len(chunk), bands * rows), bands, rows)
             offsets = np.arange(len(chunk) + 1, dtype=np.int32) * bands
-            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))
-            ids, digest = batch.column(0).slice(chunk.first, len(chunk)), batch.column(1).slice(chunk.first, len(chunk))
-            has = pa.array(n > 0)
-            yield pa.RecordBatch.from_arrays([ids, pa.compute.if_else(has, digest, None), pa.array(n, pa.int64()), pa.compute.if_else(has, listed, None)], names=["doc_id", "digest", "n_shingles", "bands"])
+            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)), mask=pa.array(n == 0))
+            own = np.arange(chunk.first, chunk.first + len(chunk))
+            digest = batch.column(1).take(pa.array(own, mask=n == 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), digest, pa.array(n, pa.int64()), listed], names=["doc_id", "digest", "n_shingles", "bands"])
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +136,61 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit))], names=["node", "units"])
 
 
+def _sign_units(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """(node, comp, units) to a row per band: the units of a document are a set, so all counts are 1."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            piece = batch.slice(at, 256)
+            sizes = np.asarray(piece.column(2).value_lengths())
+            doc = np.repeat(np.arange(piece.num_rows), sizes)
+            key = ts.mix(np.asarray(piece.column(2).flatten()).astype(np.int64).view(np.uint64) + _SALT)
+            keys = band_keys(bag_minhash(doc, key, np.ones(len(doc), np.int64), piece.num_rows, bands * rows), bands, rows)
+            of = pa.array(np.repeat(np.arange(piece.num_rows), bands))
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(of), piece.column(1).take(of), pa.array(keys.reshape(-1))], names=["node", "comp", "key"])
+
+
+def overlaps(asking: pa.Table, members: pa.Table, threshold: float) -> pa.Table:
+    """Links between two lists of documents (node, units), by an inverted index of the members' units: the overlap of an
+    asking document with all members is one count over its postings."""
+    flat = lambda t: (np.asarray(t.column("node")), *_flat_units(t))
+    nodes, units, sizes = flat(members)
+    owner = np.repeat(np.arange(len(nodes)), sizes)
+    order = np.argsort(units, kind="stable")
+    units, owner = units[order], owner[order]
+    a, b = [], []
+    others, asked, own_sizes = flat(asking)
+    ends = np.cumsum(own_sizes)
+    for k, (end, n) in enumerate(zip(ends.tolist(), own_sizes.tolist(), strict=True)):
+        own = asked[end - n : end]
+        lo, hi = np.searchsorted(units, own), np.searchsorted(units, own, side="right")
+        both = np.bincount(owner[ts.ranges(lo, hi - lo)], minlength=len(nodes))
+        for hit in np.flatnonzero(both >= threshold * (n + sizes - both)).tolist():
+            a.append(int(others[k]))
+            b.append(int(nodes[hit]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _flat_units(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    lists = pa.concat_arrays(table.column("units").chunks) if table.num_rows else pa.array([], pa.list_(pa.int64()))
+    return np.asarray(lists.flatten()), np.asarray(lists.value_lengths()).astype(np.int64)
+
+
+def _ask(asks: DataFrame, members: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between documents and members of the components that they ask (node, asked), by exact overlap.
+
+    Both sides of a component are cut in blocks of about ``BLOCK`` documents, and every block meets every block of the
+    other side: no pair is a row unless it is a link, and no task holds a component.
+    """
+    sizes = [side.groupBy("asked").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name)) for side, name in ((asks, "rows"), (members, "columns"))]
+    shape = sizes[0].join(sizes[1], "asked")
+    number = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # toDF gives each side columns of its own.
+    left = asks.join(shape, "asked").select("asked", "node", number("rows").alias("row"), every("columns").alias("column")).join(units, "node").toDF("node", "asked", "row", "column", "units")
+    right = members.join(shape, "asked").select("asked", "node", every("rows").alias("row"), number("columns").alias("column")).join(units, "node").toDF("node", "asked", "row", "column", "units")
+    return left.groupBy("asked", "row", "column").cogroup(right.groupBy("asked", "row", "column")).applyInArrow(lambda x, y: overlaps(x, y, threshold), "a bigint, b bigint")
+
+
 def verify(pairs: DataFrame, units: DataFrame) -> DataFrame:
     """(a, b) to (a, b, jaccard) by exact multiset overlap."""
     left = units.select(F.col("node").alias("a"), F.col("units").alias("ua"))
@@ -142,10 +200,10 @@ def verify(pairs: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with their component."""
+    """Members of buckets that hold several components, with their component and the bucket's least one (``home``)."""
     named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return named.join(mixed, "key", "left_semi")
+    mixed = named.groupBy("key").agg(F.min("comp").alias("home"), F.max("comp").alias("last")).where("home <> last").select("key", "home")
+    return named.join(mixed, "key")
 
 
 def _apart(pairs: DataFrame, tested: DataFrame) -> DataFrame:
@@ -171,30 +229,31 @@ def find_classes(documents: DataFrame, *, threshold: float = THRESHOLD, bands: i
     units = materialize(texts.mapInArrow(_units, "node bigint, units array<bigint>"), "units")
 
     tested = materialize(verify(pairs, units), "tested")
-    first = tested
     comps = connected_components(tested.where(F.col("jaccard") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
     for turn in range(leader_rounds):
         open_ = materialize(_labelled(members.select("key", "node"), comps), "open")
-        # XOR with a hash of bucket and turn orders nodes anew, and gives the leader back.
-        shuffled = F.xxhash64("key", F.lit(turn))
-        drawn = open_.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(shuffled)).alias("least"))
-        chosen = drawn.select("key", F.col("least").bitwiseXOR(shuffled).alias("leader"))
-        leads = open_.join(chosen, "key").where("node <> leader").select("leader", "node", "comp")
-        lead_comp = comps.select(F.col("node").alias("leader"), F.col("component").alias("leader_component"))
-        cross = leads.join(lead_comp, "leader", "left").where(F.coalesce("leader_component", "leader") != F.col("comp"))
-        more = materialize(_apart(cross.select(F.col("leader").alias("a"), F.col("node").alias("b")), tested), "pairs")
+        # The bucket's least component gives the leader. XOR with a number of the turn orders nodes anew, in all buckets
+        # alike, so the members of a group get few leaders between them; XOR again gives the node back.
+        order = F.xxhash64(F.lit(turn))
+        drawn = open_.where("comp = home").groupBy("key").agg(F.min(F.col("node").bitwiseXOR(order)).alias("least"))
+        leads = open_.where("comp <> home").join(drawn, "key").select(F.col("least").bitwiseXOR(order).alias("a"), F.col("node").alias("b"))
+        more = materialize(_apart(leads, tested), "pairs")
         found = materialize(verify(more, units), "tested")
         tested = tested.unionByName(found)
         comps = connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found.where(F.col("jaccard") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
-    rest = _labelled(members, comps)
-    known = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("jaccard")).alias("far"))
-    rest = rest.join(known, ["leader", "node"], "left").where("node = leader or far is not null").select("key", "node", "comp", F.coalesce("far", F.lit(0.0)).alias("far"))
-    x, y = rest.alias("x"), rest.alias("y")
-    near = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - threshold + 1e-9
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & near)
-    more = materialize(_apart(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), tested), "pairs")
-    found = verify(more, units).where(F.col("jaccard") >= threshold)
+    # What is still apart: every document asks the lesser components that it shares a longer band with.
+    rest = materialize(_labelled(members.select("key", "node"), comps).select("node", "comp").distinct(), "rest")
+    finer = materialize(units.join(rest, "node").select("node", "comp", "units").mapInArrow(lambda b: _sign_units(b, *FINER), "node bigint, comp bigint, key bigint"), "finer")
+    there = finer.select("key", F.col("comp").alias("asked")).distinct()
+    asks = materialize(finer.join(there, "key").where("asked < comp").select("node", "asked").distinct(), "asks")
+    # A document that is a component of its own is compared as a pair, larger components block by block.
+    sizes = rest.groupBy(F.col("comp").alias("asked")).agg(F.count(F.lit(1)).alias("many"))
+    sized = asks.join(sizes, "asked")
+    pairs = _apart(sized.where("many = 1").select(F.col("asked").alias("a"), F.col("node").alias("b")), tested)
+    single = verify(pairs, units).where(F.col("jaccard") >= threshold).select("a", "b")
+    several = _ask(sized.where("many > 1").select("node", "asked"), rest.join(sizes.where("many > 1"), rest["comp"] == sizes["asked"]).select("node", "asked"), units, threshold)
+    found = materialize(single.unionByName(several), "found")
     comps = connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     named = nodes.join(comps, "node", "left").select(F.col("digest").alias("own_digest"), F.coalesce("component", "node").alias("class_id"))
@@ -204,5 +263,6 @@ def find_classes(documents: DataFrame, *, threshold: float = THRESHOLD, bands: i
 def drop_near_duplicates(documents: DataFrame, **options) -> DataFrame:
     """One document of each class (the one with the least doc_id); rows without a doc_id stay."""
     kept = find_classes(documents, **options).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = documents.join(kept, documents["doc_id"] == kept["kept_id"]).drop("kept_id").dropDuplicates(["doc_id"])
-    return one.unionByName(documents.where("doc_id is null"))
+    rows = documents.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    one = rows.join(kept, rows["doc_id"] == kept["kept_id"]).dropDuplicates(["doc_id"])
+    return one.select("row.*").unionByName(documents.where("doc_id is null"))
