@@ -8,6 +8,8 @@ order of its keys. Hot keys cost one entry per block; a part holds a bounded sha
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 
 import numpy as np
@@ -28,6 +30,16 @@ def block_of(n: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
+def released(work, *inputs):
+    """``work(*inputs)``, after which freed memory goes back to the system: workers live on between groups and stages, and
+    would hold the most that any of them needed."""
+    out = work(*inputs)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+    return out
+
+
 def cut(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where each part begins and ends in sorted keys: parts + 1 places."""
     edges = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64) if parts > 1 else np.zeros(0, np.uint64)

@@ -7,7 +7,8 @@ share the piece, so a document is a list of *runs* of strings with one fingerpri
 ``blocks``); runs whose fingerprint occurs once hold no repeated string and go no further.
 
 The other runs meet by fingerprint. Equal runs are one *segment* with its earliest place; all other places of it are
-repeats. Segments of a fingerprint that differ are written one after another, their suffix array is built by linear
+repeats. Segments of a fingerprint that differ are cut down to strings all of whose 32-byte pieces occur again among
+them; what is equal now is joined again, and what still differs is written one after another, their suffix array is built by linear
 grouping construction (``suffix_array``), and strings that are equal are neighbours in it (an exact comparison of
 neighbours follows); all but the earliest of each class are repeats. Repeats travel back to their documents as spans.
 
@@ -33,8 +34,10 @@ from tessella.llm import textscan as ts
 from tessella.llm.suffix_array import suffix_array
 
 PIECE = 32
-CHUNK = 2 << 20
-BATCH = 1 << 18  # bytes of segments in one suffix array; segments of one fingerprint stay together
+CHUNK = 1 << 19
+BLOCK_BYTES = 8 << 20
+PARTS_PER_BLOCK = 6
+BATCH = 1 << 16  # bytes of segments in one suffix array; segments of one fingerprint stay together
 REQUEST = "part int, level int, block int, keys binary, counts binary"
 ANSWER = "block int, part int, repeated binary"
 _SEGMENT_COLUMNS = ("fingerprints", "lengths", "data", "segment", "doc_id", "doc_hash", "row", "start")
@@ -109,12 +112,12 @@ def _segments(docs: pa.Table, answers: pa.Table, length: int, parts: int) -> pa.
     told = dict(zip(blocks.column(answers, "part"), blocks.column(answers, "repeated"), strict=True))
     again = np.concatenate([np.frombuffer(told[p], dtype=bool) for p in sorted(told)]) if told else np.zeros(0, bool)
     texts = blocks.single(docs, "text")
-    found = [f for _, f, *_ in _all_runs(texts, length)]
-    distinct = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    found = list(_all_runs(texts, length))
+    distinct = np.unique(np.concatenate([f for _, f, *_ in found])) if found else np.zeros(0, np.uint64)
     repeated = distinct[again]
     known: dict[tuple[int, bytes], int] = {}
     segment, row, start = [], [], []
-    for chunk, f, doc, at, n in _all_runs(texts, length):
+    for chunk, f, doc, at, n in found:
         where = np.searchsorted(repeated, f)
         where[where == len(repeated)] = 0
         keep = np.flatnonzero(repeated[where] == f) if len(repeated) else np.zeros(0, np.int64)
@@ -184,6 +187,41 @@ def _spans(segment: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndar
     return segment[first], offset[first], np.diff(np.append(first, len(segment)))
 
 
+def may_repeat(segments: list[bytes], group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings of segments all of whose pieces occur again in their group, as runs: segment, first offset, how many.
+
+    A string that occurs twice has pieces that do, so nothing is lost; strings across an edit or a unique surrounding
+    go, and what is left of the copies of a passage is equal.
+    """
+    sizes = np.array([len(x) for x in segments])
+    begin = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(segments), dtype=np.uint8)
+    h, base, m = ts.BYTE_VALUES[data], int(0x9E3779B97F4A7C15), 1
+    while m < PIECE:
+        h = h[:-m] * np.uint64(base) + h[m:]
+        base, m = base * base % (1 << 64), 2 * m
+    at = ts.ranges(begin, sizes - PIECE + 1)
+    key = h[at] ^ np.repeat(ts.mix(group.astype(np.uint64) + np.uint64(1)), sizes - PIECE + 1)
+    del h
+    ordered = np.sort(key)
+    often = ordered[1:][ordered[1:] == ordered[:-1]]
+    del ordered
+    often = often[np.append(True, often[1:] != often[:-1])] if len(often) else often
+    place = np.searchsorted(often, key)
+    place[place == len(often)] = 0
+    twice = np.zeros(len(data), dtype=bool)
+    if len(often):
+        twice[at[often[place] == key]] = True
+    del at, key, place
+    fits = sizes - length + 1
+    start = ts.ranges(begin, fits)
+    good = np.ones(len(start), dtype=bool)
+    for piece in (*range(0, length - PIECE, PIECE), length - PIECE):
+        good &= twice[start + piece]
+    which = np.repeat(np.arange(len(segments)), fits)
+    return _spans(which[good], (start - begin[which])[good])
+
+
 def _resolve(table: pa.Table, length: int) -> pa.Table:
     """A part's segments of all blocks: the repeated strings of each block, as (row, start, count)."""
     known: dict[tuple[int, bytes], int] = {}
@@ -202,37 +240,15 @@ def _resolve(table: pa.Table, length: int) -> pa.Table:
     doc = np.cumsum(new_doc)
     _, carrier = np.unique(segment, return_index=True)  # the first place of each segment in this order
     keys = list(known)
-    size = np.array([len(d) for _, d in keys])
-    count = size - length + 1
+    count = np.array([len(d) for _, d in keys]) - length + 1
     later = np.ones(len(segment), dtype=bool)
     later[carrier] = False
     flagged = [(np.flatnonzero(later), np.zeros(int(later.sum()), np.int64), count[segment[later]])]  # place, offset, how many
 
-    fingerprint = np.array([f for f, _ in keys], dtype=np.uint64)
-    by_print = np.argsort(fingerprint, kind="stable")
-    edges = np.append(np.flatnonzero(np.append(True, np.diff(fingerprint[by_print]) != 0)), len(by_print))
-    batch: list[int] = []
-    held = 0
-
-    def flush() -> None:
-        own = np.array(batch)
-        at = carrier[own]
-        which, offset = repeats_among([keys[i][1] for i in batch], doc[at], start[at], length)
-        which, offset, n = _spans(which, offset)
-        flagged.append((at[which], offset, n))
-
-    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        members = by_print[lo:hi].tolist()
-        if len(members) == 1:
-            continue
-        n = int(size[members].sum())
-        if batch and held + n > BATCH:
-            flush()
-            batch, held = [], 0
-        batch += members
-        held += n
-    if batch:
-        flush()
+    _, group, members = np.unique(np.array([f for f, _ in keys], dtype=np.uint64), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(members[group] > 1)
+    if len(several):
+        flagged += _among_groups([keys[i][1] for i in several.tolist()], group[several], carrier[several], doc, start, length)
     place, offset, n = (np.concatenate(x) for x in zip(*flagged, strict=True))
     block = np.array(blocks.column(table, "block"))
     out: dict[str, list] = {"block": [], "rows": [], "starts": [], "counts": []}
@@ -243,6 +259,53 @@ def _resolve(table: pa.Table, length: int) -> pa.Table:
     return pa.table(out, schema=pa.schema([("block", pa.int32()), ("rows", pa.binary()), ("starts", pa.binary()), ("counts", pa.binary())]))
 
 
+def _among_groups(data: list[bytes], group: np.ndarray, at: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int):
+    """Repeats among different segments of one fingerprint: (place, offset, how many).
+
+    ``at`` is the first place of each segment, ``doc`` and ``start`` tell the order of places.
+    """
+    which, offset, n = may_repeat(data, group, length)
+    rank = (doc[at[which]] << 32) + start[at[which]] + offset
+    order = np.argsort(rank, kind="stable")
+    which, offset, n = which[order], offset[order], n[order]
+    # What is left may be equal now: the earliest stays.
+    known: dict[tuple[int, bytes], int] = {}
+    first: list[int] = []
+    again: list[int] = []
+    for k, (g, i, b, c) in enumerate(zip(group[which].tolist(), which.tolist(), offset.tolist(), n.tolist(), strict=True)):
+        if known.setdefault((g, data[i][b : b + c + length - 1]), k) == k:
+            first.append(k)
+        else:
+            again.append(k)
+    yield at[which[again]], offset[again], n[again]
+
+    first_ = np.array(first, dtype=np.int64)
+    first_ = first_[np.argsort(group[which[first_]], kind="stable")]
+    texts = {k: d for (_, d), k in known.items()}
+    edges = np.flatnonzero(np.append(True, np.diff(group[which[first_]]) != 0)).tolist() + [len(first_)] if len(first_) else [0]
+    batch: list[int] = []
+    held = 0
+
+    def repeats() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = np.array(batch)
+        segment, inner = repeats_among([texts[k] for k in batch], doc[at[which[own]]], start[at[which[own]]] + offset[own], length)
+        segment, inner, many = _spans(segment, inner)
+        return at[which[own[segment]]], offset[own[segment]] + inner, many
+
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        members = first_[lo:hi].tolist()
+        if len(members) < 2:
+            continue
+        size = sum(len(texts[k]) for k in members)
+        if batch and held + size > BATCH:
+            yield repeats()
+            batch, held = [], 0
+        batch += members
+        held += size
+    if batch:
+        yield repeats()
+
+
 def _remove(docs: pa.Table, flags: pa.Table, length: int) -> pa.Table:
     docs = _ordered(docs)
     row, start, count = (np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x, dtype=np.int32) for x in blocks.column(flags, c))]).astype(np.int64) for c in ("rows", "starts", "counts"))
@@ -269,14 +332,16 @@ def _remove(docs: pa.Table, flags: pa.Table, length: int) -> pa.Table:
     return pa.table({"doc_id": docs.column("doc_id"), **out}, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
 
 
-def remove_repeats(documents: DataFrame, *, length: int = 100, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+def remove_repeats(documents: DataFrame, *, length: int = 100, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (bytes) of every document."""
     if length < 2 * PIECE:
         raise ValueError(f"length must be {2 * PIECE} at least")
     n = blocks.count_blocks(documents, block_bytes)
+    parts = PARTS_PER_BLOCK * n
     docs = documents.select(blocks.block_of(n, "doc_id", "text").alias("block"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), F.xxhash64("text").alias("doc_hash"), "text")
-    asked = docs.groupBy("block").applyInArrow(lambda t: _count(t, length, n), REQUEST)
-    told = asked.groupBy("part", "level").applyInArrow(_repeated, ANSWER)
-    found = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, a: _segments(d, a, length, n), SEGMENTS)
-    flags = found.groupBy("part").applyInArrow(lambda t: _resolve(t, length), FLAGS)
-    return docs.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(lambda d, f: _remove(d, f, length), RESULT)
+    asked = docs.groupBy("block").applyInArrow(lambda t: blocks.released(_count, t, length, parts), REQUEST)
+    told = asked.groupBy("part", "level").applyInArrow(lambda t: blocks.released(_repeated, t), ANSWER)
+    found = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, a: blocks.released(_segments, d, a, length, parts), SEGMENTS)
+    # As many partitions as parts: the work on a part is far more than its bytes tell.
+    flags = found.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: blocks.released(_resolve, t, length), FLAGS)
+    return docs.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(lambda d, f: blocks.released(_remove, d, f, length), RESULT)
