@@ -130,14 +130,17 @@ def test_components_equal_brute_force(spark):
     assert components.connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
-def test_keys_and_counts_survive_packing():
+def test_blocks_add_up():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 2, 50, 1000):
-        for top in (2**64, 2**20, 300):
-            keys = np.unique(rng.integers(0, top, n, dtype=np.uint64))
-            assert (blocks.unpack_keys(blocks.pack_keys(keys)) == keys).all()
-        counts = rng.integers(0, 100_000, n)
-        assert (blocks.unpack_counts(blocks.pack_counts(counts), n) == counts).all()
+    keys = [np.unique(rng.integers(0, 50, 20, dtype=np.uint64)) for _ in range(3)]
+    counts = [rng.integers(0, 9, len(k)).astype(np.uint32) for k in keys]
+    want = Counter()
+    for k, c in zip(keys, counts, strict=True):
+        for x, n in zip(k.tolist(), c.tolist(), strict=True):
+            want[x] += n
+    got, totals = blocks.add_up([k.tobytes() for k in keys], [c.tobytes() for c in counts])
+    assert all([want[x] for x in k.tolist()] == g.tolist() for k, g in zip(keys, got, strict=True))
+    assert totals.sum() == sum(want.values()) and len(totals) == len(want)
 
 
 # Mixing
