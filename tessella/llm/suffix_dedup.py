@@ -34,9 +34,9 @@ from tessella.llm import textscan as ts
 from tessella.llm.suffix_array import suffix_array
 
 PIECE = 32
-CHUNK = 1 << 19
-BLOCK_BYTES = 8 << 20
-PARTS_PER_BLOCK = 6
+CHUNK = 1 << 18
+BLOCK_BYTES = 4 << 20
+PARTS_PER_BLOCK = 3
 BATCH = 1 << 16  # bytes of segments in one suffix array; segments of one fingerprint stay together
 REQUEST = "part int, level int, block int, keys binary, counts binary"
 ANSWER = "block int, part int, repeated binary"
