@@ -33,6 +33,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("log_words", "word_length", "symbol_share", "dup_share", "repeat_share")
 #: Smallest standard deviation of each feature, so that a statistic that is constant in most documents does not make the determinant 0.
 FLOORS = (0.8, 0.35, 0.06, 0.12, 0.12)
+SALTS = 64
 #: The 0.9999 quantile of chi-squared with five degrees of freedom.
 CUTOFF = 25.745
 
@@ -141,7 +142,10 @@ def fit_mcd(vectors: DataFrame, *, share: float = 0.75, steps: int = 3) -> DataF
 
     ``vectors`` has FEATURES and ``levels``. ``share`` of each group stays in the concentration steps.
     """
-    rows = vectors.select(F.explode("levels").alias("level"), *FEATURES)
+    # A level may hold a third of all rows, and one holds them all: rows meet parameters by level and salt.
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt")
+    rows = vectors.select(salt, F.explode("levels").alias("level"), *FEATURES)
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     quart = rows.groupBy("level").agg(F.count(F.lit(1)).alias("total"), *[F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f) for f in FEATURES])
     zero = F.lit(0.0)
     spread = [F.lit(1.0) / (F.pow((F.col(f)[2] - F.col(f)[0]) / 1.349, F.lit(2.0)) + floor * floor) for f, floor in zip(FEATURES, FLOORS, strict=True)]
@@ -150,9 +154,9 @@ def fit_mcd(vectors: DataFrame, *, share: float = 0.75, steps: int = 3) -> DataF
     # Variance of the inner share of a standard normal vector of 5 dimensions, inverted: chi2 cdf ratio for the share kept.
     widen = consistency(share, len(FEATURES))
     for _ in range(steps):
-        measured = rows.join(params, "level").select("level", "total", *FEATURES, _distance().alias("distance"))
+        measured = rows.join(salted(params), ["level", "salt"]).select("level", "salt", "total", *FEATURES, _distance().alias("distance"))
         limit = measured.groupBy("level").agg(F.percentile_approx("distance", F.lit(share), 1000).alias("limit"))
-        inner = measured.join(limit, "level").where("distance <= limit")
+        inner = measured.join(salted(limit), ["level", "salt"]).where("distance <= limit")
         sums = [F.sum(f) for f in FEATURES]
         products = [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
         moments = inner.groupBy("level").agg(F.first("total").alias("total"), F.count(F.lit(1)).alias("n"), F.array(*sums).alias("sums"), F.array(*products).alias("products")).withColumn("widen", F.lit(widen))
