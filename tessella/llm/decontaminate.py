@@ -20,6 +20,7 @@ either table are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tessella.llm import textscan as ts
 
@@ -244,24 +246,44 @@ def _keyed(scan):
     return run
 
 
-def _filter(batches: Iterator[pa.RecordBatch], windows: Windows, min_items: int) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has windows of fewer than ``min_items`` items, all columns as they are."""
+def _filter(batches: Iterator[pa.RecordBatch], windows: Windows, min_items: int, single: int | None, last: bool) -> Iterator[pa.RecordBatch]:
+    """Rows that are not contaminated by this block and those before; the last column, items found so far, goes after the last block."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text"))
-        pair = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), texts], names=["doc_id", "text"])
-        keep = [len(x) < min_items for out in _scan(iter([pair]), windows, 0) for x in out.column(3).to_pylist()]
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, width: int = 8, min_items: int = 2, block_windows: int = 2_000_000) -> DataFrame:
-    """Documents without the contaminated ones; columns as they are. One block of windows: a narrow filter. More: an anti-join by doc_id (rows with a null doc_id stay)."""
-    blocks = benchmark_blocks(benchmark, width, block_windows)
-    first, second = next(blocks, None), next(blocks, None)
-    if first is None or not len(first.length) and second is None:
+        before = batch.column(batch.num_columns - 1).to_pylist()
+        keep, items, at = [], [], 0
+        for chunk in ts.chunks(batch.column(batch.schema.get_field_index("text"))):
+            words = chunk.lowered().words(ts.ALNUM_WORDS)
+            index = PositionalIndex(words, windows.terms)
+            found, alone = [set(x or ()) for x in before[at : at + len(chunk)]], np.zeros(len(chunk), dtype=bool)
+            at += len(chunk)
+            if len(index.positions):
+                window, _, own = index.match(windows, words.doc, 0)
+                for w, d in set(zip(window.tolist(), words.doc[own].tolist(), strict=True)):
+                    found[d].update(windows.items[w])
+                    alone[d] |= single is not None and bool(windows.items[w]) and windows.length[w] >= single
+            keep += [not one and len(x) < min_items for x, one in zip(found, alone.tolist(), strict=True)]
+            items += [sorted(x) for x in found]
+        columns, names = batch.columns[:-1], batch.schema.names[:-1]
+        if not last:
+            columns, names = [*columns, pa.array(items, pa.list_(pa.string()))], batch.schema.names
+        yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, width: int = 8, min_items: int = 2, single: int | None = None, block_windows: int = 2_000_000) -> DataFrame:
+    """Documents without the contaminated ones; columns as they are.
+
+    A document is contaminated by windows of ``min_items`` items or more, or by one window of ``single`` words or more.
+    Each block of windows is one more narrow filter, and a row carries the items that it has met: rows are judged one by one.
+    """
+    shared = documents.sparkSession.sparkContext
+    passes = [shared.broadcast(pickle.dumps(block)) for block in benchmark_blocks(benchmark, width, block_windows) if len(block.length)]
+    if not passes:
         return documents
-    if second is None:
-        held = documents.sparkSession.sparkContext.broadcast(pickle.dumps(first))
-        return documents.mapInArrow(lambda batches: _filter(batches, pickle.loads(held.value), min_items), documents.schema)
-    found = find_contamination(documents, benchmark, width=width, min_items=min_items, block_windows=block_windows)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return documents.join(bad, documents["doc_id"] == bad["bad_id"], "left_anti")
+    met = next(name for k in itertools.count() if (name := f"met_{k}") not in documents.columns)
+    plain = documents.schema
+    out = documents.withColumn(met, F.array().cast("array<string>"))
+    carried = StructType([*plain.fields, StructField(met, ArrayType(StringType()))])
+    for k, held in enumerate(passes, 1):
+        last = k == len(passes)
+        out = out.mapInArrow(lambda batches, held=held, last=last: _filter(batches, pickle.loads(held.value), min_items, single, last), plain if last else carried)
+    return out

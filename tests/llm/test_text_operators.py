@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from tessella.llm import decontaminate, html_text, language_model, license_rules, licenses, packing, quality, secrets, suffix_dedup
 from tessella.llm import textscan as ts
 from tessella.llm.suffix_array import suffix_array
@@ -118,6 +119,17 @@ def test_proximity_equals_brute_force(spark):
         assert found[i] == sorted(str(k) for k, q in items if near(text.split(), q.split()))
 
 
+@pytest.mark.parametrize("block_windows", [1 << 20, 1])
+def test_one_verbatim_item_is_enough_for_the_pipeline(spark, tmp_path, block_windows, monkeypatch):
+    items = [(1, "a b c d e f g h i j k"), (2, "l m n o p q r s"), (3, "two words")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    texts = ["x y A, b c d e f g h z", "x a b c d e f g x h", "say two words", "l m n o p q r s", None, "l m n o p q r and two words", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    drop = decontaminate.drop_contaminated
+    monkeypatch.setattr(decontaminate, "drop_contaminated", lambda *a, **k: drop(*a, **k, block_windows=block_windows))
+    assert sorted(r.doc_id for r in corpus_pipeline.decontamination(spark, docs, f"file://{tmp_path}").collect()) == [1, 2, 4, 5, 6]
+
+
 def test_contamination_of_and_by_nothing(edge, empty, bench, spark):
     none = spark.createDataFrame([], BENCH)
     assert decontaminate.find_contamination(empty, bench).count() == 0
