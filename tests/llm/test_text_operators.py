@@ -189,6 +189,15 @@ def test_outliers_equal_brute_force_and_spare_the_clean(spark):
     assert all(got[i].kept for i in range(300)) and not any(got[i].kept for i in range(300, 315))
 
 
+def test_words_far_from_their_group_are_outliers(spark):
+    rng = random.Random(8)
+    prose = lambda n, by=1: " ".join("".join(rng.choice("etaoins") for _ in range(rng.randint(2, 8))) * by for _ in range(n))
+    texts = [prose(rng.randint(60, 600)) for _ in range(300)] + [prose(n, 3) for n in (60, 200, 600)] + [prose(200).replace(" ", " | ", 12)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    kept = {r.doc_id: r.kept for r in quality.score_outliers(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 303)) and kept[303]
+
+
 def test_quality_of_nothing(empty, edge):
     assert quality.score_outliers(empty).count() == 0
     assert quality.keep_good(empty).count() == 0
