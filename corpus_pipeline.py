@@ -18,8 +18,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # A verbatim window of one benchmark item is enough; items shorter than a window still count from two on.
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), single=8)
+    # A window of one benchmark item, verbatim or within two words, is enough; items shorter than a window count from two on.
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), slop=2, single=8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -246,7 +246,7 @@ def _keyed(scan):
     return run
 
 
-def _filter(batches: Iterator[pa.RecordBatch], windows: Windows, min_items: int, single: int | None, last: bool) -> Iterator[pa.RecordBatch]:
+def _filter(batches: Iterator[pa.RecordBatch], windows: Windows, slop: int, min_items: int, single: int | None, last: bool) -> Iterator[pa.RecordBatch]:
     """Rows that are not contaminated by this block and those before; the last column, items found so far, goes after the last block."""
     for batch in batches:
         before = batch.column(batch.num_columns - 1).to_pylist()
@@ -257,7 +257,7 @@ def _filter(batches: Iterator[pa.RecordBatch], windows: Windows, min_items: int,
             found, alone = [set(x or ()) for x in before[at : at + len(chunk)]], np.zeros(len(chunk), dtype=bool)
             at += len(chunk)
             if len(index.positions):
-                window, _, own = index.match(windows, words.doc, 0)
+                window, _, own = index.match(windows, words.doc, slop)  # exact matches are among those of any slop
                 for w, d in set(zip(window.tolist(), words.doc[own].tolist(), strict=True)):
                     found[d].update(windows.items[w])
                     alone[d] |= single is not None and bool(windows.items[w]) and windows.length[w] >= single
@@ -269,10 +269,11 @@ def _filter(batches: Iterator[pa.RecordBatch], windows: Windows, min_items: int,
         yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, width: int = 8, min_items: int = 2, single: int | None = None, block_windows: int = 2_000_000) -> DataFrame:
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, width: int = 8, slop: int = 0, min_items: int = 2, single: int | None = None, block_windows: int = 2_000_000) -> DataFrame:
     """Documents without the contaminated ones; columns as they are.
 
-    A document is contaminated by windows of ``min_items`` items or more, or by one window of ``single`` words or more.
+    A document is contaminated by windows of ``min_items`` items or more, or by one window of ``single`` words or more,
+    each exactly or within ``slop``.
     Each block of windows is one more narrow filter, and a row carries the items that it has met: rows are judged one by one.
     """
     shared = documents.sparkSession.sparkContext
@@ -285,5 +286,5 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, width: int
     carried = StructType([*plain.fields, StructField(met, ArrayType(StringType()))])
     for k, held in enumerate(passes, 1):
         last = k == len(passes)
-        out = out.mapInArrow(lambda batches, held=held, last=last: _filter(batches, pickle.loads(held.value), min_items, single, last), plain if last else carried)
+        out = out.mapInArrow(lambda batches, held=held, last=last: _filter(batches, pickle.loads(held.value), slop, min_items, single, last), plain if last else carried)
     return out

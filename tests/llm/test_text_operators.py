@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tessella.llm import decontaminate, html_text, language_model, license_rules, licenses, packing, quality, secrets, suffix_dedup
+from tessella.llm import decontaminate, html_text, language_model, license_rules, licenses, packing, quality, queries, secrets, suffix_dedup
 from tessella.llm import textscan as ts
 from tessella.llm.suffix_array import suffix_array
 
@@ -123,13 +123,25 @@ def test_proximity_equals_brute_force(spark):
 def test_one_verbatim_item_is_enough_for_the_pipeline(spark, tmp_path, block_windows, monkeypatch):
     items = [(1, "a b c d e f g h i j k"), (2, "l m n o p q r s"), (3, "two words")]
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
-    texts = ["x y A, b c d e f g h z", "x a b c d e f g x h", "say two words", "l m n o p q r s", None, "l m n o p q r and two words", "plain"]
+    texts = ["x y A, b c d e f g h z", "x a b c d e f g x x x x x x h", "say two words", "l m n o p q r s", None, "l m n o p q r and two words", "plain"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     drop = decontaminate.drop_contaminated
     monkeypatch.setattr(decontaminate, "drop_contaminated", lambda *a, **k: drop(*a, **k, block_windows=block_windows))
     assert sorted(r.doc_id for r in corpus_pipeline.decontamination(spark, docs, f"file://{tmp_path}").collect()) == [1, 2, 4, 5, 6]
 
 
+def test_query_and_pipeline_find_proximity(spark, tmp_path):
+    items = [(1, "a b c d e f g h i j k l"), (2, "m n o p q r s t u v")]
+    texts = ["x a b c d x e f g h i x j k l z", "b a d c f e h g j i l k", "m n o p q x y z w v r s t u v", "plain words only and none else here", None]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op10_benchmark_decontamination(spark, f"file://{tmp_path}").collect()}
+    assert [got[i].n_near_items for i in range(5)] == [1, 1, 0, 0, 0]
+    assert [got[i].n_items for i in range(5)] == [0, 0, 0, 0, 0] and not any(r.contaminated for r in got.values())
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in corpus_pipeline.decontamination(spark, docs, f"file://{tmp_path}").collect()) == [2, 3, 4]
+
+
 def test_contamination_of_and_by_nothing(edge, empty, bench, spark):
     none = spark.createDataFrame([], BENCH)
     assert decontaminate.find_contamination(empty, bench).count() == 0
