@@ -1,8 +1,8 @@
 """Secret scan: fixed patterns, then a battery of randomness tests, in Catalyst expressions only.
 
-Candidates of the battery are runs of at least ``MIN_LENGTH`` letters, digits and ``+ / _ = -`` that mix digits with
-letters. For each the narrowest encoding that holds all its characters is inferred (hexadecimal, base 32, base 64),
-and three tests of the hypothesis "uniform over that alphabet" are taken on the symbols' places in it:
+Candidates of the battery are runs of at least ``MIN_LENGTH`` letters, digits and ``+ / _ = -`` that have a letter.
+For each the narrowest encoding that holds all its characters is inferred (``ENCODINGS``, from hexadecimal over letters,
+base 32, 36, 58 and 62 to base 64), and three tests of the hypothesis "uniform over that alphabet" are taken on the symbols' places in it:
 
 * chi-squared of the symbol counts (normal score by its mean and exact variance for that length);
 * runs above and below the middle of the alphabet (Wald-Wolfowitz);
@@ -11,7 +11,8 @@ and three tests of the hypothesis "uniform over that alphabet" are taken on the
 A token passes if no test rejects at ``REJECT`` (Bonferroni over the three). That alone would let short natural
 words through, so false discoveries are controlled too: under the hypothesis "natural text" a character costs
 ``NATURAL`` nats at least to stay in its class (lower case, upper case, digit, mark) and ``SWITCH`` more to change
-it, against ln(k) nats for a uniform symbol; the likelihood ratio bounds the p-value (Markov's inequality), and
+it, against ln(k) nats for a uniform symbol; in a run of letters alone a character costs what the letter (over all
+languages scanned) and its place after a vowel or consonant are worth (``letter_cost``); the likelihood ratio bounds the p-value (Markov's inequality), and
 Benjamini-Hochberg over the tokens of the document, weighted by their length, keeps the share of false discoveries
 under ``FDR``. Longer tokens reach smaller p-values and a larger weight.
 
@@ -23,6 +24,8 @@ Positions are code points, ends exclusive. The plan is a narrow projection of th
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +43,28 @@ REJECT, FDR = 0.001, 0.01
 NATURAL, SWITCH = 2.9, 3.0
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 HEXES = "0123456789abcdef"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: pattern | alphabet, the narrowest first
+ENCODINGS = (
+    ("^[0-9a-f]+$", HEXES),
+    ("^[0-9A-F]+$", HEXES.upper()),
+    ("^[a-z]+$", LETTERS),
+    ("^[A-Z]+$", LETTERS.upper()),
+    ("^[A-Z2-7]+$", BASE32),
+    ("^[a-z2-7]+$", BASE32.lower()),
+    ("^[a-z0-9]+$", LETTERS + "0123456789"),
+    ("^[A-Z0-9]+$", LETTERS.upper() + "0123456789"),
+    ("^[A-Za-z]+$", LETTERS.upper() + LETTERS),
+    ("^[1-9A-HJ-NP-Za-km-z]+$", BASE58),
+    ("^[A-Za-z0-9]+$", LETTERS.upper() + LETTERS + "0123456789"),
+)
+#: Letters of natural text in per mille: the most of English, German, Spanish and French.
+FREQUENCY = dict(zip(LETTERS, (125, 19, 47, 59, 174, 22, 30, 61, 76, 6, 14, 55, 32, 98, 87, 30, 14, 70, 80, 91, 63, 16, 24, 4, 20, 11), strict=True))
+VOWELS = "aeiouy"
+#: Nats of a vowel or consonant (first letter of the key) by what it follows (second) in natural text.
+FOLLOWS = {"VC": -math.log(0.62), "CC": -math.log(0.38), "VV": -math.log(0.2), "CV": -math.log(0.8)}
 SPAN = "array<struct<start:int,kind_order:int,stop:int,kind:string>>"
 KINDS = ("assign", "access", "hex", "random")
 
@@ -69,23 +93,33 @@ def normal_tail(z: Column) -> Column:
 
 
 def encoding_of(token: Column) -> Column:
-    """The narrowest alphabet that holds the token; url-safe marks and lower case are folded first."""
-    return (
-        F.when(token.rlike("^[0-9a-f]+$"), F.lit(HEXES))
-        .when(token.rlike("^[0-9A-F]+$"), F.lit(HEXES.upper()))
-        .when(token.rlike("^[A-Z2-7]+=*$"), F.lit(BASE32))
-        .otherwise(F.lit(BASE64))
-    )
+    """The narrowest alphabet that holds the token, of which padding is cut off and url-safe marks are folded."""
+    out = F.lit(BASE64)
+    for pattern, alphabet in reversed(ENCODINGS):
+        out = F.when(token.rlike(pattern), F.lit(alphabet)).otherwise(out)
+    return out
+
+
+def letter_cost(token: Column) -> Column:
+    """Nats of a run of letters as natural text: each letter within vowels or consonants, and which of the two follows which."""
+    total = {v: sum(f for c, f in FREQUENCY.items() if (c in VOWELS) == v) for v in (True, False)}
+    cost = F.array(*[F.lit(-math.log(f / total[c in VOWELS])) for c, f in FREQUENCY.items()])
+    lower = F.lower(token)
+    letters = _sum(F.transform(F.filter(F.split(lower, ""), lambda c: c != ""), lambda c: F.element_at(cost, F.instr(F.lit(LETTERS), c))))
+    vowel = F.transform(F.filter(F.split(lower, ""), lambda c: c != ""), lambda c: F.instr(F.lit(VOWELS), c) > 0)
+    pairs = F.arrays_zip(F.slice(vowel, 1, F.size(vowel) - 1).alias("a"), F.slice(vowel, 2, F.size(vowel) - 1).alias("b"))
+    after = lambda p: F.when(p["a"] & p["b"], FOLLOWS["VV"]).when(p["a"], FOLLOWS["CV"]).when(p["b"], FOLLOWS["VC"]).otherwise(FOLLOWS["CC"])
+    return letters + _sum(F.transform(pairs, after))
 
 
 def measured(token: Column) -> Column:
     """The battery's numbers for one token: n, z scores of the three tests, and ln of the likelihood ratio."""
     folded = F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
-    alphabet = encoding_of(token)
+    alphabet = encoding_of(folded)
     k = F.length(alphabet).cast("double")
     chars = F.filter(F.split(folded, ""), lambda c: c != "")
     place = F.transform(chars, lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-    return F.struct(place.alias("place"), k.alias("k"), F.length(folded).cast("double").alias("n"), switches(folded).alias("switches"))
+    return F.struct(place.alias("place"), k.alias("k"), F.length(folded).cast("double").alias("n"), switches(folded).alias("switches"), F.when(folded.rlike("^[A-Za-z]+$"), letter_cost(folded)).otherwise(F.length(folded) * NATURAL).alias("natural"))
 
 
 def switches(token: Column) -> Column:
@@ -120,7 +154,7 @@ def battery(m: Column) -> Column:
     z_serial = F.when(energy > 0, serial / F.greatest(energy, F.lit(1e-9)) * F.sqrt(n)).otherwise(99.0)
     # Only too many repeats speak against a key; too even a spread does not make a token natural.
     p = 3.0 * F.least(F.when(chi > 0, normal_tail(chi)).otherwise(1.0), normal_tail(z_runs), normal_tail(z_serial))
-    log_natural = n * F.log(k) - n * NATURAL - m["switches"] * SWITCH
+    log_natural = n * F.log(k) - m["natural"] - m["switches"] * SWITCH
     return F.struct(n.alias("n"), F.least(p, F.lit(1.0)).alias("p_random"), F.least(log_natural, F.lit(0.0)).alias("log_natural"))
 
 
@@ -130,7 +164,7 @@ def with_random(found: DataFrame) -> DataFrame:
     Each step is a column of its own, used more than once, so that no lambda computes it again per token.
     """
     text, none = F.col("text"), F.array().cast(SPAN)
-    mixed = F.filter(_found(text, TOKEN, text.rlike("[0-9]")), lambda m: m["found"].rlike("[0-9]") & m["found"].rlike("[A-Za-z]") & (F.length(F.regexp_replace(m["found"], "=+$", "")) >= MIN_LENGTH))
+    mixed = F.filter(_found(text, TOKEN, F.lit(True)), lambda m: m["found"].rlike("[A-Za-z]") & (F.length(F.regexp_replace(m["found"], "=+$", "")) >= MIN_LENGTH))
     rated = F.transform(F.transform("mixed", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), measured(m["found"]).alias("m"))), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), battery(r["m"]).alias("b")))
     found = found.withColumn("mixed", mixed).withColumn("rated", F.when(F.size("mixed") > 0, rated))
     count = F.size("rated").cast("double")

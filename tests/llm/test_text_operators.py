@@ -256,6 +256,18 @@ def test_battery_finds_random_keys_and_leaves_words(spark):
     assert rows[0][1][int(spans[1]) : int(spans[2])] == keys[0]
 
 
+def test_battery_finds_keys_over_narrow_alphabets_and_leaves_words(spark):
+    rng = random.Random(12)
+    low, digits = secrets.LETTERS, "0123456789"
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a in (low + digits, low.upper() + digits, low, low.upper(), low + low.upper(), secrets.BASE58) for n in (40, 64, 128) for _ in range(8)]
+    natural = ["donaudampfschifffahrtsgesellschaft", "internationalization", "getUserAccountInformationFromDatabase", "some/path/to/a/library/file", "well-known-and-often-used-words", "ELECTROENCEPHALOGRAPHICALLY", "abcdefghijklmnopqrstuvwxyz", "a" * 40, "anticonstitutionnellement", "-" * 30 + "a", "XMLHttpRequestEventTargetListener"]
+    rows = [(i, f"see {t} there") for i, t in enumerate(keys + natural)]
+    found = {r.doc_id: r.n_random for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for k in range(0, len(keys), 24):
+        assert sum(found[i] for i in range(k, k + 24)) >= 20
+    assert not any(found[i] for i in range(len(keys), len(rows)))
+
+
 def test_secrets_of_nothing(empty):
     assert secrets.scan_secrets(empty).count() == 0
 
