@@ -136,11 +136,133 @@ noncommercial | noncommercial | 3 | for? noncommercial use only
 #: priority | template: how a text grants a license; NAME stands for the name's template
 FORMS = """
 1 | (licensed|released|distributed|available|published|provided|shared) under the? terms? of? the? NAME
-1 | spdx (license|licence) identifier NAME
 2 | subject to the? terms? of? the? NAME
 3 | NAME
 """
 
+#: label | short identifiers with a version or clause, which name a license by themselves; gate: the first word
+VERSIONED = """
+apache-1.0 | apache 1 0
+apache-1.1 | apache 1 1
+apache-2.0 | apache 2 0
+apache-2.0 | apache v2 0?
+mpl-1.1 | mpl 1 1
+mpl-2.0 | mpl 2 0
+epl-1.0 | epl 1 0
+epl-2.0 | epl 2 0
+gpl-1.0 | gpl 1 0
+gpl-2.0 | gpl 2 0
+gpl-2.0 | gpl v2
+gpl-3.0 | gpl 3 0
+gpl-3.0 | gpl v3
+lgpl-2.0 | lgpl 2 0
+lgpl-2.1 | lgpl 2 1
+lgpl-2.1 | lgpl v2 1
+lgpl-2.1 | lgplv2 1
+lgpl-3.0 | lgpl 3 0
+lgpl-3.0 | lgpl v3
+lgpl-3.0 | lgplv3
+agpl-3.0 | agpl 3 0
+agpl-3.0 | agpl v3
+agpl-3.0 | agplv3
+gfdl-1.1 | gfdl 1 1
+gfdl-1.2 | gfdl 1 2
+gfdl-1.3 | gfdl 1 3
+bsd-1-clause | bsd 1 clause
+cddl-1.0 | cddl 1 0
+cddl-1.1 | cddl 1 1
+eupl-1.1 | eupl 1 1
+eupl-1.2 | eupl 1 2
+boost-1.0 | bsl 1 0
+bsl-1.1 | busl 1 1
+ofl-1.1 | ofl 1 1
+afl-3.0 | afl 3 0
+osl-3.0 | osl 3 0
+qpl-1.0 | qpl 1 0
+vsl-1.0 | vsl 1 0
+sspl-1.0 | sspl 1 0
+odbl-1.0 | odbl 1 0
+pddl-1.0 | pddl 1 0
+upl-1.0 | upl 1 0
+ecl-2.0 | ecl 2 0
+psf-2.0 | psf 2 0
+blueoak-1.0.0 | blueoak 1 0 0
+"""
+
+#: label | short identifiers that are ordinary words too and only name a license in an SPDX line or a grant
+SHORT = """
+mit | mit
+mit | x11
+mit-0 | mit 0
+apache | apache
+isc | isc
+zlib | zlib
+0bsd | 0bsd
+bsd | bsd
+bsd-2-clause | bsd 2 clause
+bsd-3-clause | bsd 3 clause
+bsd-4-clause | bsd 4 clause
+gpl | gpl
+lgpl | lgpl
+agpl | agpl
+gfdl | gfdl
+mpl | mpl
+epl | epl
+cddl | cddl
+eupl | eupl
+unlicense | unlicense
+wtfpl | wtfpl
+cc0-1.0 | cc0
+cc-by | cc by
+cc-by-3.0 | cc by 3 0
+cc-by-4.0 | cc by 4 0
+cc-by-sa | cc by sa
+cc-by-sa-3.0 | cc by sa 3 0
+cc-by-sa-4.0 | cc by sa 4 0
+cc-by-nd | cc by nd
+cc-by-nc | cc by nc
+cc-by-nc-sa | cc by nc sa
+cc-by-nc-nd | cc by nc nd
+ms-pl | ms pl
+ms-rl | ms rl
+ncsa | ncsa
+openssl | openssl
+postgresql | postgresql
+"""
+
+#: label | identifiers for SPDX lines alone
+SPDX = """
+artistic-1.0 | artistic 1 0
+artistic-2.0 | artistic 2 0
+elastic-2.0 | elastic 2 0
+python-2.0 | python 2 0
+php-3.01 | php 3 01
+php-3.0 | php 3 0
+ruby | ruby
+w3c | w3c
+naist | naist 2003
+curl | curl
+vim | vim
+hpnd | hpnd
+ntp | ntp
+ijg | ijg
+freetype | ftl
+unicode | unicode dfs 2016
+unicode | unicode 3 0
+libpng-2.0 | libpng 2 0
+"""
+
+#: The second license of an expression such as "Apache-2.0 OR MIT", where it is an ordinary word.
+OPERANDS = "(mit|isc|zlib|unlicense|0bsd|0|1|clause|only|later) (or|and)"
+GRANT = FORMS.strip().splitlines()[0].split(" | ")[1]
+#: tables | priority | template | gate: how short identifiers stand in texts; empty: the first word of the identifier
+SHORT_FORMS = (
+    ((VERSIONED, SHORT, SPDX), 1, "spdx (license|licence) identifier NAME", "spdx"),
+    ((VERSIONED, SHORT), 1, GRANT, ""),
+    ((VERSIONED, SHORT), 2, "NAME licensed", "licensed"),
+    ((VERSIONED,), 3, "NAME", ""),
+)
+
 CONFIDENCE = {1: 0.95, 2: 0.9, 3: 0.75, 4: 0.4}
 
 
@@ -168,4 +290,7 @@ def rules() -> list[Rule]:
     out = [Rule(gate, compile_template(template), int(p), label, CONFIDENCE[int(p)]) for label, gate, p, template in split(NOTICES)]
     for p, form in split(FORMS):
         out += [Rule(gate, compile_template(form.replace("NAME", name)), int(p), label, CONFIDENCE[int(p)]) for label, gate, name in (x[:2] + [" | ".join(x[2:])] for x in split(NAMES))]
+    for tables, p, form, gate in SHORT_FORMS:
+        out += [Rule(gate or name.split()[0], compile_template(form.replace("NAME", name)), p, label, CONFIDENCE[p]) for text in tables for label, name in split(text)]
+    out += [Rule(name, compile_template(f"{OPERANDS} {name}"), 4, name, CONFIDENCE[4]) for name in ("mit", "isc", "zlib", "unlicense", "0bsd")]
     return list(dict.fromkeys(out))

@@ -315,6 +315,16 @@ def test_labels(spark, text, labels):
     assert row.labels == labels and 0 <= row.score <= 1 and (row.score > 0) == bool(labels)
 
 
+def test_short_identifiers(spark):
+    spdx = {"MIT": "mit", "Apache-2.0": "apache-2.0", "ISC": "isc", "MPL-2.0": "mpl-2.0", "EPL-2.0": "epl-2.0", "Zlib": "zlib", "GPL-2.0-or-later": "gpl-2.0", "LGPL-2.1-only": "lgpl-2.1", "AGPL-3.0-only": "agpl-3.0", "BSD-2-Clause": "bsd-2-clause", "0BSD": "0bsd", "MIT-0": "mit-0", "BSL-1.0": "boost-1.0", "Unlicense": "unlicense", "PHP-3.01": "php-3.01", "MIT OR Apache-2.0": "apache-2.0,mit", "Apache-2.0 OR MIT": "apache-2.0,mit"}
+    want = {f"// SPDX-License-Identifier: {k}\nint x;": v for k, v in spdx.items()}
+    want |= {"Licensed under MIT": "mit", "the code is MIT licensed": "mit", "Licensed under Apache 2.0.": "apache-2.0", "released under the terms of the GPL": "gpl", "Apache-2.0 licensed": "apache-2.0", "Licensed under the BSD 3-Clause": "bsd-3-clause"}
+    want |= {"wir kommen mit dem Zug": "", "licensed drivers with ruby rings and python": "", "version 2 0 and ruby": "", "mit 0 Fehlern": ""}
+    texts = list(want)
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert {t: got[i] for i, t in enumerate(texts)} == want
+
+
 def test_licenses_of_nothing(empty):
     assert licenses.scan_licenses(empty).count() == 0
 
