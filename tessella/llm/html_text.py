@@ -5,8 +5,9 @@ definition terms, options, rows, cells and row groups close their like; an end t
 element and is ignored without one). The tree is then laid out: white space collapses inside inline text, blocks
 start lines, paragraphs and the like are set off by an empty line, list items carry a bullet or their number and are
 indented by depth, table rows are lines whose cells are padded to common column widths, preformatted text stays as
-it is. Everything that a browser would show as text is emitted; scripts, styles, templates, comments, metadata and
-elements hidden by attribute or inline style are not.
+it is. Everything that a browser would show as text is emitted; scripts, styles, templates, comments, metadata (of
+formulas and drawings too), media, the fallback of objects and elements hidden by attribute or inline style are not.
+Formulas (math) and drawings (svg) are inline text in document order.
 
 Both passes use explicit stacks, so depth is bounded by memory alone, and the extraction of a page touches only that
 page: the plan is one narrow Arrow stage.
@@ -32,7 +33,9 @@ _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|colla
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-INVISIBLE = frozenset("head script style template title meta link noscript iframe object noembed noframes datalist audio video canvas svg math".split())
+INVISIBLE = frozenset("head script style template title meta link noscript iframe object noembed noframes datalist audio video canvas".split())
+#: Inside svg and math: what is never painted.
+UNPAINTED = frozenset("title desc metadata defs symbol clippath mask pattern marker annotation annotation-xml".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript head html".split())
 BLOCK = frozenset("address article aside body center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr html legend li main menu nav optgroup option search section summary table tbody thead tfoot tr td th caption ul ol p pre blockquote h1 h2 h3 h4 h5 h6 listing xmp".split())
 SPACED = frozenset("p pre blockquote ul ol dl table h1 h2 h3 h4 h5 h6 figure fieldset menu dir listing xmp".split())
@@ -59,11 +62,12 @@ WIDEST = 40  # columns are padded to this at most, so one long cell does not blo
 
 
 class Node:
-    __slots__ = ("tag", "children", "attrs", "hidden")
+    __slots__ = ("tag", "children", "attrs", "hidden", "foreign")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
+    def __init__(self, tag: str, attrs: dict[str, str], foreign: bool = False):
+        self.foreign = foreign or tag in ("svg", "math")
         self.tag, self.attrs, self.children = tag, attrs, []
-        self.hidden = tag in INVISIBLE or bool(attrs) and ("hidden" in attrs or bool(_HIDDEN_STYLE.search(attrs.get("style", ""))) or tag == "input")
+        self.hidden = tag in INVISIBLE or foreign and tag in UNPAINTED or bool(attrs) and ("hidden" in attrs or bool(_HIDDEN_STYLE.search(attrs.get("style", ""))) or tag == "input")
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -114,11 +118,12 @@ class TreeBuilder:
         if tag in ("td", "th") and self.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self._open("tr", {})
         self._open(tag, attrs)
-        if tag in VOID or closed and tag in ("svg", "math"):
+        if tag in VOID or closed and self.stack[-1].foreign:
             self.stack.pop()
 
     def _open(self, tag: str, attrs: dict[str, str]) -> None:
-        node = Node(tag, attrs)
+        parent = self.stack[-1]
+        node = Node(tag, attrs, parent.foreign and parent.tag != "foreignobject")
         self.stack[-1].children.append(node)
         self.stack.append(node)
 
@@ -285,6 +290,8 @@ def render(root: Node) -> str:
         what, x = todo.pop()
         if what == "out":
             tag = x.tag
+            if x.foreign and tag == "text":
+                out.inline(" ")
             if tag in ("pre", "listing", "xmp", "textarea"):
                 pre -= 1
             if tag in ("ul", "ol", "menu", "dir") and lists:
@@ -300,6 +307,8 @@ def render(root: Node) -> str:
         if x.hidden:
             continue
         tag = x.tag
+        if x.foreign and tag == "text":  # each stands in a place of its own
+            out.inline(" ")
         if tag == "br":
             if not out.current:
                 out._word("")

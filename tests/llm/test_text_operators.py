@@ -459,6 +459,20 @@ def test_pages(page, text):
     assert html_text.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>If <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1 tex</annotation></semantics></math> then", "If x=1 then"),
+        ("<p>a<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><path d='M0'/><text>Sales</text><text>2024</text></svg>b", "a Sales 2024 b"),
+        ("<svg><defs/><g><text>x</text></g></svg><p>after", "x\n\nafter"),
+        ("<svg><foreignObject><p>in</p></foreignObject></svg>", "in"),
+        ("<desc>shown</desc>", "shown"),
+    ],
+)
+def test_formulas_and_drawings(page, text):
+    assert html_text.extract(page) == text
+
+
 def test_deep_and_long_pages():
     assert html_text.extract("<div>" * 20_000 + "x") == "x"
     assert html_text.extract('<a href="' * 2000 + "x") is not None
