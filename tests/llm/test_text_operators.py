@@ -130,6 +130,15 @@ def test_one_verbatim_item_is_enough_for_the_pipeline(spark, tmp_path, block_win
     assert sorted(r.doc_id for r in corpus_pipeline.decontamination(spark, docs, f"file://{tmp_path}").collect()) == [1, 2, 4, 5, 6]
 
 
+@pytest.mark.parametrize("block_windows", [1 << 20, 1])
+def test_rows_are_judged_one_by_one_at_any_size(spark, block_windows):
+    bench = spark.createDataFrame([(1, "a b c d e f g h"), (2, "m n o p q r s t")], "item_id bigint, text string")
+    bad = "a b c d e f g h m n o p q r s t"
+    docs = spark.createDataFrame([(None, bad), (1, bad), (1, "clean"), (None, "clean too"), (2, None)], "doc_id bigint, text string")
+    left = decontaminate.drop_contaminated(docs, bench, block_windows=block_windows).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter([(1, "clean"), (None, "clean too"), (2, None)])
+
+
 def test_query_and_pipeline_find_proximity(spark, tmp_path):
     items = [(1, "a b c d e f g h i j k l"), (2, "m n o p q r s t u v")]
     texts = ["x a b c d x e f g h i x j k l z", "b a d c f e h g j i l k", "m n o p q x y z w v r s t u v", "plain words only and none else here", None]
