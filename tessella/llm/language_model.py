@@ -1,15 +1,15 @@
-"""Language-model scores from a weighted backoff automaton.
+"""Language-model scores with the weights of a backoff automaton, computed by array look-ups.
 
 Training counts of n-grams (order 2 by default) are smoothed toward the next lower order with a Dirichlet prior of
 weight ``prior``: p(w | context) = (n(context w) + prior p(w | shorter context)) / (n(context) + prior), down to an
 add-0.1 unigram model with one unknown word, so the probabilities of all words after any context sum to one. In
 backoff form a seen n-gram is an arc with its log-probability, and a context is a state whose failure arc, of weight
-log(prior / (n(context) + prior)), leads to the context without its first word. A text is scored in one pass from
-left to right: at each token the state's arc is taken if there is one, else failure arcs are followed and their
-weights added until there is, and the next state is the longest context that the automaton knows.
+log(prior / (n(context) + prior)), leads to the context without its first word. No states are stored and none is
+carried over tokens: each token's weight (its arc, or failure arcs and then an arc) is computed from the looked-up
+counts of the n-grams that end at it, in steps over whole arrays, with the sums that a walk would give.
 
 The automaton of the whole corpus is never in one place. Each block of documents (see ``blocks``) asks for the counts
-of the n-grams that it holds and builds the part of the automaton that its documents can reach; n-gram counts cover
+of the n-grams that it holds; n-gram counts cover
 all training documents and grow with them. Words and n-grams are told apart by 64-bit hashes.
 
 Tokens are words (ASCII lower-cased, cut at ASCII white space) and one end token per document. Training documents are
@@ -64,10 +64,10 @@ def grams(tokens: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray
 
 
 class BackoffAutomaton:
-    """States, arcs and failure arcs of the n-grams that some documents hold.
+    """Weights of arcs and failure arcs at each token of some documents, without states.
 
     ``counts[k]`` are training counts of the (k+1)-gram at each token; ``contexts[k]`` those of its first k words.
-    Arcs and states are addressed by the token at which they are used.
+    Arcs are addressed by the token at which they are used.
     """
 
     def __init__(self, counts: list[np.ndarray], contexts: list[np.ndarray], train_tokens: int, vocabulary: int, prior: float):
