@@ -9,20 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one only in a local session where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         # Local sessions (tests, bench) have one machine, so its temporary folder is shared by all tasks.
         where = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+class Scratch:
+    """Tables of one run of an operator, in a folder of their own."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/tessella/{tag}-{uuid.uuid4().hex}", {}
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        """Write ``df`` as Parquet and read it back: cuts the lineage, keeps column pruning."""
+        path = self.paths[tag] = f"{self.root}/{tag}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tags: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for tag in tags:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(tag))
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, keeps column pruning."""
-    path = f"{shared_dir(df.sparkSession)}/tessella/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """One table of its own, for as long as the shared folder is kept."""
+    return Scratch(df.sparkSession, tag).table(df, "table")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
