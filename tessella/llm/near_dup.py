@@ -11,16 +11,17 @@ the latest slot of their document.
 Signatures are cut in bands. Identical texts are one node from the start (grouped by hash, so copies never meet).
 Documents that share a band are compared without forming all pairs of a band's bucket:
 
-1. every member with the bucket's least node, then in two more rounds the members of other components with a leader
-   drawn from the bucket's least component, which is the group if there is one;
-2. documents whose buckets still hold several components get a second signature with longer bands (120 of 9: sharing
-   none has probability 3e-8 at similarity 0.8), which tell what only shares a passage apart. Along these bands a
-   document asks other components: it is verified against a single one, and compared with all such members of a larger
-   one block by block, over an inverted index. Only links become rows there.
-
-So every pair of different components that shares bands is proven under the threshold; a large group of copies costs
-a few comparisons per member. At similarity 0.8 a pair shares no band with probability 3e-6 (32 bands of 5 slots).
-Components come from ``components``; only counts reach the driver.
+1. every member with the bucket's least node, then the members of other groups with a leader drawn from the bucket's
+   least group; what links to one leader is a *group* (part of a class, as far as leaders tell);
+2. documents whose buckets still hold several groups get a second signature with longer bands (120 of 9: sharing none
+   has probability 3e-8 at similarity 0.8). Groups that share a longer band, directly or over others, are a *cluster*;
+   the documents of a cluster are cut in blocks of bounded size and compared block with block over an inverted index,
+   but for blocks of one group. Only links that join groups become rows, at most one per group and pair of blocks.
+
+So every pair of different classes that shares bands is proven under the threshold; a large group of copies costs a few
+comparisons per member. What lies just under the threshold of each other without being linked costs time with the square
+of its number, but no rows. At similarity 0.8 a pair shares no band with probability 3e-6 (32 bands of 5 slots).
+Classes and clusters come from ``components``; only counts reach the driver.
 
 Defined results: texts without words (null, empty, white space) are in no class but their own; a doc_id stands for one
 document, so rows that repeat it share its class; rows without doc_id take the class of their text, named by a
@@ -38,13 +39,13 @@ from pyspark.sql import functions as F
 
 from tessella.llm import textscan as ts
 from tessella.llm.components import connected_components
-from tessella.storage import materialize
+from tessella.storage import Scratch
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 FINER = (120, 9)  # bands and rows of the last round
-BLOCK = 1024  # documents of a component that are compared with so many others at once
+BLOCK = 1 << 19  # shingles of the documents of a cluster that are compared with so many others at once
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 MASK = (1 << 64) - 1
 
@@ -137,7 +138,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sign_units(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """(node, comp, units) to a row per band: the units of a document are a set, so all counts are 1."""
+    """(node, part, units) to a row (part, key) per band: the units of a document are a set, so all counts are 1."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             piece = batch.slice(at, 256)
@@ -146,117 +147,132 @@ def _sign_units(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Ite
             key = ts.mix(np.asarray(piece.column(2).flatten()).astype(np.int64).view(np.uint64) + _SALT)
             keys = band_keys(bag_minhash(doc, key, np.ones(len(doc), np.int64), piece.num_rows, bands * rows), bands, rows)
             of = pa.array(np.repeat(np.arange(piece.num_rows), bands))
-            yield pa.RecordBatch.from_arrays([piece.column(0).take(of), piece.column(1).take(of), pa.array(keys.reshape(-1))], names=["node", "comp", "key"])
+            yield pa.RecordBatch.from_arrays([piece.column(1).take(of), pa.array(keys.reshape(-1))], names=["part", "key"])
+
+
+def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """part and number of units of each document, and all units."""
+    lists = pa.concat_arrays(table.column("units").chunks) if table.num_rows else pa.array([], pa.list_(pa.int64()))
+    return np.asarray(table.column("part")).astype(np.int64), np.asarray(lists.value_lengths()).astype(np.int64), np.asarray(lists.flatten())
+
 
+def joins(asking: pa.Table, members: pa.Table, threshold: float) -> pa.Table:
+    """Links (a, b) between the parts of two blocks of documents (part, units): a spanning forest of all links there are.
 
-def overlaps(asking: pa.Table, members: pa.Table, threshold: float) -> pa.Table:
-    """Links between two lists of documents (node, units), by an inverted index of the members' units: the overlap of an
-    asking document with all members is one count over its postings."""
-    flat = lambda t: (np.asarray(t.column("node")), *_flat_units(t))
-    nodes, units, sizes = flat(members)
-    owner = np.repeat(np.arange(len(nodes)), sizes)
+    The overlap of an asking document with all members is one count over an inverted index of the members' units. A
+    document of whose units under the threshold's share are in the index at all links to nothing there.
+    """
+    own_part, own_sizes, asked = _block(asking)
+    part, sizes, units = _block(members)
+    parts, at = np.unique(np.concatenate([own_part, part]), return_inverse=True)
+    own_at, at = at[: len(own_part)], at[len(own_part) :]
+    root = np.arange(len(parts))
+    owner = np.repeat(np.arange(len(part)), sizes)
     order = np.argsort(units, kind="stable")
     units, owner = units[order], owner[order]
     a, b = [], []
-    others, asked, own_sizes = flat(asking)
     ends = np.cumsum(own_sizes)
     for k, (end, n) in enumerate(zip(ends.tolist(), own_sizes.tolist(), strict=True)):
         own = asked[end - n : end]
         lo, hi = np.searchsorted(units, own), np.searchsorted(units, own, side="right")
-        both = np.bincount(owner[ts.ranges(lo, hi - lo)], minlength=len(nodes))
-        for hit in np.flatnonzero(both >= threshold * (n + sizes - both)).tolist():
-            a.append(int(others[k]))
-            b.append(int(nodes[hit]))
+        if int((hi > lo).sum()) < threshold * n:
+            continue
+        both = np.bincount(owner[ts.ranges(lo, hi - lo)], minlength=len(part))
+        for other in np.unique(root[at[both >= threshold * (n + sizes - both)]]).tolist():
+            if other != root[own_at[k]]:
+                a.append(int(parts[own_at[k]]))
+                b.append(int(parts[other]))
+                root[root == other] = root[own_at[k]]
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _flat_units(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    lists = pa.concat_arrays(table.column("units").chunks) if table.num_rows else pa.array([], pa.list_(pa.int64()))
-    return np.asarray(lists.flatten()), np.asarray(lists.value_lengths()).astype(np.int64)
-
+def _compare(documents: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join the parts of a cluster, from (cluster, part, units), by exact overlap.
 
-def _ask(asks: DataFrame, members: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between documents and members of the components that they ask (node, asked), by exact overlap.
-
-    Both sides of a component are cut in blocks of about ``BLOCK`` documents, and every block meets every block of the
-    other side: no pair is a row unless it is a link, and no task holds a component.
+    Parts of more than a block have blocks of their own, the others share some. Every block meets every other block of
+    its cluster and, unless it is of one part, itself: no pair of documents is a row, and no task holds a cluster.
     """
-    sizes = [side.groupBy("asked").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name)) for side, name in ((asks, "rows"), (members, "columns"))]
-    shape = sizes[0].join(sizes[1], "asked")
-    number = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    # toDF gives each side columns of its own.
-    left = asks.join(shape, "asked").select("asked", "node", number("rows").alias("row"), every("columns").alias("column")).join(units, "node").toDF("node", "asked", "row", "column", "units")
-    right = members.join(shape, "asked").select("asked", "node", every("rows").alias("row"), number("columns").alias("column")).join(units, "node").toDF("node", "asked", "row", "column", "units")
-    return left.groupBy("asked", "row", "column").cogroup(right.groupBy("asked", "row", "column")).applyInArrow(lambda x, y: overlaps(x, y, threshold), "a bigint, b bigint")
+    amounts = documents.groupBy("cluster", "part").agg(F.sum(F.size("units")).alias("amount"))
+    home = F.when(F.col("amount") > BLOCK, F.col("part"))
+    amounts = amounts.withColumn("home", home)
+    shapes = amounts.groupBy("cluster", "home").agg(F.ceil(F.sum("amount") / BLOCK).cast("int").alias("blocks"))
+    numbered = shapes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    name = lambda: F.concat_ws(":", "cluster", F.coalesce(F.col("home").cast("string"), F.lit("-")), "block")
+    named = numbered.select("cluster", "home", name().alias("name"))
+    left, right = (named.select("cluster", F.col("home").alias(f"{side}_home"), F.col("name").alias(side)) for side in ("x", "y"))
+    meet = left.join(right, "cluster").where((F.col("x") <= F.col("y")) & (F.col("x_home").isNull() | ~F.col("x_home").eqNullSafe(F.col("y_home")))).select("x", "y")
+    placed = amounts.select("cluster", "part", "home").join(shapes.withColumnRenamed("home", "own").withColumnRenamed("cluster", "of"), (F.col("cluster") == F.col("of")) & F.col("home").eqNullSafe(F.col("own"))).select("part", "home", "blocks")
+    blocked = documents.join(placed, "part").withColumn("block", F.pmod(F.when(F.col("home").isNull(), F.xxhash64("part")).otherwise(F.xxhash64("node")), F.col("blocks")).cast("int")).select("part", "units", name().alias("name"))
+    sides = [blocked.join(meet, F.col("name") == F.col(side)).select("x", "y", "part", "units").toDF("x", "y", "part", "units") for side in ("x", "y")]
+    return sides[0].groupBy("x", "y").cogroup(sides[1].groupBy("x", "y")).applyInArrow(lambda one, other: joins(one, other, threshold), "a bigint, b bigint")
 
 
 def verify(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """(a, b) to (a, b, jaccard) by exact multiset overlap."""
+    """(a, b, ...) with their jaccard by exact multiset overlap."""
     left = units.select(F.col("node").alias("a"), F.col("units").alias("ua"))
     right = units.select(F.col("node").alias("b"), F.col("units").alias("ub"))
     both = F.size(F.array_intersect("ua", "ub"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("ua") + F.size("ub") - both)).alias("jaccard"))
+    return pairs.join(left, "a").join(right, "b").select(*pairs.columns, (both / (F.size("ua") + F.size("ub") - both)).alias("jaccard"))
 
 
-def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with their component and the bucket's least one (``home``)."""
-    named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("home"), F.max("comp").alias("last")).where("home <> last").select("key", "home")
-    return named.join(mixed, "key")
+def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members (key, node) of buckets that hold several parts, with their part and the bucket's least one (``home``)."""
+    named = members.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    several = named.groupBy("key").agg(F.min("part").alias("home"), F.max("part").alias("last")).where("home <> last").select("key", "home")
+    return named.join(several, "key")
 
 
-def _apart(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+def _least(links: DataFrame) -> DataFrame:
+    """(node, part) from links (a, b) with a < b: the least a of each b, and the one that a has itself."""
+    first = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("part"))
+    then = first.select(F.col("node").alias("part"), F.col("part").alias("next"))
+    return first.join(then, "part", "left").select("node", F.coalesce("next", "part").alias("part"))
 
 
-def find_classes(documents: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, leader_rounds: int = 2) -> DataFrame:
+def find_classes(documents: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, n_shingles for every row: class_id is the least doc_id of the documents connected by near duplicates."""
+    run = Scratch(documents.sparkSession, "near-dup")
     digest = F.md5("text")
-    signed = materialize(documents.select(F.col("doc_id").cast("bigint"), digest.alias("digest"), "text").mapInArrow(lambda b: _sign(b, bands, rows), "doc_id bigint, digest string, n_shingles bigint, bands array<bigint>"), "signed")
+    signed = run.table(documents.select(F.col("doc_id").cast("bigint"), digest.alias("digest"), "text").mapInArrow(lambda b: _sign(b, bands, rows), "doc_id bigint, digest string, n_shingles bigint, bands array<bigint>"), "signed")
     lone = -F.abs(F.shiftright(F.xxhash64("digest"), 1)) - 2
-    nodes = materialize(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.coalesce("first_id", lone)), "nodes")
-    own = signed.alias("s").join(nodes.alias("n"), (F.col("s.digest") == F.col("n.digest")) & (F.col("s.doc_id").eqNullSafe(F.col("n.first_id"))))
-    banded = materialize(own.select("node", F.explode("bands").alias("key")), "bands")
-
+    nodes = run.table(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")).withColumn("node", F.coalesce("first_id", lone)), "nodes")
+    banded = nodes.select("node", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader")
-    members = materialize(banded.join(buckets, "key").distinct(), "members")
-    pairs = materialize(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    members = run.table(banded.join(buckets, "key"), "members")
 
     involved = members.select("node").distinct().join(nodes, "node").select("node", F.col("digest").alias("own_digest"), "first_id")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest.alias("digest"), "text")
+    # Rows that repeat doc_id and text are one node.
     texts = texts.join(involved, (F.col("digest") == F.col("own_digest")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text")
-    units = materialize(texts.mapInArrow(_units, "node bigint, units array<bigint>"), "units")
-
-    tested = materialize(verify(pairs, units), "tested")
-    comps = connected_components(tested.where(F.col("jaccard") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    for turn in range(leader_rounds):
-        open_ = materialize(_labelled(members.select("key", "node"), comps), "open")
-        # The bucket's least component gives the leader. XOR with a number of the turn orders nodes anew, in all buckets
-        # alike, so the members of a group get few leaders between them; XOR again gives the node back.
-        order = F.xxhash64(F.lit(turn))
-        drawn = open_.where("comp = home").groupBy("key").agg(F.min(F.col("node").bitwiseXOR(order)).alias("least"))
-        leads = open_.where("comp <> home").join(drawn, "key").select(F.col("least").bitwiseXOR(order).alias("a"), F.col("node").alias("b"))
-        more = materialize(_apart(leads, tested), "pairs")
-        found = materialize(verify(more, units), "tested")
-        tested = tested.unionByName(found)
-        comps = connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found.where(F.col("jaccard") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))))
-
-    # What is still apart: every document asks the lesser components that it shares a longer band with.
-    rest = materialize(_labelled(members.select("key", "node"), comps).select("node", "comp").distinct(), "rest")
-    finer = materialize(units.join(rest, "node").select("node", "comp", "units").mapInArrow(lambda b: _sign_units(b, *FINER), "node bigint, comp bigint, key bigint"), "finer")
-    there = finer.select("key", F.col("comp").alias("asked")).distinct()
-    asks = materialize(finer.join(there, "key").where("asked < comp").select("node", "asked").distinct(), "asks")
-    # A document that is a component of its own is compared as a pair, larger components block by block.
-    sizes = rest.groupBy(F.col("comp").alias("asked")).agg(F.count(F.lit(1)).alias("many"))
-    sized = asks.join(sizes, "asked")
-    pairs = _apart(sized.where("many = 1").select(F.col("asked").alias("a"), F.col("node").alias("b")), tested)
-    single = verify(pairs, units).where(F.col("jaccard") >= threshold).select("a", "b")
-    several = _ask(sized.where("many > 1").select("node", "asked"), rest.join(sizes.where("many > 1"), rest["comp"] == sizes["asked"]).select("node", "asked"), units, threshold)
-    found = materialize(single.unionByName(several), "found")
-    comps = connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-
-    named = nodes.join(comps, "node", "left").select(F.col("digest").alias("own_digest"), F.coalesce("component", "node").alias("class_id"))
+    units = run.table(texts.mapInArrow(_units, "node bigint, units array<bigint>").dropDuplicates(["node"]), "units")
+
+    pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    linked = verify(pairs, units).where(F.col("jaccard") >= threshold).select("a", "b")
+    parts = run.table(_least(linked), "parts")
+
+    # The bucket's least part gives one more leader. XOR with a number orders nodes anew, in all buckets alike, so the
+    # members of a part get few leaders between them; XOR again gives the node back.
+    order = F.xxhash64(F.lit(0))
+    mixed = run.table(_mixed(members.select("key", "node"), parts), "mixed")
+    drawn = mixed.where("part = home").groupBy("key").agg(F.min(F.col("node").bitwiseXOR(order)).alias("least"))
+    leads = mixed.where("part <> home").join(drawn, "key").select(F.col("least").bitwiseXOR(order).alias("a"), F.col("node").alias("b"), "home", "part").distinct()
+    found = run.table(verify(leads, units).where(F.col("jaccard") >= threshold).select(F.col("home").alias("a"), F.col("part").alias("b")).distinct(), "found")
+
+    # What is still apart: its parts are clustered along longer bands, and clusters compared block by block.
+    merged = _least(found).select(F.col("node").alias("part"), F.col("part").alias("next"))
+    known = run.table(mixed.join(merged, "part", "left").select("key", "node", F.coalesce("next", "part").alias("part")), "known")
+    several = known.groupBy("key").agg(F.min("part").alias("home"), F.max("part").alias("last")).where("home <> last").select("key")
+    rest = run.table(known.join(several, "key").select("node", "part").distinct().join(units, "node").select("node", "part", "units"), "rest")
+    finer = run.table(rest.mapInArrow(lambda b: _sign_units(b, *FINER), "part bigint, key bigint").distinct(), "finer")
+    least = finer.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("last")).where("least <> last").select("key", "least")
+    clusters = connected_components(finer.join(least, "key").where("part <> least").select(F.col("part").alias("u"), F.col("least").alias("v")), run, "clusters")
+    clustered = rest.join(clusters.select(F.col("node").alias("part"), F.col("component").alias("cluster")), "part")
+    also = run.table(_compare(clustered, threshold), "also")
+
+    edge = lambda df, u, v: df.select(F.col(u).alias("u"), F.col(v).alias("v"))
+    classes = connected_components(edge(parts, "node", "part").unionByName(edge(found, "a", "b")).unionByName(edge(also, "a", "b")), run, "classes")
+    run.drop("members", "units", "parts", "mixed", "found", "known", "rest", "finer", "also", *(t for t in run.paths if t.startswith("clusters")))
+    named = nodes.join(classes, "node", "left").select(F.col("digest").alias("own_digest"), F.coalesce("component", "node").alias("class_id"))
     return signed.join(named, signed["digest"] == named["own_digest"], "left").select("doc_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "n_shingles")
 
 

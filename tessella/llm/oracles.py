@@ -48,8 +48,8 @@ OP6 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACE}') AS w FROM documents),
 n AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END AS n_shingles, w FROM d),
 s AS (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(n_shingles)) AS i FROM n)) GROUP BY ALL),
-o AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.c, y.c)) AS both FROM s AS x JOIN s AS y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
-l AS MATERIALIZED (SELECT a, b FROM o JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b WHERE both >= 0.8 * (p.n_shingles + q.n_shingles - both)),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.c, y.c)) AS common FROM s AS x JOIN s AS y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM o JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b WHERE common >= 0.8 * (p.n_shingles + q.n_shingles - common)),
 e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
 c AS (SELECT a AS doc_id, a AS seen FROM e UNION SELECT c.doc_id, e.b FROM c JOIN e ON c.seen = e.a),
 m AS (SELECT doc_id, min(seen) AS class_id FROM c GROUP BY doc_id)
