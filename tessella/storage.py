@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -20,16 +21,26 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+FILE_BYTES = 32 << 20
+
+
+def files_for(df: DataFrame) -> int:
+    """How many files intermediate tables of an operator on ``df`` get at most: one per core, or per ``FILE_BYTES`` of the
+    input as the optimizer estimates it. Writing many small ones costs more than what is in them."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(math.ceil(estimate / FILE_BYTES), 1 << 24))
+
+
 class Scratch:
-    """Tables of one run of an operator, in a folder of their own."""
+    """Tables of one run of an operator, in a folder of their own, of ``files`` files each at most."""
 
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/tessella/{tag}-{uuid.uuid4().hex}", {}
+    def __init__(self, spark: SparkSession, tag: str, files: int | None = None):
+        self.spark, self.root, self.paths, self.files = spark, f"{shared_dir(spark)}/tessella/{tag}-{uuid.uuid4().hex}", {}, files
 
     def table(self, df: DataFrame, tag: str) -> DataFrame:
         """Write ``df`` as Parquet and read it back: cuts the lineage, keeps column pruning."""
         path = self.paths[tag] = f"{self.root}/{tag}"
-        df.write.parquet(path)
+        (df.coalesce(self.files) if self.files else df).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tags: str) -> None:
@@ -39,9 +50,9 @@ class Scratch:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
     """One table of its own, for as long as the shared folder is kept."""
-    return Scratch(df.sparkSession, tag).table(df, "table")
+    return Scratch(df.sparkSession, tag, files).table(df, "table")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
