@@ -6,14 +6,20 @@ element and is ignored without one). The tree is then laid out: white space coll
 start lines, paragraphs and the like are set off by an empty line, list items carry a bullet or their number and are
 indented by depth, table rows are lines whose cells are padded to common column widths, preformatted text stays as
 it is. Everything that a browser would show as text is emitted; scripts, styles, templates, comments, metadata (of
-formulas and drawings too), media, the fallback of objects and elements hidden by attribute or inline style are not.
-Formulas (math) and drawings (svg) are inline text in document order.
+formulas and drawings too), media, the fallback of objects and elements hidden by attribute, inline style or the
+page's own style rules are not. A style rule counts if its selector is a tag, classes and an id without combinators, and
+it stands outside of @-rules; among such rules the last one wins, inline styles over all. ``visibility`` is inherited
+and can be undone by a descendant, ``display: none`` can't. Formulas (math) and drawings (svg) are inline text in
+document order. Blocks inside a table cell are joined by spaces; cells are placed on a grid, so a ``rowspan`` keeps its
+columns in the rows below.
 
-Both passes use explicit stacks, so depth is bounded by memory alone, and the extraction of a page touches only that
-page: the plan is one narrow Arrow stage.
+Parsing and layout use explicit stacks, tables are laid out from the innermost on, and a look for an open element costs
+nothing where none is open: depth is bounded by memory alone. The extraction of a page touches only that page: the plan
+is one narrow Arrow stage.
 
 Defined results: null and empty pages give empty text; unclosed tags, quotes and comments are closed by the end of
-the page; repeated rows are extracted each; other columns are ignored.
+the page; character references beyond Unicode are U+FFFD and spans are 100 columns or 1,000 rows at most; repeated rows
+are extracted each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +27,9 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +37,12 @@ from pyspark.sql import DataFrame
 _TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<other>[!?])[^>]*>?|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_DISPLAY = re.compile(r"(?<![-\w])display\s*:\s*([-\w]+)", re.I)
+_VISIBILITY = re.compile(r"(?<![-\w])visibility\s*:\s*(visible|hidden|collapse)", re.I)
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"(\*|[a-z][a-z0-9]*)?((?:[.#][-\w]+)*)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_HUGE_REFERENCE = re.compile(r"&#(?:[xX]0*([0-9a-fA-F]*)|0*([0-9]*));?")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -62,16 +75,74 @@ WIDEST = 40  # columns are padded to this at most, so one long cell does not blo
 
 
 class Node:
-    __slots__ = ("tag", "children", "attrs", "hidden", "foreign")
+    """``hidden``: takes no place; ``shown``: its own visibility, None if inherited."""
+
+    __slots__ = ("tag", "children", "attrs", "hidden", "shown", "foreign")
 
     def __init__(self, tag: str, attrs: dict[str, str], foreign: bool = False):
         self.foreign = foreign or tag in ("svg", "math")
-        self.tag, self.attrs, self.children = tag, attrs, []
-        self.hidden = tag in INVISIBLE or foreign and tag in UNPAINTED or bool(attrs) and ("hidden" in attrs or bool(_HIDDEN_STYLE.search(attrs.get("style", ""))) or tag == "input")
+        self.tag, self.attrs, self.children, self.shown = tag, attrs, [], None
+        self.hidden = tag in INVISIBLE or foreign and tag in UNPAINTED or tag == "input" or "hidden" in attrs
+        if "style" in attrs:
+            self.style(attrs["style"])
+
+    def style(self, declarations: str) -> None:
+        display, visibility = _DISPLAY.findall(declarations), _VISIBILITY.findall(declarations)
+        if display and self.tag not in INVISIBLE:
+            self.hidden = display[-1].lower() == "none" or self.tag == "input"
+        if visibility:
+            self.shown = visibility[-1].lower() == "visible"
+
+
+def unescape(text: str) -> str:
+    """Character references resolved; a number of any length is legal here."""
+    if "&#" in text:
+        text = _HUGE_REFERENCE.sub(lambda m: "\ufffd" if len(m[1] or m[2] or "") > 7 else m[0] if len(m[0]) < 20 else f"&#{'x' if m[1] else ''}{m[1] or m[2] or '0'};", text)
+    return html.unescape(text) if "&" in text else text
+
+
+def _number(text: str, least: int, most: int) -> int:
+    """A number of an attribute within limits; the least if it is none."""
+    digits = text.strip().lstrip("0")
+    return max(least, min(int(digits[:9]), most)) if digits.isascii() and digits.isdigit() else least
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)} if text.strip(" /\n\t") else {}
+    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)} if text.strip(" /\n\t") else {}
+
+
+def style_rules(sheet: str) -> list[tuple[str, frozenset[str], str]]:
+    """(tag or "", classes and ids with their marks, declarations) of rules that set display or visibility, in order."""
+    out, depth, at, plain = [], 0, 0, []
+    sheet = _COMMENT.sub(" ", sheet)
+    for m in re.finditer(r"@[^{};]*[{;]|[{}]", sheet):  # cut @-rules with all that they hold
+        mark = m[0][-1]
+        if depth == 0 and m[0][0] == "@":
+            plain.append(sheet[at : m.start()])
+            depth, at = (2, at) if mark == "{" else (0, m.end())
+        elif depth > 1:
+            depth += {"{": 1, "}": -1}.get(mark, 0)
+            if depth == 1:
+                depth, at = 0, m.end()
+    plain.append(sheet[at:] if depth == 0 else "")
+    for selectors, declarations in _RULE.findall("".join(plain)):
+        if _DISPLAY.search(declarations) or _VISIBILITY.search(declarations):
+            for selector in selectors.split(","):
+                m = _SELECTOR.fullmatch(selector.strip())
+                if m and m[0]:
+                    out.append(((m[1] or "").lower().strip("*"), frozenset(re.findall(r"[.#][-\w]+", m[2])), declarations))
+    return out
+
+
+def apply_rules(root: Node, rules: list[tuple[str, frozenset[str], str]]) -> None:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        todo.extend(c for c in node.children if isinstance(c, Node))
+        marks = {"." + c for c in node.attrs.get("class", "").split()} | ({"#" + node.attrs["id"]} if "id" in node.attrs else set())
+        own = [d for tag, need, d in rules if (not tag or tag == node.tag) and need <= marks]
+        for declarations in [*own, node.attrs.get("style", "")] if own else ():
+            node.style(declarations)
 
 
 class TreeBuilder:
@@ -80,62 +151,77 @@ class TreeBuilder:
     def __init__(self) -> None:
         self.root = Node("html", {})
         self.stack = [self.root]
+        self.open: Counter[str] = Counter()  # tags on the stack, the root's aside
+        self.sheets: list[str] = []
+
+    def _close(self, at: int) -> None:
+        """Close all elements from a place of the stack on."""
+        for node in self.stack[at:]:
+            self.open[node.tag] -= 1
+        del self.stack[at:]
 
     def _pop_to(self, tags: frozenset[str], scopes: frozenset[str]) -> bool:
         """Close everything up to the outermost element with one of the tags before a scope."""
-        found = None
+        found, left = None, sum(self.open[t] for t in tags)
+        if not left:
+            return False
         for at in range(len(self.stack) - 1, 0, -1):
             tag = self.stack[at].tag
             if tag in tags:
-                found = at
+                found, left = at, left - 1
+                if not left:
+                    break
             elif tag in scopes:
                 break
         if found is None:
             return False
-        del self.stack[found:]
+        self._close(found)
         return True
 
     def _leave_head(self, tag: str) -> None:
-        if tag not in HEAD_ONLY:
-            for at in range(1, len(self.stack)):
-                if self.stack[at].tag == "head":
-                    del self.stack[at:]
-                    break
+        if tag not in HEAD_ONLY and self.open["head"]:
+            self._close(next(at for at in range(1, len(self.stack)) if self.stack[at].tag == "head"))
 
     def start(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
         if tag in ("html", "body"):
             self._leave_head("body") if tag == "body" else None
-            if tag == "body" and attrs and Node(tag, attrs).hidden:
-                self.root.hidden = True
+            if tag == "body" and attrs:
+                body = Node(tag, attrs)
+                self.root.attrs |= attrs
+                self.root.hidden |= body.hidden
+                self.root.shown = self.root.shown if body.shown is None else body.shown
             return
         self._leave_head(tag)
         if tag in CLOSES_P:
             self._pop_to(frozenset({"p"}), SCOPES | {"button", "object"})
         if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
-            self.stack.pop()
+            self._close(len(self.stack) - 1)
         if tag in IMPLIED:
             self._pop_to(*IMPLIED[tag])
         if tag in ("td", "th") and self.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self._open("tr", {})
         self._open(tag, attrs)
         if tag in VOID or closed and self.stack[-1].foreign:
-            self.stack.pop()
+            self._close(len(self.stack) - 1)
 
     def _open(self, tag: str, attrs: dict[str, str]) -> None:
         parent = self.stack[-1]
         node = Node(tag, attrs, parent.foreign and parent.tag != "foreignobject")
         self.stack[-1].children.append(node)
         self.stack.append(node)
+        self.open[tag] += 1
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.start("br", {}, False)
             return
+        if not self.open[tag]:
+            return
         scopes = frozenset() if tag in ("table", "html", "body") else SCOPES - {tag} if tag not in ("tr", "tbody", "thead", "tfoot") else frozenset({"table"})
         for at in range(len(self.stack) - 1, 0, -1):
             open_tag = self.stack[at].tag
             if open_tag == tag:
-                del self.stack[at:]
+                self._close(at)
                 return
             if open_tag in scopes:
                 return
@@ -152,10 +238,10 @@ def parse(page: str) -> Node:
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
-            builder.text(html.unescape(page[at:]))
+            builder.text(unescape(page[at:]))
             break
         if m.start() > at:
-            builder.text(html.unescape(page[at : m.start()]))
+            builder.text(unescape(page[at : m.start()]))
         at = m.end()
         name = m["name"]
         if name is None:
@@ -171,10 +257,15 @@ def parse(page: str) -> Node:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             raw = page[at : close.start() if close else n]
             if tag in ("textarea", "title"):
-                raw = html.unescape(raw)
+                raw = unescape(raw)
+            if tag == "style":
+                builder.sheets.append(raw)
             builder.text(raw)
             builder.end(tag)
             at = close.end() if close else n
+    rules = style_rules("".join(builder.sheets)) if builder.sheets else []
+    if rules:
+        apply_rules(builder.root, rules)
     return builder.root
 
 
@@ -230,64 +321,108 @@ class Lines:
         return "\n".join(self.lines)
 
 
-def _cells(row: Node) -> list[tuple[str, int]]:
-    """Text and span of each visible cell; line ends inside a cell become spaces."""
-    out = []
-    for cell in row.children:
-        if isinstance(cell, Node) and not cell.hidden and cell.tag in ("td", "th"):
-            span = cell.attrs.get("colspan", "1")
-            inner = Node("div", {})
-            inner.children = cell.children
-            out.append((" ".join(render(inner).split("\n")).replace("  ", " ").strip(), max(1, min(int(span), 100)) if span.isascii() and span.isdigit() else 1))
+def _inside(children: list[Node | str]) -> Node:
+    out = Node("div", {})
+    out.children = children
     return out
 
 
-def _table_lines(table: Node) -> tuple[list[str], list[Node | str]]:
-    """Aligned rows, and what stands in the table outside of rows."""
-    rows, stray, todo = [], [], list(reversed(table.children))
+class Cell(NamedTuple):
+    text: str
+    column: int
+    columns: int
+
+
+class Table:
+    """Rows of a table under construction: cells are placed on a grid, in which those of earlier rows may reach down."""
+
+    def __init__(self, done: dict[int, tuple[list[str], list]]):
+        self.done, self.rows, self.stray = done, [], []  # done: lines of the tables inside
+        self.down: dict[int, int] = {}  # rows that a column is still taken for
+
+    def row(self, row: Node, shown: bool) -> None:
+        shown = shown if row.shown is None else row.shown
+        cells, at, reach = [], 0, {}
+        for cell in row.children:
+            if isinstance(cell, str):
+                if cell.strip(" \t\n\r\f"):
+                    self.stray.append((cell, shown))
+            elif cell.tag not in ("td", "th"):
+                self.stray.append((cell, shown))
+            elif not cell.hidden:
+                while self.down.get(at, 0):
+                    at += 1
+                columns, rows = _number(cell.attrs.get("colspan", ""), 1, 100), _number(cell.attrs.get("rowspan", ""), 1, 1000)
+                inner = render(_inside(cell.children), shown if cell.shown is None else cell.shown, self.done)
+                cells.append(Cell(" ".join(inner.split("\n")).replace("  ", " ").strip(), at, columns))
+                reach |= {c: rows for c in range(at, at + columns) if rows > 1}
+                at += columns
+        self.down = {c: n - 1 for c, n in (self.down | reach).items() if n > 1}
+        self.rows.append(cells)
+
+    def lines(self) -> list[str]:
+        width: list[int] = []
+        for row in self.rows:
+            for cell in row:
+                width.extend([0] * (cell.column + cell.columns - len(width)))
+                if cell.columns == 1:
+                    width[cell.column] = max(width[cell.column], min(len(cell.text), WIDEST))
+        out = []
+        for row in self.rows:
+            if any(cell.text for cell in row):
+                line, at = [], 0
+                for cell in row:
+                    line += [" " * w for w in width[at : cell.column]]
+                    at = cell.column + cell.columns
+                    line.append(cell.text.ljust(sum(width[cell.column : at]) + 2 * (cell.columns - 1)))
+                out.append("  ".join(line).rstrip(" "))
+        return out
+
+
+def _lay_out(table: Node, shown: bool, done: dict[int, tuple[list[str], list]]) -> tuple[list[str], list]:
+    """Aligned rows, and what stands in the table outside of rows, with its visibility."""
+    out = Table(done)
+    todo = [(c, shown) for c in reversed(table.children)]
     while todo:
-        x = todo.pop()
+        x, shown = todo.pop()
         if isinstance(x, str):
             if x.strip(" \t\n\r\f"):
-                stray.append(x)
+                out.stray.append((x, shown))
         elif x.hidden or x.tag in ("colgroup", "col"):
             continue
         elif x.tag == "tr":
-            rows.append(_cells(x))
-            stray += [c for c in x.children if isinstance(c, Node) and c.tag not in ("td", "th") or isinstance(c, str) and c.strip(" \t\n\r\f")]
+            out.row(x, shown)
         elif x.tag in ("tbody", "thead", "tfoot"):
-            todo.extend(reversed(x.children))
+            out.down = {}
+            todo.extend((c, shown if x.shown is None else x.shown) for c in reversed(x.children))
         else:
-            stray.append(x)
-    width: list[int] = []
-    for row in rows:
-        at = 0
-        for text, span in row:
-            width.extend([0] * (at + span - len(width)))
-            if span == 1:
-                width[at] = max(width[at], min(len(text), WIDEST))
-            at += span
-    lines = []
-    for row in rows:
-        at, line = 0, []
-        for text, span in row:
-            line.append(text.ljust(sum(width[at : at + span]) + 2 * (span - 1)))
-            at += span
-        if any(text for text, _ in row):
-            lines.append("  ".join(line).rstrip(" "))
-    return lines, stray
-
-
-def render(root: Node) -> str:
-    """The visible text of a tree."""
-    out = Lines()
-    # (node or text or callable to run on leaving); lists carry their kind, depth and counter.
-    todo: list = [("in", root)]
+            out.stray.append((x, shown))
+    return out.lines(), out.stray
+
+
+def tables_of(root: Node) -> list[tuple[Node, bool]]:
+    """All tables that take a place, with their visibility, inner ones first."""
+    out, todo = [], [(root, True)]
+    while todo:
+        x, shown = todo.pop()
+        if not x.hidden:
+            shown = shown if x.shown is None else x.shown
+            if x.tag == "table":
+                out.append((x, shown))
+            todo.extend((c, shown) for c in x.children if isinstance(c, Node))
+    return out[::-1]
+
+
+def render(root: Node, shown: bool = True, done: dict[int, tuple[list[str], list]] | None = None) -> str:
+    """The visible text of a tree whose tables are laid out already."""
+    out, done = Lines(), done or {}
+    # What is to do: enter a node or text, or leave a node; lists carry their kind, depth and counter.
+    todo: list = [("in", root, shown)]
     lists: list[list] = []
     indents: list[str] = []
     pre = 0
     while todo:
-        what, x = todo.pop()
+        what, x, shown = todo.pop()
         if what == "out":
             tag = x.tag
             if x.foreign and tag == "text":
@@ -302,10 +437,12 @@ def render(root: Node) -> str:
                 out.indent, out.prefix = indents.pop(), ""
             continue
         if isinstance(x, str):
-            out.verbatim(x) if pre else out.inline(x)
+            if shown:
+                out.verbatim(x) if pre else out.inline(x)
             continue
         if x.hidden:
             continue
+        shown = shown if x.shown is None else x.shown
         tag = x.tag
         if x.foreign and tag == "text":  # each stands in a place of its own
             out.inline(" ")
@@ -315,12 +452,10 @@ def render(root: Node) -> str:
             out.brk()
             continue
         if tag == "table":
-            lines, stray = _table_lines(x)
+            lines, stray = done[id(x)]
             out.brk(1)
-            for s in stray:  # a caption, or content that has no cell, stands before the rows
-                todo_inner = Node("div", {})
-                todo_inner.children = [s]
-                text = render(todo_inner)
+            for s, seen in stray:  # a caption, or content that has no cell, stands before the rows
+                text = render(_inside([s]), seen, done)
                 for line in text.split("\n") if text else []:
                     out._word(line)
                     out.brk()
@@ -332,28 +467,33 @@ def render(root: Node) -> str:
         if tag in BLOCK:
             out.brk(1 if tag in SPACED and not (lists and tag in ("ul", "ol", "menu", "dir", "p")) else 0)
         if tag in ("ul", "ol", "menu", "dir"):
-            start = x.attrs.get("start", "1")
-            lists.append([tag, int(start) if start.isascii() and start.isdigit() and len(start) < 9 else 1])
+            lists.append([tag, _number(x.attrs["start"], 0, 99_999_999) if x.attrs.get("start", "").isdigit() else 1])
         elif tag == "li":
             indents.append(out.indent)
             mark = "- "
             if lists and lists[-1][0] == "ol":
                 mark = f"{lists[-1][1]}. "
                 lists[-1][1] += 1
-            out.prefix = out.prefix + mark
+            if shown:
+                out.prefix = out.prefix + mark
         elif tag in ("dd", "blockquote"):
             indents.append(out.indent)
             out.indent += "  "
         elif tag in ("pre", "listing", "xmp", "textarea"):
             pre += 1
-        todo.append(("out", x))
-        todo.extend(("in", c) for c in reversed(x.children))
+        todo.append(("out", x, shown))
+        todo.extend(("in", c, shown) for c in reversed(x.children))
     return out.result()
 
 
 def extract(page: str | None) -> str:
     """The visible text of a page."""
-    return render(parse(page)) if page else ""
+    if not page:
+        return ""
+    root, done = parse(page), {}
+    for table, shown in tables_of(root):
+        done[id(table)] = _lay_out(table, shown, done)
+    return render(root, done=done)
 
 
 SCHEMA = "page_id bigint, text string, n_chars bigint, n_lines bigint, text_sha256 string"
