@@ -39,13 +39,14 @@ from pyspark.sql import functions as F
 
 from tessella.llm import textscan as ts
 from tessella.llm.components import connected_components
-from tessella.storage import Scratch
+from tessella.storage import Scratch, files_for
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 5
 FINER = (120, 9)  # bands and rows of the last round
 BLOCK = 1 << 19  # shingles of the documents of a cluster that are compared with so many others at once
+CHUNK = 1 << 20  # bytes of text that are signed together
 _SALT = np.uint64(0x8CB92BA72F3D8DD7)
 MASK = (1 << 64) - 1
 
@@ -116,7 +117,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for chunk in ts.chunks(batch.column(2)):
+        for chunk in ts.chunks(batch.column(2), CHUNK):
             doc, key, count, n = shingles(chunk)
             keys = band_keys(bag_minhash(doc, key, count, len(chunk), bands * rows), bands, rows)
             offsets = np.arange(len(chunk) + 1, dtype=np.int32) * bands
@@ -129,7 +130,7 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text) to (node, units): one 64-bit number for each shingle and occurrence."""
     for batch in batches:
-        for chunk in ts.chunks(batch.column(1)):
+        for chunk in ts.chunks(batch.column(1), CHUNK):
             doc, key, count, n = shingles(chunk)
             unit = ts.mix(np.repeat(key, count) + ts.ranges(np.zeros(len(count), np.int64), count).astype(np.uint64) * _SALT).view(np.int64)
             offsets = np.zeros(len(chunk) + 1, dtype=np.int32)
@@ -140,8 +141,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sign_units(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     """(node, part, units) to a row (part, key) per band: the units of a document are a set, so all counts are 1."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            piece = batch.slice(at, 256)
+        for at in range(0, batch.num_rows, 64):
+            piece = batch.slice(at, 64)
             sizes = np.asarray(piece.column(2).value_lengths())
             doc = np.repeat(np.arange(piece.num_rows), sizes)
             key = ts.mix(np.asarray(piece.column(2).flatten()).astype(np.int64).view(np.uint64) + _SALT)
@@ -231,7 +232,7 @@ def _least(links: DataFrame) -> DataFrame:
 
 def find_classes(documents: DataFrame, *, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, n_shingles for every row: class_id is the least doc_id of the documents connected by near duplicates."""
-    run = Scratch(documents.sparkSession, "near-dup")
+    run = Scratch(documents.sparkSession, "near-dup", files_for(documents))
     digest = F.md5("text")
     signed = run.table(documents.select(F.col("doc_id").cast("bigint"), digest.alias("digest"), "text").mapInArrow(lambda b: _sign(b, bands, rows), "doc_id bigint, digest string, n_shingles bigint, bands array<bigint>"), "signed")
     lone = -F.abs(F.shiftright(F.xxhash64("digest"), 1)) - 2

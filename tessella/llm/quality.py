@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textscan as ts
-from tessella.storage import materialize
+from tessella.storage import files_for, materialize
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -197,13 +197,13 @@ def _judge(counted: DataFrame, usable: DataFrame, cutoff: float) -> DataFrame:
 
 def score_outliers(documents: DataFrame, *, cutoff: float = CUTOFF, min_group: int = 200, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """Counts, base_failed, squared distance, and kept for every document, beside the ``keep`` columns."""
-    counted = materialize(_counted(documents, keep), "quality")
+    counted = materialize(_counted(documents, keep), "quality", files_for(documents))
     return _judge(counted, _fit_usable(counted, min_group), cutoff)
 
 
 def keep_good(documents: DataFrame, *, cutoff: float = CUTOFF, min_group: int = 200) -> DataFrame:
     """Documents that are kept, columns as they are. Texts are read again instead of being shuffled or stored."""
-    counted = materialize(_counted(documents, ("lang", "source")), "quality")
+    counted = materialize(_counted(documents, ("lang", "source")), "quality", files_for(documents))
     rows = documents.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
     judged = _judge(_counted(rows, ("lang", "source", "row")), _fit_usable(counted, min_group), cutoff)
     return judged.where("kept").select("row.*")

@@ -57,7 +57,7 @@ BYTE_VALUES = _byte_values()
 def powers(base: np.uint64, n: int, name: str) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = 1 << n.bit_length()
         grown = np.full(size, base, dtype=U64)
         grown[0] = 1
         np.multiply.accumulate(grown, out=grown)
