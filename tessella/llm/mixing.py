@@ -7,8 +7,9 @@ gives where each document starts. A document takes the part of the budget that f
 source is cut exactly at its budget. A budget of several epochs takes every document that many times and cuts the
 last epoch.
 
-A hot source is spread over 16 ** ``digits`` ranges, so no task holds a source. Only (source, range) sums and source
-totals are ever gathered by a key.
+A hot source is spread over 16 ** ``digits`` ranges, so no task holds a source; rows without doc_id are placed by their
+text. Only (source, range) sums and source totals are ever gathered by a key: a window over the sums of one source, and
+one over one row per source.
 
 Defined results: null text counts as empty (size 0, takes 0); null source is a source of its own, last in order;
 repeated rows stand one after another in key order, each with its own interval; an empty table gives an empty
@@ -18,11 +19,13 @@ result; sources of size 0 get the target 0. Columns other than doc_id, text and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.native_text import SPACE_WORD
-from tessella.storage import materialize
+from tessella.storage import files_for, materialize
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -50,43 +53,61 @@ def source_targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, sh
     return ranked.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix_sources(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, digits: int = 3, seed: int = 17, size: F.Column | None = None, row: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """For each row: the ``row`` columns, source, size, source_size, target, taken.
+def digits_for(documents: DataFrame) -> int:
+    """Leading digits of a key that name its range: 3 (4,096 ranges of each source), more beyond 128 GB of input."""
+    return max(3, math.ceil(math.log(files_for(documents), 16)))
 
-    ``size`` is the token count of a document, by default its words.
-    """
+
+def _sized(documents: DataFrame, size: Column | None, digits: int, seed: int, *carried: Column) -> DataFrame:
+    """The carried columns, and source, size, key, range of every row."""
     size = F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long") if size is None else size
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = documents.select(*row, "source", size.alias("size"), key.alias("key"))
-    sized = materialize(sized.withColumn("range", F.conv(F.substring("key", 1, digits), 16, 10).cast("int")), "mix")
-    sums = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    sums = materialize(sums, "mix-sums")
+    # Without an id the text stands in, so that such rows spread over the ranges.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), name))
+    rows = documents.select(*carried, F.col("source").alias("source"), size.alias("size"), key.alias("key"))
+    return rows.withColumn("range", F.conv(F.substring("key", 1, digits), 16, 10).cast("int"))
+
+
+def _range_sums(sized: DataFrame, files: int) -> DataFrame:
+    return materialize(sized.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-sums", files)
+
+
+def _placed(sized: DataFrame, sums: DataFrame, order: tuple[str, ...], weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """Rows with source_size, target, taken, epochs and last_epoch, by the interval of each in its source."""
     targets = source_targets(sums.select("source", F.col("range_size").alias("size")), weights=weights, share=share, most=most)
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("range_start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     plan = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(starts["source"].alias("own_source"), F.col("range").alias("own_range"), "range_start", "source_size", "target")
     placed = sized.join(plan, sized["source"].eqNullSafe(plan["own_source"]) & (sized["range"] == plan["own_range"]))
-    inside = Window.partitionBy("source", "range").orderBy("key", *row, "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    inside = Window.partitionBy("source", "range").orderBy("key", *order, "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("start", F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.floor("target").cast("long")
-    placed = placed.withColumn("start", start)
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - whole * F.col("source_size")
-    last = F.least(F.greatest(rest - F.col("start"), F.lit(0)), F.col("size"))
-    return placed.select(*row, "source", "size", "source_size", "target", (whole * F.col("size") + last).alias("taken"), whole.alias("epochs"), last.alias("last_epoch"))
+    last = F.least(F.greatest(budget - whole * F.col("source_size") - F.col("start"), F.lit(0)), F.col("size"))
+    return placed.withColumn("epochs", whole).withColumn("last_epoch", last).withColumn("taken", F.col("epochs") * F.col("size") + F.col("last_epoch"))
+
+
+def mix_sources(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, digits: int | None = None, seed: int = 17, size: Column | None = None) -> DataFrame:
+    """For each row: doc_id, source, size, source_size, target, taken, epochs, last_epoch.
+
+    ``size`` is the token count of a document, by default its words.
+    """
+    files = files_for(documents)
+    sized = materialize(_sized(documents, size, digits or digits_for(documents), seed, F.col("doc_id")), "mix", files)
+    placed = _placed(sized, _range_sums(sized, files), ("doc_id",), weights, share, most)
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", "epochs", "last_epoch")
 
 
-def apply_mix(documents: DataFrame, **options) -> DataFrame:
+def apply_mix(documents: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, digits: int | None = None, seed: int = 17, size: Column | None = None) -> DataFrame:
     """The mixed corpus: every document once for each whole epoch, and once more if at least half of it is inside the
     budget of the last one (documents stay whole, so a source may miss its budget by half a document). Documents of
-    size 0 take no budget and are left out. Rows are told apart by doc_id and a hash of the text."""
+    size 0 take no budget and are left out. Sizes are counted in one pass, and rows placed in a second that carries them
+    to their range; every row has an interval of its own, repeated rows too."""
+    digits = digits or digits_for(documents)
+    sums = _range_sums(_sized(documents, size, digits, seed), files_for(documents))
     # Rows travel as one struct, so none of their columns clashes with those of the plan.
-    texted = documents.select("doc_id", "text", "source", F.xxhash64("doc_id", "text").alias("mix_row"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    mixed = mix_sources(texted, row=("doc_id", "mix_row"), **options)
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    rows = _sized(documents, size, digits, seed, F.col("doc_id").alias("mix_id"), F.xxhash64("text").alias("mix_text"), whole_row).where("size > 0")
+    placed = _placed(rows, sums, ("mix_id", "mix_text"), weights, share, most)
     copies = (F.col("epochs") + F.when(2 * F.col("last_epoch") >= F.col("size"), 1).otherwise(0)).cast("int")
-    plan = mixed.where("size > 0").select(F.col("doc_id").alias("own_id"), F.col("mix_row").alias("own_row"), copies.alias("copies"), F.col("source").alias("own_source"))
-    plan = plan.groupBy("own_id", "own_row", "own_source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    # All rows of a key are equal in id and text: the total of their copies is dealt evenly.
-    joined = texted.join(plan, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mix_row") == F.col("own_row")) & F.col("source").eqNullSafe(F.col("own_source")))
-    share = F.ceil(F.col("copies") / F.col("rows")).cast("int")
-    return joined.where(share > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1), share))).select("row.*")
+    return placed.withColumn("copies", copies).where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

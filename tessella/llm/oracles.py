@@ -86,7 +86,7 @@ FROM t LEFT JOIN bs ON t.doc_id = bs.doc_id LEFT JOIN ks ON t.doc_id = ks.doc_id
 
 
 OP9 = f"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{SPACE}')) AS size, md5('17:' || doc_id) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{SPACE}')) AS size, md5(concat('17:', coalesce(CAST(doc_id AS VARCHAR), concat(':', md5(coalesce(text, '')))))) AS k FROM documents),
 s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 2.0::DOUBLE * source_size AS most FROM s),
 o AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS budget, sum(w) OVER () - sum(w) OVER x AS later, sum(most) OVER x AS upto FROM r WINDOW x AS (ORDER BY most / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),

@@ -171,7 +171,8 @@ def brute_mix(rows):
         sizes[source] += len(words(text))
     targets, out = brute_targets(sizes), []
     for source, total in sizes.items():
-        own = sorted(((hashlib.md5(f"17:{'' if i is None else i}".encode()).hexdigest(), i, len(words(t))) for i, t, s in rows if s == source))
+        name = lambda i, t: f"17:{i}" if i is not None else f"17::{hashlib.md5((t or '').encode()).hexdigest()}"
+        own = sorted(((hashlib.md5(name(i, t).encode()).hexdigest(), -1 if i is None else i, len(words(t))) for i, t, s in rows if s == source))
         at, quota = 0, int(targets[source] + 1e-9)
         for _, i, n in own:
             whole = quota // total if total else 0
@@ -191,7 +192,7 @@ def test_budgets_are_met_exactly(spark):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randint(0, 60), f"s{rng.randrange(7) if i % 3 else 0}") for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    taken = {r.source: (r.t, r.q) for r in mixing.mix_sources(df, row=("doc_id",)).groupBy("source").agg({"taken": "sum", "target": "max"}).toDF("source", "t", "q").collect()}
+    taken = {r.source: (r.t, r.q) for r in mixing.mix_sources(df).groupBy("source").agg({"taken": "sum", "target": "max"}).toDF("source", "t", "q").collect()}
     assert all(t == int(q + 1e-9) for t, q in taken.values())
     mixed = mixing.apply_mix(df).collect()
     longest = max(len(words(t)) for _, t, _ in rows)
@@ -200,6 +201,23 @@ def test_budgets_are_met_exactly(spark):
     assert Counter(r.doc_id for r in mixed) == Counter(r.doc_id for r in mixing.apply_mix(df.repartition(5)).collect())
 
 
+def test_repeated_rows_share_their_copies(spark):
+    rows = [(7, "a b c d e f g", "s")] * 3 + [(8, "x " * 6, "t")] + [(None, "u v w", "s")] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    target = {r.source: r.target for r in mixing.mix_sources(df).collect()}
+    taken = Counter()
+    for r in mixing.apply_mix(df.repartition(3)).collect():
+        taken[r.source] += len(words(r.text))
+    assert all(abs(taken[s] - target[s]) <= 4 for s in target)
+    placed = mixing.mix_sources(df).where("doc_id = 7").collect()
+    assert len({r.taken for r in placed}) > 1 and all(r.taken <= 2 * r["size"] for r in placed)
+
+
+def test_rows_without_ids_spread_over_ranges(spark):
+    df = spark.createDataFrame([(None, f"t {k}", "s") for k in range(200)], "doc_id bigint, text string, source string")
+    assert mixing._sized(df, None, 3, 17).select("range").distinct().count() > 150
+
+
 def test_mix_of_nothing(spark, empty):
     assert mixing.mix_sources(empty).count() == 0 and mixing.apply_mix(empty).count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id bigint, text string, source string")
