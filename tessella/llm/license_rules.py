@@ -272,6 +272,17 @@ class Rule(NamedTuple):
     priority: int
     label: str
     confidence: float
+    needle: str  # stands in every match
+
+
+def rule(gate: str, template: str, priority: int, label: str) -> Rule:
+    return Rule(gate, compile_template(template), priority, label, CONFIDENCE[priority], longest_fixed(template))
+
+
+def longest_fixed(template: str) -> str:
+    """The longest run of words of a template that are neither optional nor alternatives, as it stands in a wrapped text."""
+    runs = " ".join("|" if t[0] == "(" or t[-1] == "?" else t for t in template.split()).split("|")
+    return max(("".join(f" {w} " for w in r.split()) for r in runs), key=len)
 
 
 def compile_template(template: str) -> str:
@@ -287,10 +298,10 @@ def compile_template(template: str) -> str:
 def rules() -> list[Rule]:
     """All rules, in order."""
     split = lambda text: [[x.strip() for x in re.split(r" \| ", line, maxsplit=3)] for line in text.strip().splitlines()]
-    out = [Rule(gate, compile_template(template), int(p), label, CONFIDENCE[int(p)]) for label, gate, p, template in split(NOTICES)]
+    out = [rule(gate, template, int(p), label) for label, gate, p, template in split(NOTICES)]
     for p, form in split(FORMS):
-        out += [Rule(gate, compile_template(form.replace("NAME", name)), int(p), label, CONFIDENCE[int(p)]) for label, gate, name in (x[:2] + [" | ".join(x[2:])] for x in split(NAMES))]
+        out += [rule(gate, form.replace("NAME", name), int(p), label) for label, gate, name in (x[:2] + [" | ".join(x[2:])] for x in split(NAMES))]
     for tables, p, form, gate in SHORT_FORMS:
-        out += [Rule(gate or name.split()[0], compile_template(form.replace("NAME", name)), p, label, CONFIDENCE[p]) for text in tables for label, name in split(text)]
-    out += [Rule(name, compile_template(f"{OPERANDS} {name}"), 4, name, CONFIDENCE[4]) for name in ("mit", "isc", "zlib", "unlicense", "0bsd")]
+        out += [rule(gate or name.split()[0], form.replace("NAME", name), p, label) for text in tables for label, name in split(text)]
+    out += [rule(name, f"{OPERANDS} {name}", 4, name) for name in ("mit", "isc", "zlib", "unlicense", "0bsd")]
     return list(dict.fromkeys(out))

@@ -2,7 +2,8 @@
 
 Several hundred regular expressions (``license_rules``) are gated by keywords: the distinct words of a text are
 intersected with the gate words once, and only rules whose gate word is there are tried, so most texts cost one
-hash lookup per word. A match is an interval of characters of the wrapped text with the rule's priority (1 is
+hash lookup per word. Of those, only rules whose longest run of fixed words (the needle) stands in the text reach the
+regular expression. A match is an interval of characters of the wrapped text with the rule's priority (1 is
 strongest). Matches are walked by start, longest first; one inside the interval of a surviving match of the same
 or a stronger priority is dropped. The walk is linear: it keeps the furthest end seen per priority.
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.license_rules import CONFIDENCE, rules
-from tessella.llm.native_text import count_of, find_all, wrapped_words
+from tessella.llm.native_text import count_of, find_all, let, running, wrapped_words
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -43,26 +44,25 @@ def detections(wrapped_text: Column, present: Column) -> Column:
 
     ``present`` must be a column that is computed already: a lambda would compute an expression for every rule.
     """
-    table = F.array(*[F.struct(F.lit(r.gate).alias("gate"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence")) for r in rules()])
-    tried = F.filter(table, lambda r: F.array_contains(present, r["gate"]))
+    table = F.array(*[F.struct(F.lit(r.gate).alias("gate"), F.lit(r.needle).alias("needle"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("confidence")) for r in rules()])
+    tried = F.filter(table, lambda r: F.array_contains(present, r["gate"]) & F.contains(wrapped_text, r["needle"]))
     found = F.flatten(F.transform(tried, lambda r: F.transform(find_all(wrapped_text, r["pattern"]), lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("neg_end"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence")))))
     return F.when(F.size(present) > 0, F.array_sort(found))
 
 
 def survivors(found: Column) -> Column:
-    """Interval-containment suppression by priority."""
-    first = F.struct(*[F.lit(-1).alias(f"end{p}") for p in CONFIDENCE], F.array().cast(SPAN).alias("kept"))
-
-    def step(acc: Column, d: Column) -> Column:
-        end = -d["neg_end"]
-        covered = F.lit(False)
-        for p in CONFIDENCE:
-            covered = covered | ((d["priority"] >= p) & (acc[f"end{p}"] >= end))
-        ends = [F.when(~covered & (d["priority"] == p), F.greatest(acc[f"end{p}"], end)).otherwise(acc[f"end{p}"]).alias(f"end{p}") for p in CONFIDENCE]
-        span = F.struct(d["start"].alias("start"), end.alias("stop"), d["priority"].alias("priority"), d["label"].alias("label"), d["confidence"].alias("confidence"))
-        return F.struct(*ends, F.when(covered, acc["kept"]).otherwise(F.array_append(acc["kept"], span)).alias("kept"))
-
-    return F.aggregate(found, first, step, lambda acc: acc["kept"])
+    """Interval-containment suppression by priority: a detection goes if one before it, of the same or a stronger priority,
+    reaches as far. (If that one goes itself, what covers it covers this one too.)"""
+    level = lambda p: f"end{p}"
+    reach = F.transform(found, lambda d: F.struct(*[F.when(d["priority"] <= p, -d["neg_end"]).otherwise(-1).alias(level(p)) for p in CONFIDENCE]))
+    before = running(reach, F.struct(*[F.lit(-1).alias(level(p)) for p in CONFIDENCE]), lambda a, b: F.struct(*[F.greatest(a[level(p)], b[level(p)]).alias(level(p)) for p in CONFIDENCE]))
+
+    def judged(d: Column, past: Column) -> Column:
+        furthest = F.element_at(F.array(*[past[level(p)] for p in CONFIDENCE]), d["priority"])
+        span = F.struct(d["start"].alias("start"), (-d["neg_end"]).alias("stop"), d["priority"].alias("priority"), d["label"].alias("label"), d["confidence"].alias("confidence"))
+        return F.struct((furthest >= -d["neg_end"]).alias("covered"), span.alias("span"))
+
+    return let(found, lambda every: F.transform(F.filter(F.zip_with(every, before, judged), lambda x: ~x["covered"]), lambda x: x["span"]))
 
 
 def scan_licenses(documents: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.native_text import find_all
+from tessella.llm.native_text import find_all, let, running
 
 #: Base kinds, in order: pattern, shortest match (assign: shortest value).
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -112,16 +112,6 @@ def letter_cost(token: Column) -> Column:
     return letters + _sum(F.transform(pairs, after))
 
 
-def measured(token: Column) -> Column:
-    """The battery's numbers for one token: n, z scores of the three tests, and ln of the likelihood ratio."""
-    folded = F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
-    alphabet = encoding_of(folded)
-    k = F.length(alphabet).cast("double")
-    chars = F.filter(F.split(folded, ""), lambda c: c != "")
-    place = F.transform(chars, lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-    return F.struct(place.alias("place"), k.alias("k"), F.length(folded).cast("double").alias("n"), switches(folded).alias("switches"), F.when(folded.rlike("^[A-Za-z]+$"), letter_cost(folded)).otherwise(F.length(folded) * NATURAL).alias("natural"))
-
-
 def switches(token: Column) -> Column:
     """How often neighbouring characters are of different classes."""
     classes = F.translate(token, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=", "A" * 26 + "a" * 26 + "0" * 10 + "+++")
@@ -133,29 +123,40 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def battery(m: Column) -> Column:
-    """(n, p_random, log_natural) of a measured token."""
-    place, k, n = m["place"], m["k"], m["n"]
-    squares = _sum(F.transform(F.array_distinct(place), lambda s: F.pow(F.size(F.filter(place, lambda x: x == s)).cast("double"), F.lit(2.0))))
-    chi = (k / n * squares - n - (k - 1.0)) / F.sqrt(2.0 * (k - 1.0) * (1.0 - 1.0 / n))
-    high = F.transform(place, lambda x: F.when(2.0 * x >= k, 1.0).otherwise(0.0))
-    n1 = _sum(high)
-    n2 = n - n1
-    pairs = F.arrays_zip(F.slice(high, 1, F.size(high) - 1).alias("a"), F.slice(high, 2, F.size(high) - 1).alias("b"))
-    runs = 1.0 + _sum(F.transform(pairs, lambda p: F.when(p["a"] == p["b"], 0.0).otherwise(1.0)))
-    expected = 1.0 + 2.0 * n1 * n2 / n
-    spread = 2.0 * n1 * n2 * (2.0 * n1 * n2 - n) / (n * n * (n - 1.0))
-    z_runs = F.when(spread > 0, (runs - expected) / F.sqrt(F.greatest(spread, F.lit(1e-9)))).otherwise(99.0)
-    mean = _sum(place) / n
-    centered = F.transform(place, lambda x: x - mean)
-    energy = _sum(F.transform(centered, lambda x: x * x))
-    near = F.arrays_zip(F.slice(centered, 1, F.size(centered) - 1).alias("a"), F.slice(centered, 2, F.size(centered) - 1).alias("b"))
-    serial = _sum(F.transform(near, lambda p: p["a"] * p["b"]))
-    z_serial = F.when(energy > 0, serial / F.greatest(energy, F.lit(1e-9)) * F.sqrt(n)).otherwise(99.0)
-    # Only too many repeats speak against a key; too even a spread does not make a token natural.
-    p = 3.0 * F.least(F.when(chi > 0, normal_tail(chi)).otherwise(1.0), normal_tail(z_runs), normal_tail(z_serial))
-    log_natural = n * F.log(k) - m["natural"] - m["switches"] * SWITCH
-    return F.struct(n.alias("n"), F.least(p, F.lit(1.0)).alias("p_random"), F.least(log_natural, F.lit(0.0)).alias("log_natural"))
+def battery(token: Column) -> Column:
+    """(n, p_random, log_natural) of one token. What a lambda needs is bound before, so the work is linear in the token."""
+    folded = F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
+    neighbours = lambda of: F.zip_with(F.slice(of, F.lit(1), F.size(of) - 1), F.slice(of, F.lit(2), F.size(of) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def symbols(text: Column) -> Column:
+        natural = F.when(text.rlike("^[A-Za-z]+$"), letter_cost(text)).otherwise(F.length(text) * NATURAL) + switches(text) * SWITCH
+        place = lambda alphabet: F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
+        return let(encoding_of(text), lambda alphabet: F.struct(place(alphabet).alias("place"), F.length(alphabet).cast("double").alias("k"), F.length(text).cast("double").alias("n"), natural.alias("natural")))
+
+    def sums(m: Column) -> Column:
+        place, k = m["place"], m["k"]
+        squares = _sum(F.transform(F.array_distinct(place), lambda s: F.pow(F.size(F.filter(place, lambda x: x == s)).cast("double"), F.lit(2.0))))
+        runs = lambda high: F.struct(_sum(high).alias("n1"), (1.0 + _sum(F.transform(neighbours(high), lambda p: F.when(p["a"] == p["b"], 0.0).otherwise(1.0)))).alias("runs"))
+        waves = lambda c: F.struct(_sum(F.transform(c, lambda x: x * x)).alias("energy"), _sum(F.transform(neighbours(c), lambda p: p["a"] * p["b"])).alias("serial"))
+        half = let(F.transform(place, lambda x: F.when(2.0 * x >= k, 1.0).otherwise(0.0)), runs)
+        wave = let(_sum(place) / m["n"], lambda mean: let(F.transform(place, lambda x: x - mean), waves))
+        return F.struct(m["n"].alias("n"), k.alias("k"), m["natural"].alias("natural"), squares.alias("squares"), half.alias("half"), wave.alias("wave"))
+
+    def verdict(m: Column) -> Column:
+        k, n, n1, runs = m["k"], m["n"], m["half"]["n1"], m["half"]["runs"]
+        chi = (k / n * m["squares"] - n - (k - 1.0)) / F.sqrt(2.0 * (k - 1.0) * (1.0 - 1.0 / n))
+        n2 = n - n1
+        expected = 1.0 + 2.0 * n1 * n2 / n
+        spread = 2.0 * n1 * n2 * (2.0 * n1 * n2 - n) / (n * n * (n - 1.0))
+        z_runs = F.when(spread > 0, (runs - expected) / F.sqrt(F.greatest(spread, F.lit(1e-9)))).otherwise(99.0)
+        energy = m["wave"]["energy"]
+        z_serial = F.when(energy > 0, m["wave"]["serial"] / F.greatest(energy, F.lit(1e-9)) * F.sqrt(n)).otherwise(99.0)
+        # Only too many repeats speak against a key; too even a spread does not make a token natural.
+        tail = lambda z: let(z, normal_tail)
+        p = 3.0 * F.least(let(chi, lambda c: F.when(c > 0, normal_tail(c)).otherwise(1.0)), tail(z_runs), tail(z_serial))
+        return F.struct(n.alias("n"), F.least(p, F.lit(1.0)).alias("p_random"), F.least(n * F.log(k) - m["natural"], F.lit(0.0)).alias("log_natural"))
+
+    return let(let(let(folded, symbols), sums), verdict)
 
 
 def with_random(found: DataFrame) -> DataFrame:
@@ -165,19 +166,32 @@ def with_random(found: DataFrame) -> DataFrame:
     """
     text, none = F.col("text"), F.array().cast(SPAN)
     mixed = F.filter(_found(text, TOKEN, F.lit(True)), lambda m: m["found"].rlike("[A-Za-z]") & (F.length(F.regexp_replace(m["found"], "=+$", "")) >= MIN_LENGTH))
-    rated = F.transform(F.transform("mixed", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), measured(m["found"]).alias("m"))), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), battery(r["m"]).alias("b")))
+    rated = F.transform("mixed", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), battery(m["found"]).alias("b")))
     found = found.withColumn("mixed", mixed).withColumn("rated", F.when(F.size("mixed") > 0, rated))
-    count = F.size("rated").cast("double")
-    found = found.withColumn("n_tokens", count).withColumn("mean_length", _sum(F.transform("rated", lambda r: r["b"]["n"])) / count)
     # Weighted Benjamini-Hochberg over the document's tokens, on logarithms; a null limit discovers nothing.
-    found = found.withColumn("scored", F.transform("rated", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["b"]["p_random"].alias("p_random"), (r["b"]["log_natural"] + F.log("mean_length") - F.log(r["b"]["n"])).alias("q"))))
+    weight = lambda rated: F.log(_sum(F.transform(rated, lambda r: r["b"]["n"])) / F.size(rated))
+    rate = lambda mean: F.transform("rated", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["b"]["p_random"].alias("p_random"), (r["b"]["log_natural"] + mean - F.log(r["b"]["n"])).alias("q")))
+    found = found.withColumn("scored", F.when(F.size("rated") > 0, let(weight(F.col("rated")), rate)))
     ordered = F.array_sort(F.transform("scored", lambda s: s["q"]))
-    found = found.withColumn("limit", F.array_max(F.transform(ordered, lambda x, i: F.when(x <= F.log((i + 1).cast("double") * FDR / F.col("n_tokens")), x))))
-    taken = F.filter("scored", lambda s: (s["q"] <= F.col("limit")) & (s["p_random"] >= REJECT) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["stop"])))
-    spans = F.transform(taken, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind_order"), s["end"].alias("stop"), F.lit("random").alias("kind")))
+    found = found.withColumn("limit", F.array_max(F.transform(ordered, lambda x, i: F.when(x <= F.log((i + 1).cast("double") * FDR / F.size("scored")), x))))
+    found = found.withColumn("likely", let(F.col("limit"), lambda limit: F.filter("scored", lambda s: (s["q"] <= limit) & (s["p_random"] >= REJECT))))
+    spans = F.transform(apart("likely", "base"), lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind_order"), s["end"].alias("stop"), F.lit("random").alias("kind")))
     return found.withColumn("random", F.coalesce(spans, none))
 
 
+def apart(tokens: str, base: str) -> Column:
+    """The tokens that overlap no base span: of the spans that start before a token ends none ends after its start."""
+    event = lambda at, order, start, end, reach: F.struct(at.alias("at"), F.lit(order).alias("order"), start.alias("start"), end.alias("end"), reach.alias("reach"))
+    ends = F.transform(tokens, lambda s: event(s["end"], 0, s["start"], s["end"], F.lit(-1)))
+    starts = F.transform(base, lambda b: event(b["start"], 1, b["start"], b["stop"], b["stop"]))
+
+    def free(events: Column) -> Column:
+        before = running(F.transform(events, lambda e: e["reach"]), F.lit(-1), lambda a, b: F.greatest(a, b))
+        return F.filter(F.zip_with(events, before, lambda e, reach: F.struct(e["order"].alias("order"), e["start"].alias("start"), e["end"].alias("end"), reach.alias("reach"))), lambda e: (e["order"] == 0) & (e["reach"] <= e["start"]))
+
+    return F.when(F.size(tokens) > 0, let(F.array_sort(F.concat(ends, starts)), free))
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
