@@ -65,11 +65,13 @@ def _sized(documents: DataFrame, size: Column | None, digits: int, seed: int, *c
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
     key = F.md5(F.concat(F.lit(f"{seed}:"), name))
     rows = documents.select(*carried, F.col("source").alias("source"), size.alias("size"), key.alias("key"))
-    return rows.withColumn("range", F.conv(F.substring("key", 1, digits), 16, 10).cast("int"))
+    rows = rows.withColumn("range", F.conv(F.substring("key", 1, digits), 16, 10).cast("int"))
+    # One column names source and range, null included: the join with the plan and the window share one exchange.
+    return rows.withColumn("spot", F.concat_ws(":", "range", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))))
 
 
 def _range_sums(sized: DataFrame, files: int) -> DataFrame:
-    return materialize(sized.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-sums", files)
+    return materialize(sized.groupBy("source", "range", "spot").agg(F.sum("size").alias("range_size")), "mix-sums", files)
 
 
 def _placed(sized: DataFrame, sums: DataFrame, order: tuple[str, ...], weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -77,9 +79,9 @@ def _placed(sized: DataFrame, sums: DataFrame, order: tuple[str, ...], weights:
     targets = source_targets(sums.select("source", F.col("range_size").alias("size")), weights=weights, share=share, most=most)
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("range_start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
-    plan = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select(starts["source"].alias("own_source"), F.col("range").alias("own_range"), "range_start", "source_size", "target")
-    placed = sized.join(plan, sized["source"].eqNullSafe(plan["own_source"]) & (sized["range"] == plan["own_range"]))
-    inside = Window.partitionBy("source", "range").orderBy("key", *order, "size").rowsBetween(Window.unboundedPreceding, -1)
+    plan = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).select("spot", "range_start", "source_size", "target")
+    placed = sized.join(plan, "spot")
+    inside = Window.partitionBy("spot").orderBy("key", *order, "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.floor("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
