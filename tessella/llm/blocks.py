@@ -1,8 +1,8 @@
 """Counting keys over the whole corpus in blocks.
 
 Rows are dealt to *blocks* of a few megabytes of text by a hash, so a hot source or a group of copies spreads out. A
-block sends its distinct keys as sorted 64-bit arrays cut in *parts* by key range: one row with a binary payload for
-each block and part instead of one row per key. A part adds up what all blocks sent and answers each block in the
+block sends its distinct keys as sorted 64-bit arrays cut in *parts* by key range: one row with a binary payload (steps
+between keys, compressed) for each block and part in which it has any, instead of one row per key. A part adds up what all blocks sent and answers each block in the
 order of its keys. Hot keys cost one entry per block; a part holds a bounded share of a hash-uniform key space.
 """
 
@@ -11,6 +11,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import math
+import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +42,47 @@ def released(work, *inputs):
     return out
 
 
-def cut(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each part begins and ends in sorted keys: parts + 1 places."""
-    edges = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64) if parts > 1 else np.zeros(0, np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+def pieces(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, begin, end) of sorted keys in ``parts`` equal ranges of the key space; only ranges that hold a key."""
+    if len(keys):
+        part = part_of(keys, parts)
+        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        yield from zip(part[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True)
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+_HEAD = struct.Struct("<QB")
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned numbers, byte by byte of the width that the largest needs, compressed."""
+    values = np.ascontiguousarray(values, dtype="<u8")
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return _HEAD.pack(len(values), width) + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    n, width = _HEAD.unpack_from(data)
+    planes = np.frombuffer(pa.Codec("zstd", 1).decompress(data[_HEAD.size :], n * width), dtype=np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").reshape(-1)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)) if len(keys) else keys)
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data), dtype=np.uint64)
+
+
+pack_counts, unpack_counts = _pack, _unpack
 
 
 def column(table: pa.Table, name: str) -> list:
@@ -57,10 +96,13 @@ def single(table: pa.Table, name: str) -> pa.Array:
 
 
 def add_up(payloads: list[bytes], counts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Sorted keys of several blocks and their counts: the total of each block's keys, and the totals of distinct keys."""
-    keys = [np.frombuffer(p, dtype=np.uint64) for p in payloads]
+    """Packed sorted keys of several blocks and their counts: the total of each block's keys, and the totals of distinct keys."""
+    keys = [unpack_keys(p) for p in payloads]
     flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    own = np.concatenate([np.frombuffer(c, dtype=np.uint32) for c in counts]) if counts else np.zeros(0, np.uint32)
+    own = np.concatenate([unpack_counts(c) for c in counts]) if counts else np.zeros(0, np.uint64)
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    del keys
     _, inverse = np.unique(flat, return_inverse=True)
+    # Sums of whole numbers are exact in a double up to 2**53.
     totals = np.bincount(inverse, weights=own, minlength=0).astype(np.int64)
-    return np.split(totals[inverse], np.cumsum([len(k) for k in keys])[:-1]), totals
+    return np.split(totals[inverse], ends), totals

@@ -1,16 +1,20 @@
-"""Language-model scores with the weights of a backoff automaton, computed by array look-ups.
+"""Language-model scores by a weighted backoff automaton.
 
-Training counts of n-grams (order 2 by default) are smoothed toward the next lower order with a Dirichlet prior of
+Training counts of n-grams (order 3 by default) are smoothed toward the next lower order with a Dirichlet prior of
 weight ``prior``: p(w | context) = (n(context w) + prior p(w | shorter context)) / (n(context) + prior), down to an
 add-0.1 unigram model with one unknown word, so the probabilities of all words after any context sum to one. In
-backoff form a seen n-gram is an arc with its log-probability, and a context is a state whose failure arc, of weight
-log(prior / (n(context) + prior)), leads to the context without its first word. No states are stored and none is
-carried over tokens: each token's weight (its arc, or failure arcs and then an arc) is computed from the looked-up
-counts of the n-grams that end at it, in steps over whole arrays, with the sums that a walk would give.
+backoff form every n-gram that was seen in training is a state (its words are the context), reached by an arc of weight
+log p(w | context); a state's failure arc, of weight log(prior / (n(context) + prior)), leads to the context without its
+first word, and the empty context has an arc for every word.
 
-The automaton of the whole corpus is never in one place. Each block of documents (see ``blocks``) asks for the counts
-of the n-grams that it holds; n-gram counts cover
-all training documents and grow with them. Words and n-grams are told apart by 64-bit hashes.
+The automaton of the whole corpus is never in one place. Each block of documents (see ``blocks``) asks for the counts of
+the n-grams that it holds, which cover all training documents, and builds the states, arcs and failure arcs that its
+texts can reach (``BackoffAutomaton``). Its texts are then read from left to right once, all of them in step: a text
+carries its state, follows failure arcs until the state has an arc for the token, adds up the weights, and goes where the
+arc leads.
+
+What is exchanged is linear in the corpus at any size: a block sends a sorted array of keys and counts to each part of the
+key space in which it has any, so there are never more rows than keys. Words and n-grams are told apart by 64-bit hashes.
 
 Tokens are words (ASCII lower-cased, cut at ASCII white space) and one end token per document. Training documents are
 those whose crc32(doc_id as text) mod 10 is not 0; a missing doc_id counts as empty text. Defined results: null and
@@ -32,9 +36,11 @@ from tessella.llm import textscan as ts
 
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 ADD = 0.1
-REQUEST = "part int, level int, block int, keys binary, counts binary"
-ANSWER = "block int, level int, part int, totals binary"
+REQUEST = "part bigint, level int, block int, keys binary, counts binary"
+ANSWER = "block int, level int, part bigint, totals binary"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+NONE = -1
+SEGMENT = 512
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,47 +56,138 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(tokens), np.concatenate(counts)) if tokens else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def grams(tokens: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
+def gram_key(before: np.ndarray, gram: np.ndarray, level: int) -> np.ndarray:
+    """Hashes of n-grams of the level, from the token in front and the hashes of the rest."""
+    return ts.mix(ts.mix(before + np.uint64(level)) ^ gram * np.uint64(0x9E3779B97F4A7C15))
+
+
+def grams(tokens: np.ndarray, counts: np.ndarray, order: int) -> Iterator[np.ndarray]:
     """For each order from 1, the hash of the n-gram that ends at each token; documents start with start tokens."""
     first = np.cumsum(counts) - counts
     place = np.arange(len(tokens)) - np.repeat(first, counts)
-    out = [tokens]
+    key = tokens
+    yield key
     for k in range(2, order + 1):
         before = np.full(len(tokens), START, dtype=np.uint64)  # the token k - 1 places back
         inside = place >= k - 1
         before[inside] = tokens[np.flatnonzero(inside) - (k - 1)]
-        out.append(ts.mix(ts.mix(before + np.uint64(k)) ^ out[-1] * np.uint64(0x9E3779B97F4A7C15)))
-    return out
+        key = gram_key(before, key, k)
+        yield key
+
+
+class Arcs:
+    """Arcs by (state, token): a sorted array of hashes, entered at the place that the leading bits tell."""
+
+    def __init__(self, states: list[np.ndarray], tokens: list[np.ndarray], weights: list[np.ndarray], to: list[np.ndarray]):
+        key = self._key(np.concatenate(states), np.concatenate(tokens))
+        order = np.argsort(key)
+        self.key, self.weight, self.to = key[order], np.concatenate(weights)[order], np.concatenate(to)[order]
+        bits = max(1, len(key).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.enter = np.searchsorted(self.key, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    @staticmethod
+    def _key(state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        return ts.mix(state.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ ts.mix(token))
+
+    def find(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Places of arcs, NONE where there is none."""
+        out = np.full(len(state), NONE, dtype=np.int64)
+        key = self._key(state, token)
+        at, left = self.enter[key >> self.shift], np.arange(len(key))
+        while len(left):
+            inside = at < len(self.key)
+            at, left, key = at[inside], left[inside], key[inside]
+            here = self.key[at]
+            hit, more = here == key, here < key
+            out[left[hit]] = at[hit]
+            at, left, key = at[more] + 1, left[more], key[more]
+        return out
 
 
 class BackoffAutomaton:
-    """Weights of arcs and failure arcs at each token of some documents, without states.
+    """States, arcs and failure arcs over the n-grams of some documents.
 
-    ``counts[k]`` are training counts of the (k+1)-gram at each token; ``contexts[k]`` those of its first k words.
-    Arcs are addressed by the token at which they are used.
+    The empty context is state 0, the context of start tokens alone the next ``order - 1``; every other state is a seen
+    n-gram under the highest order. Arcs are rows of a table sorted by (state, token): weight and next state.
     """
 
-    def __init__(self, counts: list[np.ndarray], contexts: list[np.ndarray], train_tokens: int, vocabulary: int, prior: float):
-        self.unigram = np.log10((counts[0] + ADD) / (train_tokens + ADD * (vocabulary + 1)))
-        self.arc, self.has, self.failure = [], [], []
-        lower = np.power(10.0, self.unigram)
-        for n, c in zip(counts[1:], contexts[1:], strict=True):
-            lower = (n + prior * lower) / (c + prior)
-            self.arc.append(np.log10(lower))
-            self.has.append(n > 0)
-            self.failure.append(np.log10(prior / (c + prior)))
-
-    def traverse(self) -> np.ndarray:
-        """The weight with which each token is read, in order."""
-        weight = np.zeros(len(self.unigram))
-        reading = np.ones(len(self.unigram), dtype=bool)  # tokens whose arc is not found yet
-        for arc, has, failure in zip(reversed(self.arc), reversed(self.has), reversed(self.failure), strict=True):
-            taken = reading & has
-            weight[taken] += arc[taken]
-            reading &= ~has
-            weight[reading] += failure[reading]
-        weight[reading] += self.unigram[reading]
-        return weight
+    def __init__(self, order: int, train_tokens: int, vocabulary: int, prior: float, starts: int):
+        """``starts``: training documents, each of which has every context of start tokens once."""
+        self.order, self.prior = order, prior
+        self.unknown = -np.log10((train_tokens + ADD * (vocabulary + 1)) / ADD)
+        self.total = train_tokens + ADD * (vocabulary + 1)
+        self.failure_to = [NONE, *range(order - 1)]
+        self.context_count = [train_tokens, *[starts] * (order - 1)]
+        self.arcs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # of each level: state, token, count, next
+
+    def add_level(self, state: np.ndarray, token: np.ndarray, count: np.ndarray, fallback: np.ndarray) -> np.ndarray:
+        """Arcs of seen n-grams of one level: from a state of one word less, with their training counts. Unless the level is
+        the highest, each leads to a new state, which fails to ``fallback``; else to ``fallback``. Returns where they lead."""
+        highest = len(self.arcs) + 1 == self.order
+        to = fallback if highest else np.arange(len(self.failure_to), len(self.failure_to) + len(state))
+        if not highest:
+            self.failure_to = np.concatenate([self.failure_to, fallback])
+            self.context_count = np.concatenate([self.context_count, count])
+        self.arcs.append((state, token, count, to))
+        return to
+
+    def finish(self) -> None:
+        """Weights of all arcs, level by level, and the table of arcs in the order of (state, token)."""
+        self.failure_to = np.asarray(self.failure_to, dtype=np.int64)
+        context = np.asarray(self.context_count, dtype=np.float64)
+        self.failure = np.log10(self.prior / (context + self.prior))
+        states, tokens, weights, nexts = [], [], [], []
+        for level, (state, token, count, to) in enumerate(self.arcs):
+            if level == 0:
+                p = (count + ADD) / self.total
+            else:
+                # The same token is read one failure arc further down, possibly by a shorter arc still.
+                shorter = self._step(Arcs(states, tokens, weights, nexts), self.failure_to[state], token)[0]
+                p = (count + self.prior * np.power(10.0, shorter)) / (context[state] + self.prior)
+            states.append(state)
+            tokens.append(token)
+            weights.append(np.log10(p))
+            nexts.append(to)
+        self.table = Arcs(states, tokens, weights, nexts)
+
+    def _step(self, table: Arcs, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Read a token in each of some states: total weight, and the next state."""
+        weight, to = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        reading, at = np.arange(len(state)), state.copy()
+        while len(reading):
+            place = table.find(at, token[reading])
+            found = place >= 0
+            weight[reading[found]] += table.weight[place[found]]
+            to[reading[found]] = table.to[place[found]]
+            lost = ~found & (at == 0)  # a word that training never had
+            weight[reading[lost]] += self.unknown
+            left = ~found & ~lost
+            weight[reading[left]] += self.failure[at[left]]
+            reading, at = reading[left], self.failure_to[at[left]]
+        return weight, to
+
+    def read(self, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 probability of each document, from left to right with a state carried along.
+
+        Documents are read in step. A long one is entered again every ``SEGMENT`` tokens, so that it doesn't read on alone:
+        the state there depends on the ``order - 1`` tokens before, which are read first for no score.
+        """
+        pieces = -(-counts // SEGMENT)
+        doc = np.repeat(np.arange(len(counts)), pieces)
+        first = (np.cumsum(counts) - counts)[doc]
+        scored = first + ts.ranges(np.zeros(len(counts), np.int64), pieces) * SEGMENT
+        begin = np.maximum(scored - (self.order - 1), first)
+        length = np.minimum(scored + SEGMENT, first + counts[doc]) - begin
+        order = np.argsort(-length, kind="stable")
+        begin, scored, length = begin[order], scored[order], length[order]
+        state = np.where(begin == first[order], self.order - 1, 0)
+        score = np.zeros(len(order))
+        for step in range(int(length[0]) if len(length) else 0):
+            alive = int(np.searchsorted(-length, -step, side="left"))  # longer than ``step``
+            weight, state[:alive] = self._step(self.table, state[:alive], tokens[begin[:alive] + step])
+            score[:alive] += np.where(begin[:alive] + step >= scored[:alive], weight, 0.0)
+        return np.bincount(doc[order], weights=score, minlength=len(counts))
 
 
 def _request(table: pa.Table, order: int, parts: int) -> pa.Table:
@@ -101,50 +198,68 @@ def _request(table: pa.Table, order: int, parts: int) -> pa.Table:
     block = table.column("block")[0].as_py()
     for level, key in enumerate(grams(tokens, n, order), 1):
         distinct, inverse = np.unique(key, return_inverse=True)
-        count = np.bincount(inverse, weights=train, minlength=len(distinct)).astype(np.uint32)
-        edge = blocks.cut(distinct, parts)
-        for p in range(parts):
-            for name, value in zip(out, (p, level, block, distinct[edge[p] : edge[p + 1]].tobytes(), count[edge[p] : edge[p + 1]].tobytes()), strict=True):
+        count = np.bincount(inverse, weights=train, minlength=len(distinct)).astype(np.uint64)
+        del inverse
+        for p, lo, hi in blocks.pieces(distinct, parts):
+            for name, value in zip(out, (p, level, block, blocks.pack_keys(distinct[lo:hi]), blocks.pack_counts(count[lo:hi])), strict=True):
                 out[name].append(value)
-    return pa.table(out, schema=pa.schema([("part", pa.int32()), ("level", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+    return pa.table(out, schema=pa.schema([("part", pa.int64()), ("level", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
 
 def _answer(table: pa.Table) -> pa.Table:
     answers, _ = blocks.add_up(blocks.column(table, "keys"), blocks.column(table, "counts"))
-    return pa.table({"block": table.column("block"), "level": table.column("level"), "part": table.column("part"), "totals": pa.array([a.astype(np.uint32).tobytes() for a in answers], pa.binary())})
+    return pa.table({"block": table.column("block"), "level": table.column("level"), "part": table.column("part"), "totals": pa.array([blocks.pack_counts(a) for a in answers], pa.binary())})
+
+
+def build(levels: Iterator[np.ndarray], totals: Iterator[np.ndarray], tokens: np.ndarray, n: np.ndarray, order: int, prior: float, train_tokens: int, vocabulary: int, train_docs: int) -> tuple[BackoffAutomaton, np.ndarray]:
+    """The automaton of some documents, and the training count of each token.
+
+    ``levels``: the n-grams that end at each token, from order 1; ``totals``: training counts of the distinct ones, in order.
+    """
+    model = BackoffAutomaton(order, train_tokens, vocabulary, prior, train_docs)
+    first, state_before, known = np.cumsum(n) - n, np.zeros(len(tokens), np.int64), None
+    # Where each (n-1)-gram that ends at a token has its state, NONE if training never had it; for level 1 the empty context.
+    ends_in = np.zeros(len(tokens), np.int64)
+    for level, (key, total) in enumerate(zip(levels, totals, strict=True), 1):
+        _, example, inverse = np.unique(key, return_index=True, return_inverse=True)
+        if known is None:
+            known = total[inverse]
+        if level > 1:  # the context of the n-gram at a token ends one token earlier
+            state_before = np.empty(len(tokens), np.int64)
+            state_before[1:] = ends_in[:-1]
+            state_before[first] = level - 1  # level - 1 start tokens
+        seen = np.flatnonzero(total > 0)
+        at = example[seen]  # a token at which each seen n-gram ends
+        fallback = np.zeros(len(seen), np.int64) if level == 1 else ends_in[at]
+        to = model.add_level(state_before[at], tokens[at], total[seen].astype(np.int64), fallback)
+        leads = np.full(len(total), NONE, dtype=np.int64)
+        leads[seen] = to
+        ends_in = leads[inverse]
+    model.finish()
+    return model, known
 
 
 def _score(docs: pa.Table, answers: pa.Table, order: int, prior: float, train_tokens: int, vocabulary: int, train_docs: int) -> pa.Table:
     tokens, n = tokens_of(blocks.single(docs, "text"))
-    told: dict[tuple[int, int], bytes] = dict(zip(zip(blocks.column(answers, "level"), blocks.column(answers, "part"), strict=True), blocks.column(answers, "totals"), strict=True))
+    told = dict(zip(zip(blocks.column(answers, "level"), blocks.column(answers, "part"), strict=True), blocks.column(answers, "totals"), strict=True))
+    totals = (np.concatenate([blocks.unpack_counts(told[k]) for k in sorted(k for k in told if k[0] == level)]) for level in range(1, order + 1))
+    model, known = build(grams(tokens, n, order), totals, tokens, n, order, prior, train_tokens, vocabulary, train_docs)
     first = np.cumsum(n) - n
-    counts, contexts = [], []
-    for level, key in enumerate(grams(tokens, n, order), 1):
-        _, inverse = np.unique(key, return_inverse=True)
-        totals = np.concatenate([np.frombuffer(told[k], dtype=np.uint32) for k in sorted(k for k in told if k[0] == level)])
-        # The context of an n-gram is the (n-1)-gram that ends one token earlier; at the start it is the start of a document.
-        shorter = np.empty(len(tokens), dtype=np.int64)
-        if counts:
-            shorter[1:] = counts[-1][:-1]
-            shorter[first] = train_docs
-        contexts.append(shorter)
-        counts.append(totals[inverse].astype(np.int64))
-    model = BackoffAutomaton(counts, contexts, train_tokens, vocabulary, prior)
     add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)  # noqa: E731  every document has a token
-    return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(add((counts[0] > 0).astype(np.int64)).astype(np.int64)), "base_score": pa.array(add(model.unigram).astype(np.float64)), "score": pa.array(add(model.traverse()).astype(np.float64))})
+    base = np.log10((known + ADD) / (train_tokens + ADD * (vocabulary + 1)))
+    return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(add((known > 0).astype(np.int64)).astype(np.int64)), "base_score": pa.array(add(base).astype(np.float64)), "score": pa.array(model.read(tokens, n))})
 
 
 def _vocabulary_request(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Distinct training tokens with counts, for each batch of documents as it is scanned."""
-    schema = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    """Distinct training tokens with counts, for each few batches of documents as they are scanned."""
+    schema = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
     held: list[np.ndarray] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
         distinct, count = np.unique(np.concatenate(held), return_counts=True)
-        edge = blocks.cut(distinct, parts)
-        spans = [slice(edge[p], edge[p + 1]) for p in range(parts)]
-        return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([distinct[s].tobytes() for s in spans], pa.binary()), pa.array([count[s].astype(np.uint32).tobytes() for s in spans], pa.binary())], schema=schema)
+        spans = list(blocks.pieces(distinct, parts))
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in spans], pa.int64()), pa.array([blocks.pack_keys(distinct[a:b]) for _, a, b in spans], pa.binary()), pa.array([blocks.pack_counts(count[a:b]) for _, a, b in spans], pa.binary())], schema=schema)
 
     for batch in batches:
         tokens, _ = tokens_of(batch.column(0))
@@ -162,16 +277,16 @@ def _vocabulary(table: pa.Table) -> pa.Table:
     return pa.table({"tokens": [int(totals.sum())], "distinct": [len(totals)]})
 
 
-def score_documents(documents: DataFrame, *, order: int = 2, prior: float = 50.0, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+def score_documents(documents: DataFrame, *, order: int = 3, prior: float = 50.0, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
     n_blocks = blocks.count_blocks(documents, block_bytes)
     docs = documents.select(blocks.block_of(n_blocks, "doc_id", "text").alias("block"), F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held_out"), "text")
     train = docs.where(~F.col("held_out"))
-    sums = train.select("text").mapInArrow(lambda b: _vocabulary_request(b, n_blocks), "part int, keys binary, counts binary").groupBy("part").applyInArrow(_vocabulary, "tokens bigint, distinct bigint")
+    sums = train.select("text").mapInArrow(lambda b: _vocabulary_request(b, n_blocks), "part bigint, keys binary, counts binary").groupBy("part").applyInArrow(_vocabulary, "tokens bigint, distinct bigint")
     seen = sums.agg(F.sum("tokens"), F.sum("distinct")).first()
     train_tokens, vocabulary, train_docs = int(seen[0] or 0), int(seen[1] or 0), train.count()
-    asked = docs.groupBy("block").applyInArrow(lambda t: _request(t, order, n_blocks), REQUEST)
-    told = asked.groupBy("part", "level").applyInArrow(_answer, ANSWER)
-    scored = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, a: _score(d, a, order, prior, train_tokens, vocabulary, train_docs), SCORES)
+    asked = docs.groupBy("block").applyInArrow(lambda t: blocks.released(_request, t, order, n_blocks), REQUEST)
+    told = asked.groupBy("part", "level").applyInArrow(lambda t: blocks.released(_answer, t), ANSWER)
+    scored = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, a: blocks.released(lambda x, y: _score(x, y, order, prior, train_tokens, vocabulary, train_docs), d, a), SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

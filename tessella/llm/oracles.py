@@ -33,15 +33,17 @@ _CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform
 
 OP5 = f"""
 WITH d AS (SELECT doc_id, {_CRC} % 10 = 0 AS held_out, list_append(regexp_extract_all({LOWER}, '{SPACE}'), ' end') AS w FROM documents),
-t AS (SELECT doc_id, held_out, unnest(list_prepend(' start', w[:-2])) AS p, unnest(w) AS w FROM d),
+t AS (SELECT doc_id, held_out, unnest(list_concat([' start', ' start'], w)[:-3]) AS o, unnest(list_prepend(' start', w)[:-2]) AS p, unnest(w) AS w FROM d),
 u AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
 b AS (SELECT p, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY p, w),
+g AS (SELECT o, p, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY o, p, w),
+x AS (SELECT p, sum(c) AS c FROM b GROUP BY p),
+y AS (SELECT o, p, sum(c) AS c FROM g GROUP BY o, p),
 n AS (SELECT sum(c) AS n, count(*) AS v FROM u),
-s AS (SELECT doc_id, held_out, coalesce(u.c, 0) AS c, coalesce(b.c, 0) AS cb,
-      coalesce(CASE WHEN t.p = ' start' THEN (SELECT c FROM u WHERE w = ' end') ELSE q.c END, 0) AS ctx, n.n, (coalesce(u.c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (n.v + 1)) AS pu
-      FROM t LEFT JOIN u ON t.w = u.w LEFT JOIN u AS q ON t.p = q.w LEFT JOIN b ON t.p = b.p AND t.w = b.w, n)
+s AS (SELECT doc_id, held_out, coalesce(u.c, 0) AS c, coalesce(b.c, 0) AS cb, coalesce(g.c, 0) AS cg, coalesce(x.c, 0) AS cx, coalesce(y.c, 0) AS cy, n.n, (coalesce(u.c, 0) + 0.1::DOUBLE) / (n.n + 0.1::DOUBLE * (n.v + 1)) AS pu
+      FROM t LEFT JOIN u ON t.w = u.w LEFT JOIN b ON t.p = b.p AND t.w = b.w LEFT JOIN g ON t.o = g.o AND t.p = g.p AND t.w = g.w LEFT JOIN x ON t.p = x.p LEFT JOIN y ON t.o = y.o AND t.p = y.p, n)
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, CAST(max(n) AS BIGINT) AS train_tokens,
-       round(sum(log10(pu)), 6) AS base_score, round(sum(log10((cb + 50 * pu) / (ctx + 50))), 6) AS score FROM s GROUP BY doc_id, held_out
+       round(sum(log10(pu)), 6) AS base_score, round(sum(log10((cg + 50 * (cb + 50 * pu) / (cx + 50)) / (cy + 50))), 6) AS score FROM s GROUP BY doc_id, held_out
 """
 
 OP6 = f"""

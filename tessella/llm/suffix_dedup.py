@@ -38,10 +38,10 @@ CHUNK = 1 << 18
 BLOCK_BYTES = 4 << 20
 PARTS_PER_BLOCK = 3
 BATCH = 1 << 16  # bytes of segments in one suffix array; segments of one fingerprint stay together
-REQUEST = "part int, level int, block int, keys binary, counts binary"
-ANSWER = "block int, part int, repeated binary"
+REQUEST = "part bigint, block int, keys binary, counts binary"
+ANSWER = "block int, part bigint, repeated binary"
 _SEGMENT_COLUMNS = ("fingerprints", "lengths", "data", "segment", "doc_id", "doc_hash", "row", "start")
-SEGMENTS = "part int, block int, " + ", ".join(f"{c} binary" for c in _SEGMENT_COLUMNS)
+SEGMENTS = "part bigint, block int, " + ", ".join(f"{c} binary" for c in _SEGMENT_COLUMNS)
 FLAGS = "block int, rows binary, starts binary, counts binary"
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<start:bigint,end:bigint>>"
 _NEVER = np.iinfo(np.int64).min
@@ -93,15 +93,13 @@ def _count(docs: pa.Table, length: int, parts: int) -> pa.Table:
     found = [f for _, f, *_ in _all_runs(blocks.single(docs, "text"), length)]
     distinct, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
     count = np.minimum(count, 2).astype(np.uint32)
-    edge = blocks.cut(distinct, parts)
-    block = docs.column("block")[0].as_py()
-    spans = [slice(edge[p], edge[p + 1]) for p in range(parts)]
-    return pa.table({"part": pa.array(range(parts), pa.int32()), "level": pa.array([0] * parts, pa.int32()), "block": pa.array([block] * parts, pa.int32()), "keys": pa.array([distinct[s].tobytes() for s in spans], pa.binary()), "counts": pa.array([count[s].tobytes() for s in spans], pa.binary())})
+    block, spans = docs.column("block")[0].as_py(), list(blocks.pieces(distinct, parts))
+    return pa.table({"part": pa.array([p for p, _, _ in spans], pa.int64()), "block": pa.array([block] * len(spans), pa.int32()), "keys": pa.array([blocks.pack_keys(distinct[a:b]) for _, a, b in spans], pa.binary()), "counts": pa.array([blocks.pack_counts(count[a:b]) for _, a, b in spans], pa.binary())})
 
 
 def _repeated(asked: pa.Table) -> pa.Table:
     answers, _ = blocks.add_up(blocks.column(asked, "keys"), blocks.column(asked, "counts"))
-    return pa.table({"block": asked.column("block"), "part": asked.column("part"), "repeated": pa.array([(a > 1).tobytes() for a in answers], pa.binary())})
+    return pa.table({"block": asked.column("block"), "part": asked.column("part"), "repeated": pa.array([np.packbits(a > 1).tobytes() for a in answers], pa.binary())})
 
 
 def _segments(docs: pa.Table, answers: pa.Table, length: int, parts: int) -> pa.Table:
@@ -110,11 +108,11 @@ def _segments(docs: pa.Table, answers: pa.Table, length: int, parts: int) -> pa.
     ids = np.array([_NEVER if x is None else x for x in blocks.column(docs, "doc_id")], dtype=np.int64)
     hashes = np.array([0 if x is None else x for x in blocks.column(docs, "doc_hash")], dtype=np.int64)
     told = dict(zip(blocks.column(answers, "part"), blocks.column(answers, "repeated"), strict=True))
-    again = np.concatenate([np.frombuffer(told[p], dtype=bool) for p in sorted(told)]) if told else np.zeros(0, bool)
     texts = blocks.single(docs, "text")
     found = list(_all_runs(texts, length))
     distinct = np.unique(np.concatenate([f for _, f, *_ in found])) if found else np.zeros(0, np.uint64)
-    repeated = distinct[again]
+    again = [np.unpackbits(np.frombuffer(told[p], dtype=np.uint8), count=b - a).astype(bool) for p, a, b in blocks.pieces(distinct, parts)]
+    repeated = distinct[np.concatenate(again)] if again else distinct
     known: dict[tuple[int, bytes], int] = {}
     segment, row, start = [], [], []
     for chunk, f, doc, at, n in found:
@@ -132,23 +130,21 @@ def _segments(docs: pa.Table, answers: pa.Table, length: int, parts: int) -> pa.
         fingerprint = np.array([k for k, _ in known], dtype=np.uint64)
         data = [d for _, d in known]
         order = np.argsort(fingerprint, kind="stable")
-        edge = blocks.cut(fingerprint[order], parts)
-        part_of, new_number = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        for p in range(parts):
-            part_of[order[edge[p] : edge[p + 1]]] = p
-            new_number[order[edge[p] : edge[p + 1]]] = np.arange(edge[p + 1] - edge[p])
+        spans = list(blocks.pieces(fingerprint[order], parts))
+        new_number, piece_of = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        for k, (_, lo, hi) in enumerate(spans):
+            piece_of[order[lo:hi]] = k
+            new_number[order[lo:hi]] = np.arange(hi - lo)
         segment_, row_, start_ = np.array(segment), np.concatenate(row), np.concatenate(start)
-        by_part = np.argsort(part_of[segment_], kind="stable")
-        places = np.searchsorted(part_of[segment_][by_part], np.arange(parts + 1))
+        by_piece = np.argsort(piece_of[segment_], kind="stable")
+        places = np.searchsorted(piece_of[segment_][by_piece], np.arange(len(spans) + 1))
         block = docs.column("block")[0].as_py()
-        for p in range(parts):
-            own, at = order[edge[p] : edge[p + 1]], by_part[places[p] : places[p + 1]]
-            if not len(own):
-                continue
+        for k, (p, lo, hi) in enumerate(spans):
+            own, at = order[lo:hi], by_piece[places[k] : places[k + 1]]
             values = (fingerprint[own], np.array([len(data[i]) for i in own], dtype=np.int32), b"".join(data[i] for i in own), new_number[segment_[at]].astype(np.int32), ids[row_[at]], hashes[row_[at]], row_[at].astype(np.int32), start_[at].astype(np.int32))
             for name, value in zip(out, (p, block, *values), strict=True):
                 out[name].append(value.tobytes() if isinstance(value, np.ndarray) else value)
-    return pa.table(out, schema=pa.schema([("part", pa.int32()), ("block", pa.int32()), *((c, pa.binary()) for c in _SEGMENT_COLUMNS)]))
+    return pa.table(out, schema=pa.schema([("part", pa.int64()), ("block", pa.int32()), *((c, pa.binary()) for c in _SEGMENT_COLUMNS)]))
 
 
 def repeats_among(segments: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -340,7 +336,7 @@ def remove_repeats(documents: DataFrame, *, length: int = 100, block_bytes: int
     parts = PARTS_PER_BLOCK * n
     docs = documents.select(blocks.block_of(n, "doc_id", "text").alias("block"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), F.xxhash64("text").alias("doc_hash"), "text")
     asked = docs.groupBy("block").applyInArrow(lambda t: blocks.released(_count, t, length, parts), REQUEST)
-    told = asked.groupBy("part", "level").applyInArrow(lambda t: blocks.released(_repeated, t), ANSWER)
+    told = asked.groupBy("part").applyInArrow(lambda t: blocks.released(_repeated, t), ANSWER)
     found = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, a: blocks.released(_segments, d, a, length, parts), SEGMENTS)
     # As many partitions as parts: the work on a part is far more than its bytes tell.
     flags = found.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: blocks.released(_resolve, t, length), FLAGS)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tessella.llm import decontaminate, html_text, language_model, license_rules, licenses, packing, quality, queries, secrets, suffix_dedup
+from tessella.llm import blocks, decontaminate, html_text, language_model, license_rules, licenses, packing, quality, queries, secrets, suffix_dedup
 from tessella.llm import textscan as ts
 from tessella.llm.suffix_array import suffix_array
 
@@ -341,38 +341,73 @@ def test_licenses_of_nothing(empty):
 # Language model
 
 
-def brute_scores(rows, prior=50.0):
+def brute_scores(rows, order=3, prior=50.0):
     tokens = [[w.translate({i: i + 32 for i in range(65, 91)}) for w in words(t)] + ["\0end"] for _, t, *_ in rows]
     held = [zlib.crc32(str(r[0]).encode() if r[0] is not None else b"") % 10 == 0 for r in rows]
-    c = Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
-    pairs = Counter(p for t, h in zip(tokens, held, strict=True) if not h for p in zip(["\0start", *t], t, strict=False))
-    total, known = sum(c.values()), len(c)
-    contexts = c + Counter({"\0start": held.count(False)})
-    uni = lambda w: (c[w] + 0.1) / (total + 0.1 * (known + 1))
+    seen, context = Counter(), Counter()
+    for t, h in zip(tokens, held, strict=True):
+        for i, w in enumerate(t if not h else []):
+            past = (["\0start"] * (order - 1) + t)[i : i + order - 1]
+            for k in range(order):
+                seen[*past[order - 1 - k :], w] += 1
+                context[tuple(past[order - 1 - k :])] += 1
+    total, known = context[()], sum(len(k) == 1 for k in seen)
+
+    def p(w, past):
+        if not past:
+            return (seen[w,] + 0.1) / (total + 0.1 * (known + 1))
+        return (seen[*past, w] + prior * p(w, past[1:])) / (context[tuple(past)] + prior)
+
     out = []
     for r, t, h in zip(rows, tokens, held, strict=True):
-        score = sum(math.log10((pairs[p, w] + prior * uni(w)) / (contexts[p] + prior)) for p, w in zip(["\0start", *t], t, strict=False))
-        out.append((r[0], h, len(t), sum(c[w] > 0 for w in t), total, round(sum(math.log10(uni(w)) for w in t), 5), round(score, 5)))
+        score = sum(math.log10(p(w, (["\0start"] * (order - 1) + t)[i : i + order - 1])) for i, w in enumerate(t))
+        out.append((r[0], h, len(t), sum(seen[w,] > 0 for w in t), total, round(sum(math.log10(p(w, [])) for w in t), 5), round(score, 5)))
     return Counter(out)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 15_000])
-def test_scores_equal_brute_force(edge, edge_rows, block_bytes):
-    got = language_model.score_documents(edge, block_bytes=block_bytes).collect()
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got) == brute_scores(edge_rows)
+@pytest.mark.parametrize(("block_bytes", "order"), [(1 << 24, 3), (15_000, 3), (15_000, 1), (15_000, 4)])
+def test_scores_equal_brute_force(edge, edge_rows, block_bytes, order):
+    got = language_model.score_documents(edge, block_bytes=block_bytes, order=order).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got) == brute_scores(edge_rows, order)
+
+
+def automaton(texts, order):
+    tokens, n = language_model.tokens_of(pa.array(texts))
+    totals = (np.unique(key, return_counts=True)[1] for key in language_model.grams(tokens, n, order))
+    return language_model.build(language_model.grams(tokens, n, order), totals, tokens, n, order, 50.0, len(tokens), len(np.unique(tokens)), len(texts))[0], tokens, n
+
+
+def test_probabilities_of_every_state_sum_to_one():
+    model, tokens, _ = automaton(["a b a c", "b a", "a", "a b a b a c c"], 3)
+    words_ = np.append(np.unique(tokens), np.uint64(12345))
+    going_on = np.unique(np.concatenate([state for state, *_ in model.arcs]))  # nothing follows an end
+    assert len(going_on) > 8
+    for state in going_on:
+        weight, _ = model._step(model.table, np.full(len(words_), state), words_)
+        assert math.isclose(np.power(10.0, weight).sum(), 1.0, rel_tol=1e-9)
+
+
+def test_long_texts_are_read_alike_in_segments(monkeypatch):
+    rng = random.Random(3)
+    model, tokens, n = automaton([" ".join(rng.choice("abcdef") for _ in range(k)) for k in (0, 1, 5, 40, 700)], 3)
+    whole = model.read(tokens, n)
+    monkeypatch.setattr(language_model, "SEGMENT", 3)
+    assert np.allclose(model.read(tokens, n), whole)
+
+
+def test_exchange_grows_with_the_corpus(spark):
+    """Rows that blocks send: never more than keys, whatever the number of parts."""
+    table = pa.table({"block": pa.array([0, 0], pa.int32()), "text": ["a b c d e f", "g h i"], "held_out": [False, False]})
+    keys = sum(len(np.unique(k)) for k in language_model.grams(*language_model.tokens_of(table.column("text")), 3))
+    assert [language_model._request(table, 3, parts).num_rows for parts in (1, 10**3, 10**6, 10**9)] == sorted([3, *[language_model._request(table, 3, p).num_rows for p in (10**3, 10**6, 10**9)]])
+    assert language_model._request(table, 3, 10**9).num_rows <= keys
 
 
-def test_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(1, "a b a c"), (2, "b a"), (3, "a")], "doc_id bigint, text string")
-    ask = spark.createDataFrame([(1, "a b a c"), (2, "b a"), (3, "a")], "doc_id bigint, text string")
-    assert docs.count() == ask.count()
-    tokens, n = language_model.tokens_of(pa.array(["a b a c", "b a", "a"]))
-    uni = Counter(tokens.tolist())
-    pairs = Counter(zip(tokens[:-1].tolist(), tokens[1:].tolist(), strict=True))
-    first = tokens[0]
-    every = np.array([*uni, 12345], dtype=np.uint64)
-    model = language_model.BackoffAutomaton([np.array([uni.get(int(w), 0) for w in every]), np.array([pairs.get((int(first), int(w)), 0) if int(w) in uni else 0 for w in every])], [np.zeros(len(every)), np.full(len(every), sum(v for (a, _), v in pairs.items() if a == int(first)))], len(tokens), len(uni), 50.0)
-    assert math.isclose(np.power(10.0, model.traverse()).sum(), 1.0, rel_tol=1e-9)
+def test_counts_beyond_32_bits():
+    keys, many = np.array([1, 2**63], dtype=np.uint64), np.array([2**32 + 5, 3], dtype=np.uint64)
+    (a, b), totals = blocks.add_up([blocks.pack_keys(keys), blocks.pack_keys(keys[:1])], [blocks.pack_counts(many), blocks.pack_counts(many[:1])])
+    assert a.tolist() == [2 * (2**32 + 5), 3] and b.tolist() == [2 * (2**32 + 5)] and totals.sum() == a.sum()
+    assert blocks.unpack_counts(blocks.pack_counts(a)).tolist() == a.tolist() and len(blocks.unpack_keys(blocks.pack_keys(keys[:0]))) == 0
 
 
 def test_scores_of_nothing(empty):
