@@ -1,14 +1,15 @@
 """Document quality: counted rules, then robust multivariate outliers.
 
 ``text_statistics`` counts per document in one vectorised pass. ``score_outliers`` transforms the counts to a
-vector of five statistics and estimates location and scatter by minimum covariance determinant (deterministic
-start at the medians and quartile ranges, then concentration steps) per language and source. A document is
-rejected if its squared Mahalanobis distance exceeds ``cutoff``.
+vector of five statistics and estimates location and scatter per language and source by the minimum covariance
+determinant: several starts, concentration steps until the determinant no longer falls, the start with the least
+determinant, and reweighting (``fit_mcd``). A document is rejected if its squared Mahalanobis distance exceeds ``cutoff``.
 
-All estimates cover all documents: a concentration step is two aggregations (a quantile of the distances, then the
+All estimates cover all documents: a concentration step is two aggregations (counts of binned distances, then the
 moments of the closest documents) that combine before they are shuffled, so a hot source is never gathered. Groups
 with under ``min_group`` documents use the estimate of their language, and failing that of all documents. Only
-parameter rows (one per group, about 400 bytes) travel between steps.
+parameter rows (one per group and start, about 400 bytes) travel between steps. Counts decide what is in a subset and
+parameters are rounded, so reruns agree.
 
 Defined results: null and empty texts have no words and fail the counted rules; null language or source is a group
 of its own; repeated rows are judged alike; an empty table gives an empty result.
@@ -21,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import textscan as ts
-from tessella.storage import files_for, materialize
+from tessella.storage import Scratch, files_for, materialize
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -35,6 +36,11 @@ FEATURES = ("log_words", "word_length", "symbol_share", "dup_share", "repeat_sha
 #: and 0.04), so their scatter sets the distance. The shares are 0 in most texts, where the closest part has no scatter, and are judged on these scales.
 FLOORS = (0.3, 0.04, 0.03, 0.12, 0.12)
 SALTS = 64
+BINS = 128  # of distances, for each doubling
+ALL = "[]"  # the level of all documents
+PARAMS = "level string, start int, total bigint, center array<double>, inverse array<double>, log_det double"
+#: The 0.975 quantile of chi-squared with five degrees of freedom.
+NEAR = 12.833
 #: The 0.9999 quantile of chi-squared with five degrees of freedom.
 CUTOFF = 25.745
 
@@ -106,7 +112,7 @@ def features() -> list[Column]:
 def _levels() -> Column:
     """Keys of the three estimates that a document belongs to: its language and source, its language, everything."""
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    return F.array(F.to_json(F.array(part("lang"), part("source"))), F.to_json(F.array(part("lang"))), F.lit("[]"))
+    return F.array(F.to_json(F.array(part("lang"), part("source"))), F.to_json(F.array(part("lang"))), F.lit(ALL))
 
 
 def _distance() -> Column:
@@ -120,8 +126,13 @@ def _distance() -> Column:
     return total
 
 
-def _fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Moments of the closest documents of each group to its location and inverse scatter."""
+def _bin() -> Column:
+    """Distances in steps of about 0.5 %, as whole numbers: counts of them are the same in whatever order they are added."""
+    return F.floor(F.log2(F.greatest(F.col("distance"), F.lit(1e-9))) * BINS).cast("int")
+
+
+def _fit(frames: Iterator[pd.DataFrame], widen: float) -> Iterator[pd.DataFrame]:
+    """Location, inverse scatter and the logarithm of its determinant from the moments of each subset."""
     p = len(FEATURES)
     floor = np.diag(np.square(FLOORS))
     for rows in frames:
@@ -133,38 +144,93 @@ def _fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             second[np.triu_indices(p)] = np.array(r.products) / n
             scatter = np.triu(second) + np.triu(second, 1).T - np.outer(mean, mean)
             # The closest part of a Gaussian group underestimates its scatter; the floor keeps the matrix regular.
-            inverse = np.linalg.inv(scatter * r.widen + floor)
-            out.append((r.level, r.total, mean.tolist(), inverse[np.triu_indices(p)].tolist()))
-        yield pd.DataFrame(out, columns=["level", "total", "center", "inverse"])
+            scatter = scatter * widen + floor
+            inverse = np.linalg.inv(scatter)[np.triu_indices(p)]
+            # Sums of floats depend on their order in the last digits.
+            out.append((r.level, r.start, r.total, [float(f"{x:.10g}") for x in mean], [float(f"{x:.10g}") for x in inverse], float(np.linalg.slogdet(scatter)[1])))
+        yield pd.DataFrame(out, columns=["level", "start", "total", "center", "inverse", "log_det"])
+
+
+def _salted(params: DataFrame) -> DataFrame:
+    return params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _moments(inner: DataFrame, widen: float) -> DataFrame:
+    sums = [F.sum(f) for f in FEATURES]
+    products = [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
+    moments = inner.groupBy("level", "start").agg(F.first("total").alias("total"), F.count(F.lit(1)).alias("n"), F.array(*sums).alias("sums"), F.array(*products).alias("products"))
+    return moments.mapInPandas(lambda frames: _fit(frames, widen), PARAMS)
+
+
+def _measured(rows: DataFrame, params: DataFrame) -> DataFrame:
+    return rows.join(_salted(params), ["level", "salt"]).select("level", "salt", "start", "total", *FEATURES, _distance().alias("distance"))
 
 
-def fit_mcd(vectors: DataFrame, *, share: float = 0.75, steps: int = 3) -> DataFrame:
-    """Location and inverse scatter of every level: (level, total, center, inverse).
+def concentrate(rows: DataFrame, params: DataFrame, share: float) -> DataFrame:
+    """One concentration step: the estimates of the closest ``share`` of each group's rows, for each of its starts.
 
-    ``vectors`` has FEATURES and ``levels``. ``share`` of each group stays in the concentration steps.
+    The subset ends with the bin of distances in which it is complete.
     """
-    # A level may hold a third of all rows, and one holds them all: rows meet parameters by level and salt.
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt")
-    rows = vectors.select(salt, F.explode("levels").alias("level"), *FEATURES)
-    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    quart = rows.groupBy("level").agg(F.count(F.lit(1)).alias("total"), *[F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f) for f in FEATURES])
-    zero = F.lit(0.0)
+    measured = _measured(rows, params).withColumn("bin", _bin())
+    counts = measured.groupBy("level", "start", "total", "bin").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("level", "start").orderBy("bin")  # a bounded number of bins
+    cuts = counts.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") >= F.ceil(share * F.col("total"))).groupBy("level", "start").agg(F.min("bin").alias("cut"))
+    inner = measured.join(_salted(cuts), ["level", "start", "salt"]).where("bin <= cut")
+    return _moments(inner, consistency(share, len(FEATURES)))
+
+
+def first_estimates(rows: DataFrame, min_group: int) -> DataFrame:
+    """Starts of every level of ``min_group`` rows or more (and of all rows): the point of medians, of lower and of upper
+    quartiles, with quartile ranges as scales. Quartiles are exact to 1/256, from counts of whole numbers."""
+    exploded = rows.select("level", F.posexplode(F.array(*FEATURES)).alias("feature", "x"))
+    counts = exploded.groupBy("level", "feature", F.floor(F.col("x") * 256).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    of = Window.partitionBy("level", "feature")
+    placed = counts.withColumn("upto", F.sum("n").over(of.orderBy("bin"))).withColumn("total", F.sum("n").over(of))
+    placed = placed.where((F.col("total") >= min_group) | (F.col("level") == ALL))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(q * F.col("total")), (F.col("bin") + 0.5) / 256))
+    quart = placed.groupBy("level", "feature").agg(F.first("total").alias("total"), F.array(at(0.25), at(0.5), at(0.75)).alias("q"))
+    wide = quart.groupBy("level").agg(F.first("total").alias("total"), *[F.first(F.when(F.col("feature") == i, F.col("q")), ignorenulls=True).alias(f) for i, f in enumerate(FEATURES)])
     spread = [F.lit(1.0) / (F.pow((F.col(f)[2] - F.col(f)[0]) / 1.349, F.lit(2.0)) + floor * floor) for f, floor in zip(FEATURES, FLOORS, strict=True)]
-    diagonal = [spread[i] if i == j else zero for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
-    params = materialize(quart.select("level", "total", F.array(*[F.col(f)[1] for f in FEATURES]).alias("center"), F.array(*diagonal).alias("inverse")), "mcd")
-    # Variance of the inner share of a standard normal vector of 5 dimensions, inverted: chi2 cdf ratio for the share kept.
-    widen = consistency(share, len(FEATURES))
-    for _ in range(steps):
-        measured = rows.join(salted(params), ["level", "salt"]).select("level", "salt", "total", *FEATURES, _distance().alias("distance"))
-        limit = measured.groupBy("level").agg(F.percentile_approx("distance", F.lit(share), 1000).alias("limit"))
-        inner = measured.join(salted(limit), ["level", "salt"]).where("distance <= limit")
-        sums = [F.sum(f) for f in FEATURES]
-        products = [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
-        moments = inner.groupBy("level").agg(F.first("total").alias("total"), F.count(F.lit(1)).alias("n"), F.array(*sums).alias("sums"), F.array(*products).alias("products")).withColumn("widen", F.lit(widen))
-        params = materialize(moments.mapInPandas(_fit, "level string, total bigint, center array<double>, inverse array<double>"), "mcd")
+    diagonal = F.array(*[spread[i] if i == j else F.lit(0.0) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))])
+    starts = [F.struct(F.lit(k).alias("start"), F.array(*[F.col(f)[q] for f in FEATURES]).alias("center")) for k, q in enumerate((1, 0, 2))]
+    return wide.select("level", F.explode(F.array(*starts)).alias("s"), "total", diagonal.alias("inverse")).select("level", "s.start", "total", "s.center", "inverse", F.lit(float("inf")).alias("log_det"))
+
+
+def least_determinant(rows: DataFrame, run: Scratch, share: float, min_group: int, trial_steps: int, most_steps: int) -> DataFrame:
+    """The estimate (PARAMS) of each level's closest ``share`` of rows with the least determinant that was found."""
+    params = run.table(first_estimates(rows, min_group), "first")
+    for k in range(trial_steps):
+        params = run.table(concentrate(rows, params, share), f"trial-{k}")
+    best = params.groupBy("level").agg(F.min_by(F.struct("start", "total", "center", "inverse", "log_det"), F.struct("log_det", "start")).alias("p"))
+    params = run.table(best.select("level", "p.*"), "best")
+    for k in range(most_steps):
+        seen = Observation()
+        before = params.select("level", F.col("log_det").alias("was"))
+        falls = concentrate(rows, params, share).join(before, "level").observe(seen, F.max(F.col("was") - F.col("log_det")).alias("fall")).drop("was")
+        params = run.table(falls, f"step-{k}")
+        if (seen.get["fall"] or 0.0) < 1e-4:
+            break
     return params
 
 
+def fit_mcd(vectors: DataFrame, *, share: float = 0.75, min_group: int = 200, trial_steps: int = 2, most_steps: int = 20) -> DataFrame:
+    """Location and inverse scatter of every level that is large enough: (level, total, center, inverse).
+
+    ``vectors`` has FEATURES and ``levels``. The subset of ``share`` of a group whose scatter has the least determinant is
+    sought from three starts: after ``trial_steps`` concentration steps the start with the least determinant goes on until no
+    group's determinant falls by over 0.01 % (or for ``most_steps``). The estimate is then taken once more from all rows
+    within the 0.975 quantile of it. Scatter is regularised by adding FLOORS squared, under which concentration steps
+    still never raise the determinant.
+    """
+    run = Scratch(vectors.sparkSession, "mcd", 1)
+    # A level may hold a third of all rows, and one holds them all: rows meet parameters by level and salt.
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt")
+    rows = vectors.select(salt, F.explode("levels").alias("level"), *FEATURES)
+    params = least_determinant(rows, run, share, min_group, trial_steps, most_steps)
+    near = _measured(rows, params).where(F.col("distance") <= NEAR)
+    return run.table(_moments(near, consistency(0.975, len(FEATURES))), "last").select("level", "total", "center", "inverse")
+
+
 def consistency(share: float, p: int) -> float:
     """The factor that makes the scatter of the closest ``share`` of normal vectors unbiased, by simulation-free integration."""
     x = np.linspace(1e-6, 60.0, 600_001)
@@ -180,15 +246,15 @@ def _counted(documents: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     return text_statistics(documents, keep).select("*", *features()).withColumn("levels", _levels())
 
 
-def _fit_usable(counted: DataFrame, min_group: int) -> DataFrame:
+def _estimates(counted: DataFrame, min_group: int) -> DataFrame:
     """Estimates of groups that are large enough. Documents that the counted rules reject would widen them."""
-    params = fit_mcd(counted.where(~base_failed()))
-    return params.where((F.col("total") >= min_group) | (F.col("level") == "[]"))
+    return fit_mcd(counted.where(~base_failed()), min_group=min_group)
 
 
 def _judge(counted: DataFrame, usable: DataFrame, cutoff: float) -> DataFrame:
     for k, name in enumerate(("own", "language", "all")):
         own = usable.select(F.col("level").alias("key"), F.struct("center", "inverse").alias(name))
+        own = F.broadcast(own.where(F.col("key") == ALL)) if name == "all" else own.where(F.col("key") != ALL)  # one row
         counted = counted.join(own, F.col("levels")[k] == F.col("key"), "left").drop("key")
     best = F.coalesce("own", "language", "all")
     judged = counted.withColumn("center", best["center"]).withColumn("inverse", best["inverse"]).withColumn("distance", _distance()).withColumn("base_failed", base_failed())
@@ -198,12 +264,12 @@ def _judge(counted: DataFrame, usable: DataFrame, cutoff: float) -> DataFrame:
 def score_outliers(documents: DataFrame, *, cutoff: float = CUTOFF, min_group: int = 200, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """Counts, base_failed, squared distance, and kept for every document, beside the ``keep`` columns."""
     counted = materialize(_counted(documents, keep), "quality", files_for(documents))
-    return _judge(counted, _fit_usable(counted, min_group), cutoff)
+    return _judge(counted, _estimates(counted, min_group), cutoff)
 
 
 def keep_good(documents: DataFrame, *, cutoff: float = CUTOFF, min_group: int = 200) -> DataFrame:
     """Documents that are kept, columns as they are. Texts are read again instead of being shuffled or stored."""
     counted = materialize(_counted(documents, ("lang", "source")), "quality", files_for(documents))
     rows = documents.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
-    judged = _judge(_counted(rows, ("lang", "source", "row")), _fit_usable(counted, min_group), cutoff)
+    judged = _judge(_counted(rows, ("lang", "source", "row")), _estimates(counted, min_group), cutoff)
     return judged.where("kept").select("row.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -182,32 +183,56 @@ def test_counts_across_chunks():
     assert [np.concatenate(x).tolist() for x in zip(*whole, strict=True)] == [np.concatenate(x).tolist() for x in zip(*small, strict=True)]
 
 
-def brute_mcd(x, share=0.75, steps=3):
-    """The same estimate in numpy, for one group."""
-    floor, n = np.array(quality.FLOORS), len(x)
-    at = lambda v, p: np.sort(v)[max(0, math.ceil(p * n) - 1)]
-    center = np.array([at(c, 0.5) for c in x.T])
-    inverse = np.diag([1 / (((at(c, 0.75) - at(c, 0.25)) / 1.349) ** 2 + f * f) for c, f in zip(x.T, floor, strict=True)])
-    for _ in range(steps):
-        d = np.einsum("ij,jk,ik->i", x - center, inverse, x - center)
-        inner = x[d <= at(d, share)]
-        center = inner.mean(axis=0)
-        inverse = np.linalg.inv((inner.T @ inner / len(inner) - np.outer(center, center)) * quality.consistency(share, 5) + np.diag(floor**2))
-    return np.einsum("ij,jk,ik->i", x - center, inverse, x - center)
+def moments(x, share):
+    return x.mean(axis=0), np.cov(x.T, bias=True) * quality.consistency(share, 5) + np.diag(np.square(quality.FLOORS))
 
 
-def test_outliers_equal_brute_force_and_spare_the_clean(spark):
+def brute_mcd(x, share=0.75):
+    """Least log determinant over all subsets, and location and inverse scatter after reweighting."""
+    h = math.ceil(share * len(x))
+    least, rows = min((np.linalg.slogdet(moments(x[list(c)], share)[1])[1], c) for c in itertools.combinations(range(len(x)), h))
+    center, scatter = moments(x[list(rows)], share)
+    d = np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(scatter), x - center)
+    center, scatter = moments(x[d <= quality.NEAR], 0.975)
+    return least, center, np.linalg.inv(scatter)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_determinant_is_the_least_of_all_subsets(spark, seed, tmp_path):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(15, 5)) * [0.5, 0.3, 0.05, 0.02, 0.1] + [5, 1.5, 0.1, 0.2, 0.3]
+    x[:3] += [3, 2, 0.5, 0.4, 0.5]  # as many outliers as the subset leaves out
+    least, center, inverse = brute_mcd(x)
+    rows = spark.createDataFrame([(["[]"], *map(float, r)) for r in x], ["levels", *quality.FEATURES])
+    got = quality.fit_mcd(rows).first()
+    flat = rows.select(quality.F.lit(0).alias("salt"), quality.F.explode("levels").alias("level"), *quality.FEATURES)
+    found = quality.least_determinant(flat.withColumn("salt", quality.F.lit(0)), quality.Scratch(spark, "test"), 0.75, 1, 2, 20).first()
+    assert found.log_det <= least + 1e-6
+    assert np.allclose(got.center, center, rtol=1e-6) and np.allclose(got.inverse, inverse[np.triu_indices(5)], rtol=1e-5, atol=1e-6)
+
+
+def test_determinants_never_rise(spark, edge):
+    rows = quality._counted(edge, ("lang", "source")).select(quality.F.lit(0).alias("salt"), quality.F.explode("levels").alias("level"), *quality.FEATURES)
+    run, was = quality.Scratch(spark, "test"), {}
+    params = run.table(quality.first_estimates(rows, 3), "first")
+    for k in range(4):
+        params = run.table(quality.concentrate(rows, params, 0.75), f"step-{k}")
+        now = {(r.level, r.start): r.log_det for r in params.collect()}
+        assert now and all(now[key] <= was.get(key, math.inf) + 0.02 for key in now)  # a subset ends with its bin
+        was = now
+
+
+def test_outliers_go_and_the_clean_stay(spark):
     rng = random.Random(3)
     prose = lambda n: " ".join("".join(rng.choice("etaoins") for _ in range(rng.randint(2, 8))) for _ in range(n))
     clean = [prose(rng.randint(25, 600)) for _ in range(300)]
     junk = [" ".join(w + rng.choice(["%%%", "&&&", "***"]) for w in prose(80).split()) for _ in range(15)]
     rows = [(i, t, "en", "s") for i, t in enumerate(clean + junk)]
-    got = {r.doc_id: r for r in quality.score_outliers(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
-    c = np.array([counts(t) for _, t, *_ in rows], dtype=float)
-    n = np.maximum(c[:, 0], 1)
-    x = np.stack([np.log(n), np.log(np.maximum(c[:, 1], 1) / n), np.sqrt(c[:, 2] / np.maximum(c[:, 1], 1)), np.sqrt(c[:, 3] / n), np.sqrt(c[:, 4] / n)], axis=1)
-    assert np.allclose([got[i].distance for i in range(len(rows))], brute_mcd(x), rtol=1e-6)
-    assert all(got[i].kept for i in range(300)) and not any(got[i].kept for i in range(300, 315))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: (r.kept, r.distance) for r in quality.score_outliers(df).collect()}
+    assert all(got[i][0] for i in range(300)) and not any(got[i][0] for i in range(300, 315))
+    again = {r.doc_id: r.distance for r in quality.score_outliers(df.repartition(7)).collect()}
+    assert all(math.isclose(again[i], got[i][1], rel_tol=1e-7) for i in got)
 
 
 def test_words_far_from_their_group_are_outliers(spark):
