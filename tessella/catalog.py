@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessella.operators import layout_check
 from tessella.operators.encodings import BitPack, Decimal, Dictionary, Encoding, Frame, Plain, Raw, RunEnd, Symbols, decode_table, encode_table
 from tessella.plans import codec, compile, container, interp, ir, scan, sidecar, verify
-from tessella.sources import parquet_facts, store
+from tessella.sources import datasource, parquet_facts, store
 from tessella.sources.generate import generate, pack_table
 from tessella.storage import shared_dir, table
 
@@ -210,7 +210,8 @@ def bad_programs() -> dict[str, ir.Program]:
     }
 
 
-@query("SELECT code AS expected, code AS found FROM (VALUES " + ", ".join(f"('{c}')" for c in verify.CODES) + ") AS t(code)")
+@query("""SELECT code AS expected, code AS found FROM (VALUES ('missing-input-capability'), ('missing-output-builder'), ('unknown-variable'), ('output-type-mismatch'), ('output-nullability-mismatch'),
+    ('invalid-loop-bounds'), ('non-monotone-cursor-loop'), ('resource-budget-exceeded'), ('constraint-budget-exceeded'), ('explicit-fail-closed')) AS t(code)""")
 def verify_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(name, ",".join(verify.verify_bytes(codec.encode(p)).codes())) for name, p in bad_programs().items()]
     return spark.createDataFrame(rows, "expected string, found string")
@@ -243,7 +244,8 @@ def bad_layouts() -> list[tuple[str, list[tuple[str, str]]]]:
     return list(checks.items())
 
 
-@query("SELECT code AS expected, code AS found FROM (VALUES " + ", ".join(f"('{c}')" for c in layout_check.CODES) + ") AS t(code)")
+@query("""SELECT code AS expected, code AS found FROM (VALUES ('unsupported-type'), ('unsupported-layout-type'), ('buffer-too-short'), ('count-mismatch'), ('validity-mismatch'), ('invalid-bit-width'), ('invalid-run-end'),
+    ('insufficient-run-values'), ('invalid-dictionary-code'), ('unknown-kernel'), ('malformed-kernel-params'), ('table-shape'), ('container-shape')) AS t(code)""")
 def verify_layout_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(code, ",".join(c for c, _ in found)) for code, found in bad_layouts()], "expected string, found string")
 
@@ -334,21 +336,33 @@ def chunk_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet_facts.check_bindings(spark, path, bound).select(F.substring_index("granule", "/", -1).alias("column_name"), "matches")
 
 
-@query("""SELECT * FROM (VALUES ('orders.o_orderkey:bigint', 'accepted', 0), ('orders.o_custkey:bigint', 'accepted', 0), ('orders.o_orderstatus:string', 'accepted', 0),
-    ('orders.o_totalprice:double', 'accepted', 0), ('orders.o_orderdate:timestamp_ntz', 'unsupported', 0), ('orders.o_orderpriority:string', 'accepted', 0)) AS t(shape, status, faults)""")
-def coverage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parquet_facts.coverage_of(table(spark, sf_dir, "orders").schema, "orders")
-    return spark.createDataFrame([(r.shape, r.status, len(parquet_facts.coverage_faults(r))) for r in rows], "shape string, status string, faults int")
+@query("""SELECT name AS "column", status, detail, CASE WHEN status = 'encoded' THEN (SELECT count(*) FROM orders) ELSE 0 END AS rows, CASE name WHEN 'o_orderkey' THEN 8 WHEN 'o_custkey' THEN 8 WHEN 'o_totalprice' THEN 8 ELSE 0 END AS width
+    FROM (VALUES ('o_orderkey', 'encoded', 'int64'), ('o_custkey', 'encoded', 'int64'), ('o_totalprice', 'encoded', 'float64'), ('o_orderdate', 'skipped', 'type timestamp_ntz is not in the language')) AS t(name, status, detail)""")
+def ingress_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"]
+    report = store.ingress_report(spark, stored(spark, sf_dir, "orders", columns, required=("o_orderkey", "o_custkey", "o_totalprice")))
+    return report.select("column", "status", "detail", "rows", F.when(F.col("rows") > 0, F.floor(F.col("bytes") / F.col("rows"))).otherwise(0).cast("int").alias("width"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def sink_ipc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = arrow_ipc(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    return spark.createDataFrame(pa.ipc.open_stream(held).read_all())
 
 
 # Scans of an encoded table in the store
 
+_STORED: dict[tuple, str] = {}
 
-def stored(spark: SparkSession, sf_dir: str, name: str, columns: list[str], rows: int = 4096) -> str:
-    """The path of a freshly encoded table."""
-    path = f"{shared_dir(spark)}/tessella/encoded-{name}-{uuid.uuid4().hex}"
-    store.write_encoded(table(spark, sf_dir, name).select(*columns), path, rows=rows)
-    return path
+
+def stored(spark: SparkSession, sf_dir: str, name: str, columns: list[str], rows: int = 16384, required: tuple[str, ...] = (), order_by: str | None = None) -> str:
+    """The path of an encoded table, which is written once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, tuple(columns), rows, required, order_by)
+    if key not in _STORED:
+        path = f"{shared_dir(spark)}/tessella/encoded-{name}-{uuid.uuid4().hex}"
+        store.write_encoded(table(spark, sf_dir, name).select(*columns), path, rows=rows, required=required, order_by=order_by)
+        _STORED[key] = path
+    return _STORED[key]
 
 
 @query("SELECT l_quantity, l_orderkey FROM lineitem")
@@ -361,17 +375,22 @@ def scan_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SIGNS = {"eq": "=", "ne": "<>", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
 
 
-def _scan_predicate(op: str) -> None:
+#: A key that is there in every scale, in the middle; and the least key and one that no row has.
+_VALUES = {"": 625, "_first": 0, "_absent": -5}
+
+
+def _scan_predicate(op: str, where: str, value: int) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = stored(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"])
-        return store.read_encoded(spark, path, predicate=scan.Predicate("l_orderkey", op, 300), check_hashes=True)
+        path = stored(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"], 2048, order_by="l_orderkey")
+        return store.read_encoded(spark, path, predicate=scan.Predicate("l_orderkey", op, value))
 
-    QUERIES[f"scan_pred_{op}"] = run
-    ORACLES[f"scan_pred_{op}"] = f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey {_SIGNS[op]} 300"
+    QUERIES[f"scan_pred_{op}{where}"] = run
+    ORACLES[f"scan_pred_{op}{where}"] = f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey {_SIGNS[op]} {value}"
 
 
 for _op in _SIGNS:
-    _scan_predicate(_op)
+    for _where, _value in _VALUES.items():
+        _scan_predicate(_op, _where, _value)
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders")
@@ -379,6 +398,21 @@ def scan_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_encoded(spark, stored(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus"], 1024), parallel=4)
 
 
+@query("SELECT CAST(100 AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS held FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 700)")
+def scan_split_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """100 rows from the 700th on, of a table in the order of its keys: how many, and how many of them belong there."""
+    path = stored(spark, sf_dir, "orders", ["o_orderkey"], 256, order_by="o_orderkey")
+    rows = store.read_encoded(spark, path, split=scan.Split(700, 100))
+    expected = table(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey").offset(700).limit(100)
+    return rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(rows.join(expected, "o_orderkey", "left_semi").agg(F.count(F.lit(1)).alias("held")))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey >= 40")
+def scan_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    datasource.register(spark)
+    return spark.read.format("tessella").load(stored(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus"], 1024)).where("o_orderkey >= 40")
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def scan_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read_encoded(spark, f"{shared_dir(spark)}/tessella/none-{uuid.uuid4().hex}", fallback=f"{sf_dir}/nation.parquet")

@@ -1,7 +1,7 @@
 """``spark.read.format("tessella")``: encoded tables through Spark's Python data source interface.
 
 For folders that Python can open on every machine. A partition is a file of blocks; filters on integer columns skip
-blocks by their least and greatest values (with ``spark.sql.python.filterPushdown.enabled``); the option ``columns``
+blocks by their least and greatest values; the option ``columns``
 prunes the program, as data sources in Python get no projection. ``store.read_encoded`` has the same rows from any store.
 """
 
@@ -78,4 +78,5 @@ class EncodedReader(ds.DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # a reader that takes filters is refused without it
     spark.dataSource.register(EncodedSource)

@@ -94,21 +94,21 @@ def pack_column(name: str, kind: str, nullable: bool, column: pa.Array) -> dict[
 
 
 def pack_table(df: DataFrame, program: ir.Program, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Blocks (part, seq, rows, and the program's slices) of a table, in one narrow Arrow stage."""
+    """Blocks (part, seq, the part's rows before, rows, and the program's slices) of a table, in one narrow Arrow stage."""
     slices = list(program.slices())
     outputs = [(ir.column_name(b.id), b.type, b.nullable) for b in program.builders()]
-    target = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("rows", pa.int32()), *((s, pa.binary()) for s in slices)])
+    target = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("part_row", pa.int64()), ("rows", pa.int32()), *((s, pa.binary()) for s in slices)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, done = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 piece = batch.slice(at, rows)
                 packed = {k: v for j, o in enumerate(outputs) for k, v in pack_column(*o, piece.column(j)).items()}
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([piece.num_rows], pa.int32()), *(pa.array([packed[s]], pa.binary()) for s in slices)], schema=target)
-                seq += 1
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([done], pa.int64()), pa.array([piece.num_rows], pa.int32()), *(pa.array([packed[s]], pa.binary()) for s in slices)], schema=target)
+                seq, done = seq + 1, done + piece.num_rows
 
     fields = ", ".join(f"`{s}` binary" for s in slices)
-    return df.select(*[f"`{n}`" for n, _, _ in outputs]).mapInArrow(run, f"part int, seq int, rows int, {fields}")
+    return df.select(*[f"`{n}`" for n, _, _ in outputs]).mapInArrow(run, f"part int, seq int, part_row bigint, rows int, {fields}")

@@ -1,4 +1,4 @@
-"""Facts of Parquet files from their footers, hashes of their column chunks, and ingress reports.
+"""Facts of Parquet files from their footers, hashes of their column chunks, and sidecars in footers.
 
 Footers are read by Spark tasks through Spark's own readers of bytes, so any store that Spark reads will do; a row of
 the result is a row group or a column chunk, and nothing but paths is on the driver.
@@ -6,27 +6,34 @@ the result is a row group or a column chunk, and nothing but paths is on the dri
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.functions.blake3 import content_hash
-from tessella.plans import ir
-from tessella.sources.generate import _KINDS
+from tessella.plans import sidecar
 
 FACTS = "path string, row_group int, column string, physical string, encodings array<string>, compression string, rows bigint, offset bigint, length bigint"
-LARGEST_FILE = 1 << 31
+#: Spark hands out the bytes of a file as one value up to this size.
+LARGEST_FILE = (1 << 31) - 1
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).where(f"length < {LARGEST_FILE}")
+def _files(spark: SparkSession, path: str, largest: int = LARGEST_FILE) -> DataFrame:
+    """Paths and contents. A larger file fails the query: none is left out."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    too_large = F.raise_error(F.concat(F.lit("file-too-large: "), F.col("path"), F.lit(" has "), F.col("length").cast("string"), F.lit(f" bytes of {largest}")))
+    return found.select("path", F.when(F.col("length") <= largest, F.col("content")).otherwise(too_large).alias("content"))
 
 
 def _chunks(raw: bytes) -> Iterator[tuple[int, pq.ColumnChunkMetaData, int, int, int]]:
-    meta = pq.ParquetFile(pa.BufferReader(raw)).metadata
+    return _chunks_of(pq.ParquetFile(pa.BufferReader(raw)).metadata)
+
+
+def _chunks_of(meta: pq.FileMetaData) -> Iterator[tuple[int, pq.ColumnChunkMetaData, int, int, int]]:
     for g in range(meta.num_row_groups):
         group = meta.row_group(g)
         for c in range(group.num_columns):
@@ -66,60 +73,47 @@ def check_bindings(spark: SparkSession, path: str, bindings: DataFrame) -> DataF
     return bindings.join(found.withColumnRenamed("content_hash", "found"), keys, "left").selectExpr(*keys, "content_hash", "identity", "coalesce(content_hash = found, false) as matches")
 
 
-# Ingress reports
-
-ACCEPTED, UNSUPPORTED, REJECTED = "accepted", "unsupported", "rejected"
-
+# Sidecars in footers
 
-@dataclass(frozen=True)
-class Coverage:
-    """A source shape and what was made of it."""
+SIDECAR_KEY, HASH_KEY = "tessella.sidecar.v1", "tessella.hash."
 
-    shape: str
-    status: str
-    emitted: str = "none"
-    native: str = "unsupported"  # or native-supported
-    evidence: tuple[str, ...] = ()
 
+def footer_sidecar(metadata: pq.FileMetaData) -> sidecar.Sidecar | None:
+    """The sidecar among the key-value pairs of a footer, if there is one."""
+    found = (metadata.metadata or {}).get(SIDECAR_KEY.encode())
+    if found is None:
+        return None
+    try:
+        return sidecar.decode(base64.b64decode(found, validate=True))
+    except ValueError as error:
+        raise sidecar.SidecarError(f"footer: {error}") from error
 
-def coverage_faults(row: Coverage) -> list[str]:
-    """What a coverage row claims without evidence."""
-    noted = lambda *words: any(w in note for note in row.evidence for w in words)
-    native = row.native == "native-supported"
-    tests = (
-        (row.status == ACCEPTED and not noted("verified-lineage"), "verified-lineage-evidence-missing"),
-        (native and not noted("native-model-validation", "native-arrow-semantic-codegen-output"), "native-evidence-missing"),
-        (row.status != ACCEPTED and row.emitted != "none", "unsupported-row-emits-artifact"),
-        (native and not row.emitted.startswith("LMC2(LMA1)"), "native-artifact-shape-mismatch"),
-    )
-    return [f"{row.shape}:{name}" for bad, name in tests if bad]
 
+def embed_sidecar(source: str, target: str, program: bytes) -> sidecar.Sidecar:
+    """A copy of a local Parquet file whose footer binds a program to every column chunk, in place of any sidecar before.
 
-@dataclass(frozen=True)
-class Ingress:
-    """A report on taking in a source. ``artifact`` is its length in bytes."""
+    The copy is written row group by row group. Its chunks have their final bytes before the footer is written, so they
+    are hashed in a first copy and bound in the second.
+    """
 
-    status: str
-    emission: str | None = None
-    artifact: int | None = None
-    verification_required: bool = False
-    verification_accepted: bool = False
-    oracle_accepted: bool = False
-    facts: bool = False
+    def copy(pairs: dict[str, str]) -> pq.FileMetaData:
+        with pq.ParquetFile(source) as held, pq.ParquetWriter(target, held.schema_arrow.remove_metadata(), compression="snappy") as writer:
+            for g in range(held.num_row_groups):
+                writer.write_table(held.read_row_group(g).replace_schema_metadata(None), row_group_size=max(1, held.metadata.row_group(g).num_rows))
+            writer.add_key_value_metadata({**_other_pairs(held.metadata), **pairs})
+        return pq.read_metadata(target)
 
-    def faults(self) -> list[str]:
-        if self.status == ACCEPTED:
-            needs = (("emission-kind", self.emission), ("artifact-verification", self.verification_required and self.verification_accepted), ("artifact-length", self.artifact), ("oracle-evidence", self.oracle_accepted))
-            return [f"{name}-missing" for name, there in needs if not there]
-        out = ["artifact-not-allowed"] if self.artifact or self.emission else []
-        return out + (["facts-not-allowed"] if self.status == REJECTED and self.facts else [])
+    copy({})
+    with open(target, "rb") as f:
+        ranges = []
+        for g, chunk, _, at, size in _chunks_of(pq.read_metadata(target)):
+            f.seek(at)
+            ranges.append(sidecar.Binding(f"{g}/{chunk.path_in_schema}", at, size, content_hash(f.read(size)), content_hash(program)))
+    bound = sidecar.Sidecar(program, tuple(ranges))
+    copy({SIDECAR_KEY: base64.b64encode(sidecar.encode(bound)).decode(), **{HASH_KEY + b.granule: b.content_hash for b in ranges}})
+    return bound
 
 
-def coverage_of(schema, table: str) -> list[Coverage]:
-    """A coverage row per column of a schema: accepted if the language has its type."""
-    out = []
-    for f in schema.fields:
-        kind = _KINDS.get(f.dataType)
-        shape = f"{table}.{f.name}:{f.dataType.simpleString()}"
-        out.append(Coverage(shape, UNSUPPORTED) if kind is None else Coverage(shape, ACCEPTED, f"program({ir.STORED_AS[kind]})", evidence=("verified-lineage:generated-program",)))
-    return out
+def _other_pairs(metadata: pq.FileMetaData) -> dict[str, str]:
+    known = (SIDECAR_KEY, HASH_KEY, "ARROW:schema")
+    return {k.decode(): v.decode() for k, v in (metadata.metadata or {}).items() if not k.decode().startswith(known)}

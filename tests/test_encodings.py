@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessella import catalog
+from tessella import catalog, cli
 from tessella.functions import bits, fastlanes, kernels
 from tessella.operators import layout_check
 from tessella.operators.encodings import BitPack, Decimal, Dictionary, EncodingError, Frame, Plain, Raw, RunEnd, Symbols, decode_table, encode_table
-from tessella.plans import scan
+from tessella.plans import codec, ir, scan, sidecar
 from tessella.sources import datasource, parquet_facts, store
 from tessella.sources.generate import generate
 from tessella.streaming import read_stream
@@ -172,10 +176,112 @@ def test_fallback_reads_the_original(spark, tmp_path):
         store.read_encoded(spark, f"file://{tmp_path}/none")
 
 
-def test_coverage_and_ingress_rules():
-    good = parquet_facts.Coverage("a", parquet_facts.ACCEPTED, "LMC2(LMA1)", "native-supported", ("verified-lineage", "native-model-validation"))
-    assert parquet_facts.coverage_faults(good) == []
-    assert parquet_facts.coverage_faults(parquet_facts.Coverage("a", parquet_facts.UNSUPPORTED, "x", "native-supported")) == ["a:native-evidence-missing", "a:unsupported-row-emits-artifact", "a:native-artifact-shape-mismatch"]
-    assert parquet_facts.Ingress(parquet_facts.ACCEPTED).faults() == ["emission-kind-missing", "artifact-verification-missing", "artifact-length-missing", "oracle-evidence-missing"]
-    assert parquet_facts.Ingress(parquet_facts.REJECTED, facts=True).faults() == ["facts-not-allowed"]
-    assert parquet_facts.Ingress(parquet_facts.UNSUPPORTED, artifact=3, facts=True).faults() == ["artifact-not-allowed"]
+def test_sorted_blocks_are_skipped(spark, tmp_path):
+    path, df = f"file://{tmp_path}/t", spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_quantity")
+    store.write_encoded(df, path, rows=250, order_by="l_orderkey")
+    blocks = lambda op, v: store.blocks_read(spark, path, [scan.Predicate("l_orderkey", op, v)]).first().blocks or 0
+    every = store.blocks_read(spark, path, []).first().blocks
+    assert blocks("eq", 700) <= 2 < every and blocks("eq", -1) == 0 and blocks("ne", 700) >= every - 1
+    assert blocks("lt", 700) < every and blocks("gt", 700) < every
+    edges = spark.read.parquet(f"{path}/blocks").orderBy("l_orderkey#min").select("l_orderkey#min", "l_orderkey#max").collect()[3]
+    for op in scan.PREDICATES:
+        for value in (*edges, edges[0] - 1, edges[1] + 1):
+            p = scan.Predicate("l_orderkey", op, value)
+            assert store.read_encoded(spark, path, predicate=p).count() == df.where(p.condition()).count()
+
+
+def test_splits_read_ranges_of_rows(spark, tmp_path):
+    path, df = f"file://{tmp_path}/t", spark.range(1000).selectExpr("id", "cast(id as string) AS name").repartition(3)
+    store.write_encoded(df, path, rows=90)
+    whole = [r.id for r in store.read_encoded(spark, path, columns=["id"]).collect()]
+    parts = store.read_encoded(spark, path, parallel=7)
+    assert parts.exceptAll(df).count() == 0 and parts.count() == 1000
+    assert "Exchange" not in parts._jdf.queryExecution().executedPlan().toString()
+    first = [r.first_row for r in spark.read.parquet(f"{path}/parts").orderBy("first_row").collect()]
+    seen = []
+    for start, rows in ((0, 1), (0, 95), (95, 205), (300, 699), (999, 1)):
+        got = [r.id for r in store.read_encoded(spark, path, columns=["id"], split=scan.Split(start, rows)).collect()]
+        assert len(got) == rows and set(got) <= set(whole)
+        seen += got
+    assert first[0] == 0 and sorted(seen[1:]) == sorted(whole)
+    with pytest.raises(scan.ScanError, match="invalid-split"):
+        store.read_encoded(spark, path, split=scan.Split(990, 20))
+
+
+def test_decisions_lead_the_read(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    store.write_encoded(spark.range(10), path)
+    with pytest.raises(scan.ScanError, match="unsupported-projection"):
+        store.read_encoded(spark, path, columns=["nope"])
+    with pytest.raises(scan.ScanError, match="unsupported-predicate"):
+        store.read_encoded(spark, path, predicate=scan.Predicate("id", "like", 3))
+    assert store.read_encoded(spark, path, predicate=scan.Predicate("id", "like", 3), unsupported="scan-all").count() == 10
+    with pytest.raises(scan.ScanError, match="unsafe-concurrency"):
+        store.read_encoded(spark, path, parallel=0)
+    _, program = store.open_program(spark, path)
+    store.PLANS.disable(codec.identity(program))
+    spark.range(3).write.parquet(f"file://{tmp_path}/plain")
+    try:
+        assert store.read_encoded(spark, path, fallback=f"file://{tmp_path}/plain").count() == 3
+    finally:
+        store.PLANS.disabled.clear()
+
+
+def test_sidecar_beside_a_file(spark, tmp_path):
+    data = tmp_path / "numbers.bin"
+    data.write_bytes(struct.pack("<4i", 3, 1, 4, 1))
+    body = (ir.ForRange("i", ir.u64(0), ir.u64(4), (ir.ReadInput("in", ir.mul(ir.Var("i"), ir.u64(4)), ir.u64(4), "raw"), ir.AppendValue("output_x", ir.Var("raw")))),)
+    program = ir.Program(required=("l2core.copy.v0",), capabilities=(ir.InputSlice("in", 0, 16), ir.OutputBuilder("output_x", "int32", False, 4)), budget=ir.Budget.for_rows(4, 4), body=body)
+    (tmp_path / "p").write_bytes(codec.encode(program))
+    assert cli.main(["embed", str(data), str(tmp_path / "p")]) == 0
+    assert [r.x for r in store.read_beside(spark, f"file://{data}").collect()] == [3, 1, 4, 1]
+    data.write_bytes(struct.pack("<4i", 3, 1, 4, 2))
+    with pytest.raises(scan.ScanError, match="hash-mismatch"):
+        store.read_beside(spark, f"file://{data}", fallback=False)
+    plain = spark.range(3)
+    plain.coalesce(1).write.parquet(f"file://{tmp_path}/plain")
+    (part,) = (tmp_path / "plain").glob("*.parquet")
+    assert store.read_beside(spark, f"file://{part}").count() == 3
+    odd = sidecar.bind(part.read_bytes(), codec.encode(ir.Program(required=("none.v9",), capabilities=program.capabilities, budget=program.budget, body=body)), [("file", 0, part.stat().st_size)])
+    (tmp_path / "plain" / (part.name + sidecar.SUFFIX)).write_bytes(sidecar.encode(odd))
+    assert store.read_beside(spark, f"file://{part}").count() == 3  # a feature that is not supported
+    with pytest.raises(scan.ScanError, match="encoding-unsupported"):
+        store.read_beside(spark, f"file://{part}", fallback=False)
+
+
+def test_sidecars_in_footers(tmp_path):
+    source, target, again = (str(tmp_path / n) for n in ("a.parquet", "b.parquet", "c.parquet"))
+    pq.write_table(pa.table({"x": list(range(1000)), "y": [str(k) for k in range(1000)]}).replace_schema_metadata({"own": "kept"}), source, row_group_size=300)
+    assert parquet_facts.footer_sidecar(pq.read_metadata(source)) is None
+    program = codec.encode(cli.sample_program())
+    bound = parquet_facts.embed_sidecar(source, target, program)
+    held = parquet_facts.footer_sidecar(pq.read_metadata(target))
+    assert held == bound and len(held.bindings) == 8 and pq.read_metadata(target).metadata[b"own"] == b"kept"
+    assert all(c.matches for c in sidecar.check_bindings(held, open(target, "rb").read()))
+    assert pq.read_table(target).equals(pq.read_table(source).replace_schema_metadata(None))
+    parquet_facts.embed_sidecar(target, again, codec.encode(cli.sample_program()) )
+    keys = [k for k in pq.read_metadata(again).metadata if k.startswith(b"tessella.")]
+    assert len(keys) == 9  # what was there is replaced
+    with pytest.raises(sidecar.SidecarError):
+        parquet_facts.footer_sidecar(pa.parquet.ParquetFile(_with_pair(tmp_path, "tessella.sidecar.v1", "%%%")).metadata)
+
+
+def _with_pair(folder, key, value):
+    path = str(folder / "bad.parquet")
+    with pq.ParquetWriter(path, pa.schema([("x", pa.int64())])) as writer:
+        writer.add_key_value_metadata({key: value})
+    return path
+
+
+def test_large_files_are_never_left_out(spark):
+    with pytest.raises(Exception, match="file-too-large"):
+        parquet_facts._files(spark, f"{SF}/nation.parquet", largest=100).collect()
+
+
+def test_ingress_report_tells_what_was_made(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    store.write_encoded(spark.createDataFrame([(1, "ab", None), (2, None, None)], "x int, s string, m map<int,int>"), path)
+    rows = {r.column: r for r in store.ingress_report(spark, path).collect()}
+    assert {c: r.status for c, r in rows.items()} == {"x": "encoded", "s": "encoded", "m": "skipped"}
+    assert rows["x"].rows == 2 and rows["m"].bytes == 0 and "map<int,int>" in rows["m"].detail
+    assert rows["x"].bytes == 2 * 4 + 2 and rows["x"].identity.startswith("blake3:") and rows["m"].identity is None
