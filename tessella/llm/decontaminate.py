@@ -1,15 +1,16 @@
-"""Benchmark decontamination by a positional inverted index.
+"""Benchmark decontamination by a distributed positional inverted index.
 
-The index is partitioned by document: a task turns its documents into postings ``(term, position)``, keeps those
-of terms that the benchmark uses, and answers every benchmark window from them. For a window, posting lists are
-intersected from the rarest term on, each list shifted by the term's offset in the window, so the cost of a window
-is the length of its shortest list. With ``slop`` > 0 the same walk also yields proximity matches: there is a place in
-the document such that every term of the window stands within ``slop`` words of where it would stand from there.
+``build_index`` turns all documents into postings once: a row of the index is a *shard* of a few megabytes of text, with
+the positions of every word by term, and is stored in the shared folder. The index is queried with the benchmark's
+windows. How often each of their terms occurs in the whole corpus is added up over the shards first; a window's posting
+lists are then intersected from its globally rarest term on, each list shifted by the term's offset in the window. With
+``slop`` > 0 the same walk also yields proximity matches: there is a place in the document such that every term of the
+window stands within ``slop`` words of where it would stand from there.
 
 The benchmark is the stated query set. Its windows are packed on the driver in blocks of at most ``block_windows``
-windows; each block is a separate pass over the documents and passes are merged per document, so what is sent to
-executors at once is bounded whatever the size of the benchmark. The index is never shuffled: the plan is one scan
-with a narrow Arrow stage per block.
+windows, in which a long item may be cut; each block is a separate pass over the index and passes are merged per document,
+so what is sent to executors at once is bounded whatever the size of the benchmark or of an item. Neither texts nor
+postings are shuffled. Words are told apart by 64-bit hashes, so an exact match of n words is n equal hashes in a row.
 
 Defined results: a null or empty document has no words and is never hit; a null item is ignored; an item with
 fewer words than ``width`` is one window; repeated items each count under their own item_id, repeated rows of the
@@ -19,7 +20,6 @@ either table are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 import pickle
 from collections.abc import Iterator
@@ -31,53 +31,87 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from tessella.llm import blocks
 from tessella.llm import textscan as ts
+from tessella.storage import files_for, materialize
 
-HITS_SCHEMA = "doc_id bigint, n_words bigint, hit_spans array<struct<start:bigint,end:bigint>>, items array<string>, near_items array<string>"
+INDEX = "shard bigint, doc_ids array<bigint>, n_words binary, terms binary, frequency binary, steps binary"
+SPANS = "array<struct<start:bigint,end:bigint>>"
+HITS = f"shard bigint, doc bigint, doc_id bigint, n_words bigint, n_hit bigint, hit_spans {SPANS}, items array<string>, near_items array<string>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+HITS_ARROW = pa.schema([("shard", pa.int64()), ("doc", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("hit_spans", _SPANS), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
 
 
 @dataclass
 class Windows:
-    """Windows of some items: term numbers of each (ragged), the item, and the sorted hashes of all terms."""
+    """Distinct windows of some items: term numbers of each, the items that have it, and the sorted hashes of all terms."""
 
     terms: np.ndarray  # sorted distinct word hashes
     length: np.ndarray  # of each window, in words
     term: np.ndarray  # windows x width: term numbers, -1 beyond the length
-    items: list[list[str]]  # item ids that have the window
-
-
-def build_windows(items: list[tuple[str, str]], width: int) -> Windows:
-    """Distinct windows of (item_id, text) pairs."""
-    rows: dict[tuple[int, ...], set[str]] = {}
-    for item, text in items:
-        for chunk in ts.chunks(pa.array([text])):
-            h = chunk.lowered().words(ts.ALNUM_WORDS).hashes().tolist()
-            if h:
-                for k in range(max(1, len(h) - width + 1)):
-                    rows.setdefault(tuple(h[k : k + width]), set()).add(item)
-    terms = np.unique(np.fromiter((x for r in rows for x in r), dtype=np.uint64))
-    length = np.array([len(r) for r in rows], dtype=np.int64)
-    term = np.full((len(rows), width), -1, dtype=np.int64)
-    for i, r in enumerate(rows):
-        term[i, : len(r)] = np.searchsorted(terms, np.array(r, dtype=np.uint64))
-    return Windows(terms, length, term, [sorted(x) for x in rows.values()])
+    names: pa.Array  # item ids, sorted
+    first: np.ndarray  # of each window, where its items begin in ``item``; one more for the end
+    item: np.ndarray  # numbers of names
+    order: np.ndarray | None = None  # windows x width: offsets, globally rarest term first
+
+    def pairs(self, window: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (document, item) of matches, sorted."""
+        many = np.diff(self.first)[window]
+        found = np.unique(np.repeat(doc, many) * (len(self.names) + 1) + self.item[ts.ranges(self.first[window], many)])
+        return found // (len(self.names) + 1), found % (len(self.names) + 1)
+
+
+def _windows_of(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Rows of ``width`` hashes and the length: one row if there are fewer words."""
+    if len(hashes) >= width:
+        seen = np.lib.stride_tricks.sliding_window_view(hashes, width)
+        return np.column_stack([seen, np.full(len(seen), width, np.uint64)])
+    return np.concatenate([hashes, np.zeros(width - len(hashes), np.uint64), [np.uint64(len(hashes))]]).astype(np.uint64)[None]
+
+
+def build_windows(rows: np.ndarray, names: list[str], of: np.ndarray) -> Windows:
+    """Distinct windows from rows of hashes and lengths, each of the item ``names[of]``."""
+    width = rows.shape[1] - 1
+    known = sorted(set(names))
+    place = {n: k for k, n in enumerate(known)}
+    rank = np.array([place[n] for n in names], dtype=np.int64)
+    distinct, number = np.unique(rows, axis=0, return_inverse=True)
+    both = np.unique(number.reshape(-1) * len(known) + rank[of])
+    length = distinct[:, width].astype(np.int64)
+    inside = np.arange(width) < length[:, None]
+    terms = np.unique(distinct[:, :width][inside])
+    term = np.where(inside, np.searchsorted(terms, distinct[:, :width]), -1)
+    return Windows(terms, length, term, pa.array(known, pa.string()), np.searchsorted(both // len(known), np.arange(len(distinct) + 1)), both % len(known))
 
 
 class PositionalIndex:
-    """Postings of one chunk of documents: for each term its positions, in order. Positions count all words of the chunk."""
+    """Postings of some documents for the terms of a benchmark. Positions count all words of the documents."""
+
+    def __init__(self, term: np.ndarray, positions: np.ndarray, n_terms: int, n_words: int):
+        """Postings sorted by term, then position."""
+        self.size = n_words + 1
+        self.positions = positions
+        self.keys = term * self.size + positions
+        self.first = np.searchsorted(term, np.arange(n_terms + 1))
+        self.frequency = np.diff(self.first)
 
-    def __init__(self, words: ts.Words, terms: np.ndarray):
+    @classmethod
+    def of_words(cls, words: ts.Words, terms: np.ndarray) -> PositionalIndex:
         h = words.hashes()
         at = np.searchsorted(terms, h)
         at[at == len(terms)] = 0
         where = np.flatnonzero(terms[at] == h) if len(terms) else np.zeros(0, np.int64)
-        term = at[where]
-        order = np.argsort(term, kind="stable")
-        self.size = len(h) + 1
-        self.positions = where[order]
-        self.keys = term[order] * self.size + self.positions  # sorted by term, then position
-        self.first = np.searchsorted(term[order], np.arange(len(terms) + 1))
-        self.frequency = np.diff(self.first)
+        order = np.argsort(at[where], kind="stable")
+        return cls(at[where][order], where[order], len(terms), len(h))
+
+    @classmethod
+    def of_shard(cls, shard: dict, n_words: int, terms: np.ndarray) -> PositionalIndex:
+        """The postings of the asked terms among those that a shard stores."""
+        number, begin, many = _asked(shard, terms)
+        steps = np.cumsum(blocks.unpack_counts(shard["steps"]).astype(np.int64))  # each list starts anew
+        at = ts.ranges(begin, many)
+        positions = steps[at] - np.repeat(np.where(begin > 0, steps[begin - 1], 0), many) if len(at) else np.zeros(0, np.int64)
+        return cls(np.repeat(number, many), positions, len(terms), n_words)
 
     def within(self, term: np.ndarray, position: np.ndarray, slop: int) -> np.ndarray:
         """Whether the term has a posting within ``slop`` of the position."""
@@ -93,8 +127,7 @@ class PositionalIndex:
         """(window, start position, position of its rarest term) of every match. A start of a proximity match may lie outside of the document."""
         width = windows.term.shape[1]
         inside = windows.term >= 0
-        often = np.where(inside, self.frequency[np.maximum(windows.term, 0)], np.iinfo(np.int64).max)
-        order = np.argsort(often, axis=1, kind="stable")  # offsets, rarest term first
+        order = rarest_first(windows, self.frequency) if windows.order is None else windows.order
         rare = order[:, 0]
         row = np.arange(len(windows.length))
         anchor = windows.term[row, rare]
@@ -135,73 +168,168 @@ class PositionalIndex:
         return found
 
 
-def _scan(batches: Iterator[pa.RecordBatch], windows: Windows, slop: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hit_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
+def rarest_first(windows: Windows, frequency: np.ndarray) -> np.ndarray:
+    often = np.where(windows.term >= 0, frequency[np.maximum(windows.term, 0)] if len(frequency) else 0, np.iinfo(np.int64).max)
+    return np.argsort(often, axis=1, kind="stable")
+
+
+def _asked(shard: dict, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the asked terms that a shard has, and where their postings begin and how many they are."""
+    own, many = blocks.unpack_keys(shard["terms"]), blocks.unpack_counts(shard["frequency"]).astype(np.int64)
+    at = np.searchsorted(own, terms)
+    at[at == len(own)] = 0
+    number = np.flatnonzero(own[at] == terms) if len(own) else np.zeros(0, np.int64)
+    begin = np.cumsum(many) - many
+    return number, begin[at[number]], many[at[number]]
+
+
+# The index
+
+
+def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    shard = TaskContext.get().partitionId() << 32
+    schema = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("n_words", "terms", "frequency", "steps"))])
     for batch in batches:
-        ids = batch.column(0)
         for chunk in ts.chunks(batch.column(1)):
             words = chunk.lowered().words(ts.ALNUM_WORDS)
-            index = PositionalIndex(words, windows.terms)
-            spans: list[list[dict]] = [[] for _ in range(len(chunk))]
-            exact: list[set[str]] = [set() for _ in range(len(chunk))]
-            near: list[set[str]] = [set() for _ in range(len(chunk))]
-            if len(index.positions):
-                window, start, _ = index.match(windows, words.doc, 0)
-                delta = np.zeros(len(words.doc) + 1, dtype=np.int64)
-                np.add.at(delta, start, 1)
-                np.add.at(delta, start + windows.length[window], -1)
-                hit = np.cumsum(delta[:-1]) > 0
-                edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
-                for s, e in edge.reshape(-1, 2).tolist():
-                    while s < e:  # a run may touch the next document's
-                        d = int(words.doc[s])
-                        stop = min(e, int(words.first[d] + words.count[d]))
-                        spans[d].append({"start": s - int(words.first[d]), "end": stop - int(words.first[d])})
-                        s = stop
-                for w, d in set(zip(window.tolist(), words.doc[start].tolist(), strict=True)):
-                    exact[d].update(windows.items[w])
-                if slop:
-                    window, _, own = index.match(windows, words.doc, slop)
-                    for w, d in set(zip(window.tolist(), words.doc[own].tolist(), strict=True)):
-                        near[d].update(windows.items[w])
-            own = ids.slice(chunk.first, len(chunk))
-            yield pa.RecordBatch.from_arrays([own.cast(pa.int64()), pa.array(words.count, pa.int64()), pa.array(spans, schema.field(2).type), pa.array([sorted(x) for x in exact], schema.field(3).type), pa.array([sorted(x | y) for x, y in zip(exact, near, strict=True)], schema.field(4).type)], schema=schema)
-
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds, per document, what is counted from the merged spans and items."""
+            h = words.hashes()
+            order = np.argsort(h, kind="stable")
+            first = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1])) if len(h) else np.zeros(0, np.int64)
+            steps = np.diff(order, prepend=0)
+            steps[first] = order[first]
+            ids = pa.array([batch.column(0).slice(chunk.first, len(chunk)).cast(pa.int64()).to_pylist()], pa.list_(pa.int64()))
+            packed = (blocks.pack_counts(words.count), blocks.pack_keys(h[order][first]), blocks.pack_counts(np.diff(np.append(first, len(h)))), blocks.pack_counts(steps))
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), ids, *(pa.array([x], pa.binary()) for x in packed)], schema=schema)
+            shard += 1
+
+
+def build_index(documents: DataFrame) -> DataFrame:
+    """The stored index of all documents: a row per shard."""
+    return materialize(documents.select("doc_id", "text").mapInArrow(_post, INDEX), "postings", files_for(documents))
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        rows = batch.to_pydict()
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "hit_spans", "items", "near_items")}
-        for doc_id, n, spans, items, near in zip(rows["doc_id"], rows["n_words"], rows["hit_spans"], rows["items"], rows["near_items"], strict=True):
-            joined: list[dict] = []
-            for s in sorted(spans or [], key=lambda x: (x["start"], x["end"])):
-                if joined and s["start"] <= joined[-1]["end"]:
-                    joined[-1]["end"] = max(joined[-1]["end"], s["end"])
-                else:
-                    joined.append(dict(s))
-            items, near = sorted(set(items or [])), sorted(set(near or []))
-            for k, v in zip(out, (doc_id, n, sum(s["end"] - s["start"] for s in joined), len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), joined, items, near), strict=True):
-                out[k].append(v)
-        yield pa.RecordBatch.from_pydict(out, schema=MERGED_ARROW)
+        for k in range(batch.num_rows):
+            yield {name: batch.column(j)[k].as_py() if name in ("shard", "doc_ids") else batch.column(j)[k].as_buffer().to_pybytes() for j, name in enumerate(batch.schema.names)}
 
 
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-MERGED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("hit_spans", _SPANS), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
-MERGED = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, hit_spans array<struct<start:bigint,end:bigint>>, items array<string>, near_items array<string>"
+def term_frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """How often each of some terms occurs in the whole corpus; ``terms`` are those of one block of windows."""
+    held = index.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(held.value), dtype=np.int64)
+        for shard in _shards(batches):
+            number, _, many = _asked(shard, held.value)
+            total[number] += many
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["term", "n"])
+
+    out = np.zeros(len(terms), dtype=np.int64)
+    sums = index.select("terms", "frequency").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
+    return out
+
+
+# Queries
+
+
+def _lists(doc: np.ndarray, values: pa.Array, n: int) -> pa.Array:
+    """A list per document from values sorted by document."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), values)
+
+
+def _query(batches: Iterator[pa.RecordBatch], windows: Windows, slop: int, every: bool) -> Iterator[pa.RecordBatch]:
+    """HITS of each document of each shard; of documents without a hit only if ``every``."""
+    for shard in _shards(batches):
+        count = blocks.unpack_counts(shard["n_words"]).astype(np.int64)
+        n, first = len(count), np.cumsum(count) - count
+        doc = np.repeat(np.arange(n), count)
+        index = PositionalIndex.of_shard(shard, len(doc), windows.terms)
+        window, start, own = index.match(windows, doc, 0) if len(index.positions) else [np.zeros(0, np.int64)] * 3
+        delta = np.zeros(len(doc) + 1, dtype=np.int64)
+        np.add.at(delta, start, 1)
+        np.add.at(delta, start + windows.length[window], -1)
+        hit = np.cumsum(delta[:-1]) > 0
+        new = hit & np.concatenate(([True], ~hit[:-1] | (doc[1:] != doc[:-1]))) if len(hit) else hit
+        last = hit & np.concatenate((~hit[1:] | (doc[1:] != doc[:-1]), [True])) if len(hit) else hit
+        begin, end = np.flatnonzero(new), np.flatnonzero(last) + 1
+        spans = pa.StructArray.from_arrays([pa.array(begin - first[doc[begin]], pa.int64()), pa.array(end - first[doc[begin]], pa.int64())], names=["start", "end"])
+        in_doc, item = windows.pairs(window, doc[start])
+        near_doc, near = in_doc, item
+        if slop and len(index.positions):
+            window, _, own = index.match(windows, doc, slop)  # exact matches are among those of any slop
+            near_doc, near = windows.pairs(window, doc[own])
+        columns = [pa.array(np.full(n, shard["shard"]), pa.int64()), pa.array(np.arange(n), pa.int64()), pa.array(shard["doc_ids"], pa.int64()), pa.array(count, pa.int64()), pa.array(np.bincount(doc[hit], minlength=n), pa.int64()), _lists(doc[begin], spans, n), _lists(in_doc, windows.names.take(pa.array(item)), n), _lists(near_doc, windows.names.take(pa.array(near)), n)]
+        out = pa.RecordBatch.from_arrays(columns, schema=HITS_ARROW)
+        yield out if every else out.take(pa.array(np.unique(np.concatenate([in_doc, near_doc]))))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of several passes joined, and n_hit counted anew."""
+    for batch in batches:
+        lists = batch.column(5)
+        doc = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()).astype(np.int64))
+        flat = lists.flatten()
+        start, end = (np.asarray(flat.field(k)).astype(np.int64) for k in range(2))
+        order = np.lexsort((end, start, doc))
+        doc, start, end = doc[order], start[order], end[order]
+        far = int(end.max()) + 2 if len(end) else 1
+        reach = np.maximum.accumulate(end + doc * far) if len(end) else end
+        new = np.append(True, start[1:] + doc[1:] * far > reach[:-1]) if len(end) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        stop = reach[np.append(begin[1:], len(end)) - 1] - doc[begin] * far if len(end) else end
+        spans = pa.StructArray.from_arrays([pa.array(start[begin], pa.int64()), pa.array(stop, pa.int64())], names=["start", "end"])
+        n_hit = np.bincount(doc[begin], weights=stop - start[begin], minlength=batch.num_rows).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n_hit, pa.int64()), _lists(doc[begin], spans, batch.num_rows), *batch.columns[6:]], schema=HITS_ARROW)
 
 
 def benchmark_blocks(benchmark: DataFrame, width: int, block_windows: int) -> Iterator[Windows]:
     """The benchmark's windows, a block at a time. Items stream through the driver; one block is held."""
-    items, n = [], 0
+    rows, names, of, n = [], [], [], 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").toLocalIterator():
-        items.append((row.item_id, row.text))
-        n += max(1, len(row.text) // 4)
-        if n >= block_windows:
-            yield build_windows(items, width)
-            items, n = [], 0
-    if items:
-        yield build_windows(items, width)
+        (chunk,) = ts.chunks(pa.array([row.text]))
+        hashes = chunk.lowered().words(ts.ALNUM_WORDS).hashes()
+        if not len(hashes):
+            continue
+        own, at = _windows_of(hashes, width), 0
+        while at < len(own):
+            piece = own[at : at + block_windows - n]
+            rows.append(piece)
+            of.append(np.full(len(piece), len(names)))
+            names.append(row.item_id)
+            at, n = at + len(piece), n + len(piece)
+            if n >= block_windows:
+                yield build_windows(np.concatenate(rows), names, np.concatenate(of))
+                rows, names, of, n = [], [], [], 0
+    if rows:
+        yield build_windows(np.concatenate(rows), names, np.concatenate(of))
+
+
+def query_index(index: DataFrame, benchmark: DataFrame, *, width: int = 8, slop: int = 0, block_windows: int = 2_000_000) -> DataFrame:
+    """HITS for every document of an index."""
+    shared, passes = index.sparkSession.sparkContext, []
+    empty = Windows(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.full((0, width), -1), pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.int64))
+    for k, block in enumerate(itertools.chain(benchmark_blocks(benchmark, width, block_windows), [None])):
+        if block is None and passes:
+            break
+        block = block or empty
+        if len(block.terms):
+            block.order = rarest_first(block, term_frequencies(index, block.terms))
+        held = shared.broadcast(pickle.dumps(block))  # at most block_windows windows
+        passes.append(index.mapInArrow(lambda batches, held=held, first=k == 0: _query(batches, pickle.loads(held.value), slop, first), HITS))
+    if len(passes) == 1:
+        return passes[0]
+    joined = passes[0]
+    for one in passes[1:]:
+        joined = joined.unionByName(one)
+    same = [F.first(c).alias(c) for c in ("doc_id", "n_words", "n_hit")]
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("hit_spans", "items", "near_items")]
+    sets = [F.array_sort(F.array_distinct(c)).alias(c) for c in ("items", "near_items")]
+    return joined.groupBy("shard", "doc").agg(*same, *lists).select("shard", "doc", "doc_id", "n_words", "n_hit", "hit_spans", *sets).mapInArrow(_merged, HITS)
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, *, width: int = 8, slop: int = 0, min_items: int = 2, block_windows: int = 2_000_000) -> DataFrame:
@@ -210,40 +338,9 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, width: int
     ``contaminated`` means that windows of ``min_items`` items or more occur. ``near_items`` has the items that
     match exactly or within ``slop``.
     """
-    docs = documents.select("doc_id", "text")
-    shared = documents.sparkSession.sparkContext
-    passes = []
-    for block in benchmark_blocks(benchmark, width, block_windows):
-        if len(block.length):
-            held = shared.broadcast(pickle.dumps(block))  # at most block_windows windows
-            passes.append(lambda batches, held=held: _scan(batches, pickle.loads(held.value), slop))
-    if not passes:
-        empty = Windows(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.full((0, width), -1), [])
-        passes.append(lambda batches: _scan(batches, empty, slop))
-    if len(passes) == 1:
-        hits = docs.mapInArrow(passes[0], HITS_SCHEMA)
-    else:
-        # Passes meet by document; a key column tells repeated doc_ids apart by their text.
-        keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-        parts = [keyed.select("doc_id", "text", "row_key").mapInArrow(_keyed(p), "row_key bigint, " + HITS_SCHEMA) for p in passes]
-        union = parts[0].withColumn("pass", F.lit(0))
-        for k, p in enumerate(parts[1:], 1):
-            union = union.unionByName(p.withColumn("pass", F.lit(k)))
-        hits = union.groupBy("row_key", "doc_id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("near_items")).alias("near_items"), F.count_if(F.col("pass") == 0).alias("copies"))
-        hits = hits.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "n_words", "hit_spans", "items", "near_items")
-    return hits.mapInArrow(_merge, MERGED).withColumn("contaminated", F.col("n_items") >= min_items)
-
-
-def _keyed(scan):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for out in scan(iter([batch])):
-                key = batch.column(2).slice(at, out.num_rows)
-                at += out.num_rows
-                yield pa.RecordBatch.from_arrays([key, *out.columns], schema=pa.schema([("row_key", pa.int64()), *out.schema]))
-
-    return run
+    hits = query_index(build_index(documents), benchmark, width=width, slop=slop, block_windows=block_windows)
+    n_items = F.size("items").cast("bigint")
+    return hits.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "hit_spans", "items", "near_items", (n_items >= min_items).alias("contaminated"))
 
 
 def _filter(batches: Iterator[pa.RecordBatch], windows: Windows, slop: int, min_items: int, single: int | None, last: bool) -> Iterator[pa.RecordBatch]:
@@ -253,14 +350,15 @@ def _filter(batches: Iterator[pa.RecordBatch], windows: Windows, slop: int, min_
         keep, items, at = [], [], 0
         for chunk in ts.chunks(batch.column(batch.schema.get_field_index("text"))):
             words = chunk.lowered().words(ts.ALNUM_WORDS)
-            index = PositionalIndex(words, windows.terms)
+            index = PositionalIndex.of_words(words, windows.terms)
             found, alone = [set(x or ()) for x in before[at : at + len(chunk)]], np.zeros(len(chunk), dtype=bool)
             at += len(chunk)
             if len(index.positions):
                 window, _, own = index.match(windows, words.doc, slop)  # exact matches are among those of any slop
-                for w, d in set(zip(window.tolist(), words.doc[own].tolist(), strict=True)):
-                    found[d].update(windows.items[w])
-                    alone[d] |= single is not None and bool(windows.items[w]) and windows.length[w] >= single
+                for d, k in zip(*(x.tolist() for x in windows.pairs(window, words.doc[own])), strict=True):
+                    found[d].add(windows.names[k].as_py())
+                if single is not None:
+                    alone[words.doc[own[windows.length[window] >= single]]] = True
             keep += [not one and len(x) < min_items for x, one in zip(found, alone.tolist(), strict=True)]
             items += [sorted(x) for x in found]
         columns, names = batch.columns[:-1], batch.schema.names[:-1]
@@ -274,6 +372,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, width: int
 
     A document is contaminated by windows of ``min_items`` items or more, or by one window of ``single`` words or more,
     each exactly or within ``slop``.
+    The postings of a few megabytes of text are built, asked and dropped where the text is, so that no row moves.
     Each block of windows is one more narrow filter, and a row carries the items that it has met: rows are judged one by one.
     """
     shared = documents.sparkSession.sparkContext
