@@ -36,6 +36,8 @@ FEATURES = ("log_words", "word_length", "symbol_share", "dup_share", "repeat_sha
 #: and 0.04), so their scatter sets the distance. The shares are 0 in most texts, where the closest part has no scatter, and are judged on these scales.
 FLOORS = (0.3, 0.04, 0.03, 0.12, 0.12)
 SALTS = 64
+FEW = 20_000  # rows of parameters (about 8 MB) that are broadcast
+TOLERANCE = 1e-3  # of the logarithm of a determinant
 BINS = 128  # of distances, for each doubling
 ALL = "[]"  # the level of all documents
 PARAMS = "level string, start int, total bigint, center array<double>, inverse array<double>, log_det double"
@@ -151,8 +153,12 @@ def _fit(frames: Iterator[pd.DataFrame], widen: float) -> Iterator[pd.DataFrame]
         yield pd.DataFrame(out, columns=["level", "start", "total", "center", "inverse", "log_det"])
 
 
-def _salted(params: DataFrame) -> DataFrame:
-    return params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def _meet(rows: DataFrame, params: DataFrame, few: bool, *also: str) -> DataFrame:
+    """Rows with the parameters of their level. A few of these (by count) are broadcast; more are met by level and salt, as a
+    level may hold a third of all rows, and one holds them all."""
+    if few:
+        return rows.join(F.broadcast(params), ["level", *also])
+    return rows.join(params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["level", "salt", *also])
 
 
 def _moments(inner: DataFrame, widen: float) -> DataFrame:
@@ -162,20 +168,20 @@ def _moments(inner: DataFrame, widen: float) -> DataFrame:
     return moments.mapInPandas(lambda frames: _fit(frames, widen), PARAMS)
 
 
-def _measured(rows: DataFrame, params: DataFrame) -> DataFrame:
-    return rows.join(_salted(params), ["level", "salt"]).select("level", "salt", "start", "total", *FEATURES, _distance().alias("distance"))
+def _measured(rows: DataFrame, params: DataFrame, few: bool) -> DataFrame:
+    return _meet(rows, params, few).select("level", "salt", "start", "total", *FEATURES, _distance().alias("distance"))
 
 
-def concentrate(rows: DataFrame, params: DataFrame, share: float) -> DataFrame:
+def concentrate(rows: DataFrame, params: DataFrame, share: float, few: bool = True) -> DataFrame:
     """One concentration step: the estimates of the closest ``share`` of each group's rows, for each of its starts.
 
     The subset ends with the bin of distances in which it is complete.
     """
-    measured = _measured(rows, params).withColumn("bin", _bin())
+    measured = _measured(rows, params, few).withColumn("bin", _bin())
     counts = measured.groupBy("level", "start", "total", "bin").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("level", "start").orderBy("bin")  # a bounded number of bins
     cuts = counts.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") >= F.ceil(share * F.col("total"))).groupBy("level", "start").agg(F.min("bin").alias("cut"))
-    inner = measured.join(_salted(cuts), ["level", "start", "salt"]).where("bin <= cut")
+    inner = _meet(measured, cuts, few, "start").where("bin <= cut")
     return _moments(inner, consistency(share, len(FEATURES)))
 
 
@@ -196,38 +202,42 @@ def first_estimates(rows: DataFrame, min_group: int) -> DataFrame:
     return wide.select("level", F.explode(F.array(*starts)).alias("s"), "total", diagonal.alias("inverse")).select("level", "s.start", "total", "s.center", "inverse", F.lit(float("inf")).alias("log_det"))
 
 
-def least_determinant(rows: DataFrame, run: Scratch, share: float, min_group: int, trial_steps: int, most_steps: int) -> DataFrame:
-    """The estimate (PARAMS) of each level's closest ``share`` of rows with the least determinant that was found."""
+def least_determinant(rows: DataFrame, run: Scratch, share: float, min_group: int, trial_steps: int, most_steps: int) -> tuple[DataFrame, bool]:
+    """The estimate (PARAMS) of each level's closest ``share`` of rows with the least determinant that was found, and whether
+    these are few."""
     params = run.table(first_estimates(rows, min_group), "first")
+    few = params.count() <= FEW
     for k in range(trial_steps):
-        params = run.table(concentrate(rows, params, share), f"trial-{k}")
+        params = run.table(concentrate(rows, params, share, few), f"trial-{k}")
     best = params.groupBy("level").agg(F.min_by(F.struct("start", "total", "center", "inverse", "log_det"), F.struct("log_det", "start")).alias("p"))
-    params = run.table(best.select("level", "p.*"), "best")
+    state = run.table(best.select("level", "p.*", F.lit(True).alias("moving")), "best")
+    names = ("start", "total", "center", "inverse", "log_det")
     for k in range(most_steps):
         seen = Observation()
-        before = params.select("level", F.col("log_det").alias("was"))
-        falls = concentrate(rows, params, share).join(before, "level").observe(seen, F.max(F.col("was") - F.col("log_det")).alias("fall")).drop("was")
-        params = run.table(falls, f"step-{k}")
-        if (seen.get["fall"] or 0.0) < 1e-4:
+        after = concentrate(rows, state.where("moving").drop("moving"), share, few).select("level", F.struct(*names).alias("p"))
+        falls = F.coalesce(F.col("p.log_det") < F.col("log_det") - TOLERANCE, F.lit(False))
+        chosen = [F.when(falls, F.col(f"p.{c}")).otherwise(F.col(c)).alias(c) for c in names]
+        moved = state.join(after, "level", "left").select("level", *chosen, falls.alias("moving"))
+        state = run.table(moved.observe(seen, F.count_if("moving").alias("moving")), f"step-{k}")
+        if not seen.get["moving"]:
             break
-    return params
+    return state.drop("moving"), few
 
 
 def fit_mcd(vectors: DataFrame, *, share: float = 0.75, min_group: int = 200, trial_steps: int = 2, most_steps: int = 20) -> DataFrame:
     """Location and inverse scatter of every level that is large enough: (level, total, center, inverse).
 
     ``vectors`` has FEATURES and ``levels``. The subset of ``share`` of a group whose scatter has the least determinant is
-    sought from three starts: after ``trial_steps`` concentration steps the start with the least determinant goes on until no
-    group's determinant falls by over 0.01 % (or for ``most_steps``). The estimate is then taken once more from all rows
+    sought from three starts: after ``trial_steps`` concentration steps the start with the least determinant goes on until it
+    no longer falls by over 0.1 % (or for ``most_steps``), each group for itself. The estimate is then taken once more from all rows
     within the 0.975 quantile of it. Scatter is regularised by adding FLOORS squared, under which concentration steps
     still never raise the determinant.
     """
     run = Scratch(vectors.sparkSession, "mcd", 1)
-    # A level may hold a third of all rows, and one holds them all: rows meet parameters by level and salt.
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt")
     rows = vectors.select(salt, F.explode("levels").alias("level"), *FEATURES)
-    params = least_determinant(rows, run, share, min_group, trial_steps, most_steps)
-    near = _measured(rows, params).where(F.col("distance") <= NEAR)
+    params, few = least_determinant(rows, run, share, min_group, trial_steps, most_steps)
+    near = _measured(rows, params, few).where(F.col("distance") <= NEAR)
     return run.table(_moments(near, consistency(0.975, len(FEATURES))), "last").select("level", "total", "center", "inverse")
 
 
