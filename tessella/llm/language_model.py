@@ -41,6 +41,7 @@ ANSWER = "block int, level int, part bigint, totals binary"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 NONE = -1
 SEGMENT = 512
+BLOCK_BYTES = 8 << 20
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,10 +82,12 @@ class Arcs:
     def __init__(self, states: list[np.ndarray], tokens: list[np.ndarray], weights: list[np.ndarray], to: list[np.ndarray]):
         key = self._key(np.concatenate(states), np.concatenate(tokens))
         order = np.argsort(key)
-        self.key, self.weight, self.to = key[order], np.concatenate(weights)[order], np.concatenate(to)[order]
-        bits = max(1, len(key).bit_length())
+        self.key = key[order]
+        del key
+        self.weight, self.to = np.concatenate(weights)[order], np.concatenate(to).astype(np.int32)[order]
+        bits = max(1, len(self.key).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.enter = np.searchsorted(self.key, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.enter = np.searchsorted(self.key, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
     @staticmethod
     def _key(state: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -235,6 +238,7 @@ def build(levels: Iterator[np.ndarray], totals: Iterator[np.ndarray], tokens: np
         leads = np.full(len(total), NONE, dtype=np.int64)
         leads[seen] = to
         ends_in = leads[inverse]
+        del inverse, leads, example
     model.finish()
     return model, known
 
@@ -244,6 +248,7 @@ def _score(docs: pa.Table, answers: pa.Table, order: int, prior: float, train_to
     told = dict(zip(zip(blocks.column(answers, "level"), blocks.column(answers, "part"), strict=True), blocks.column(answers, "totals"), strict=True))
     totals = (np.concatenate([blocks.unpack_counts(told[k]) for k in sorted(k for k in told if k[0] == level)]) for level in range(1, order + 1))
     model, known = build(grams(tokens, n, order), totals, tokens, n, order, prior, train_tokens, vocabulary, train_docs)
+    model.arcs = []  # they are in the table
     first = np.cumsum(n) - n
     add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)  # noqa: E731  every document has a token
     base = np.log10((known + ADD) / (train_tokens + ADD * (vocabulary + 1)))
@@ -277,7 +282,7 @@ def _vocabulary(table: pa.Table) -> pa.Table:
     return pa.table({"tokens": [int(totals.sum())], "distinct": [len(totals)]})
 
 
-def score_documents(documents: DataFrame, *, order: int = 3, prior: float = 50.0, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+def score_documents(documents: DataFrame, *, order: int = 3, prior: float = 50.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
     n_blocks = blocks.count_blocks(documents, block_bytes)
