@@ -107,9 +107,14 @@ z AS (SELECT DISTINCT n FROM g),
 x AS (SELECT doc_id, i, n, array_to_string(w[i + 1 : i + n], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(greatest(len(w) - n + 1, 0))) AS i FROM d, z)),
 m AS (SELECT doc_id, i, x.n, item_id FROM x JOIN g ON x.s = g.s AND x.n = g.n),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
-j AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM m GROUP BY doc_id)
-SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
-FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN j ON d.doc_id = j.doc_id
+j AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM m GROUP BY doc_id),
+y AS MATERIALIZED (SELECT row_number() OVER (ORDER BY s, n) AS win, s, n FROM (SELECT DISTINCT s, n FROM g)),
+e AS (SELECT win, n, unnest(string_split(s, ' ')) AS word, unnest(range(n)) AS k FROM y),
+c AS (SELECT DISTINCT doc_id, win, n, k, pos - k + shift AS p FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d) JOIN e USING (word), range(-2, 3) AS t(shift)),
+f AS (SELECT DISTINCT doc_id, win FROM (SELECT doc_id, win FROM c GROUP BY doc_id, win, n, p HAVING count(*) = n)),
+q AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM f JOIN y USING (win) JOIN g ON g.s = y.s AND g.n = y.n GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN j ON d.doc_id = j.doc_id LEFT JOIN q ON d.doc_id = q.doc_id
 """
 
 ORACLES = {name: " ".join(sql.split("\n")) for name, sql in {"op2_suffix_dedup": OP2, "op5_lm_score": OP5, "op6_near_duplicates": OP6, "op8_license_scan": _op8(), "op9_source_mixing": OP9, "op10_benchmark_decontamination": OP10}.items()}
