@@ -70,7 +70,7 @@ IMPLIED = {
     "a": (frozenset({"a"}), frozenset("table td th".split())),
 }
 #: An end tag does not reach out of these.
-SCOPES = frozenset("table td th html".split())
+SCOPES = frozenset("table td th caption template html".split())
 WIDEST = 40  # columns are padded to this at most, so one long cell does not blow up all rows
 
 
@@ -197,7 +197,8 @@ class TreeBuilder:
         if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
             self._close(len(self.stack) - 1)
         if tag in IMPLIED:
-            self._pop_to(*IMPLIED[tag])
+            closes, beyond = IMPLIED[tag]
+            self._pop_to(closes, beyond | {"template"})
         if tag in ("td", "th") and self.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self._open("tr", {})
         self._open(tag, attrs)
