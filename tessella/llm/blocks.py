@@ -95,14 +95,15 @@ def single(table: pa.Table, name: str) -> pa.Array:
     return whole if isinstance(whole, pa.Array) else pa.concat_arrays(whole.chunks) if whole.num_chunks else pa.array([], whole.type)
 
 
-def add_up(payloads: list[bytes], counts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Packed sorted keys of several blocks and their counts: the total of each block's keys, and the totals of distinct keys."""
+def add_up(payloads: list[bytes], counts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Packed sorted keys of several blocks and their counts: for each block's keys the total, and whether several blocks sent
+    the key; and the totals of distinct keys."""
     keys = [unpack_keys(p) for p in payloads]
     flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
     own = np.concatenate([unpack_counts(c) for c in counts]) if counts else np.zeros(0, np.uint64)
     ends = np.cumsum([len(k) for k in keys])[:-1]
     del keys
-    _, inverse = np.unique(flat, return_inverse=True)
+    _, inverse, senders = np.unique(flat, return_inverse=True, return_counts=True)
     # Sums of whole numbers are exact in a double up to 2**53.
     totals = np.bincount(inverse, weights=own, minlength=0).astype(np.int64)
-    return np.split(totals[inverse], ends), totals
+    return np.split(totals[inverse], ends), np.split(senders[inverse] > 1, ends), totals

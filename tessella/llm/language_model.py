@@ -14,7 +14,9 @@ carries its state, follows failure arcs until the state has an arc for the token
 arc leads.
 
 What is exchanged is linear in the corpus at any size: a block sends a sorted array of keys and counts to each part of the
-key space in which it has any, so there are never more rows than keys. Words and n-grams are told apart by 64-bit hashes.
+key space in which it has any, so there are never more rows than keys. From the third order on it only asks for n-grams
+whose two shorter parts other blocks have as well: of all others it has every occurrence itself. Texts travel compressed.
+Words and n-grams are told apart by 64-bit hashes.
 
 Tokens are words (ASCII lower-cased, cut at ASCII white space) and one end token per document. Training documents are
 those whose crc32(doc_id as text) mod 10 is not 0; a missing doc_id counts as empty text. Defined results: null and
@@ -37,7 +39,8 @@ from tessella.llm import textscan as ts
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 ADD = 0.1
 REQUEST = "part bigint, level int, block int, keys binary, counts binary"
-ANSWER = "block int, level int, part bigint, totals binary"
+ANSWER = "block int, level int, part bigint, totals binary, shared binary"
+DEALT = "block int, doc_ids array<bigint>, held array<boolean>, lengths array<bigint>, data binary"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 NONE = -1
 SEGMENT = 512
@@ -146,7 +149,9 @@ class BackoffAutomaton:
                 p = (count + ADD) / self.total
             else:
                 # The same token is read one failure arc further down, possibly by a shorter arc still.
-                shorter = self._step(Arcs(states, tokens, weights, nexts), self.failure_to[state], token)[0]
+                table, step = Arcs(states, tokens, weights, nexts), 1 << 16
+                shorter = np.concatenate([self._step(table, self.failure_to[state[k : k + step]], token[k : k + step])[0] for k in range(0, max(len(state), 1), step)])
+                del table
                 p = (count + self.prior * np.power(10.0, shorter)) / (context[state] + self.prior)
             states.append(state)
             tokens.append(token)
@@ -193,66 +198,135 @@ class BackoffAutomaton:
         return np.bincount(doc[order], weights=score, minlength=len(counts))
 
 
-def _request(table: pa.Table, order: int, parts: int) -> pa.Table:
-    """The distinct n-grams of a block, with their counts in its training documents."""
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, doc_id, held_out, text) to one row per block in a batch, with the texts compressed."""
+    schema = pa.schema([("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("data", pa.binary())])
+    codec = pa.Codec("zstd", 3)
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]).sort_by("block")
+        block = rows.column(0).to_numpy()
+        begin = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
+        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(block)], strict=True):
+            own = rows.slice(lo, hi - lo)
+            texts = blocks.single(own, "text").cast(pa.large_binary()).fill_null(b"")
+            data = b"".join(texts.to_pylist())
+            lengths = pa.compute.binary_length(texts)
+            yield pa.RecordBatch.from_pylist([{"block": int(block[lo]), "doc_ids": own.column(1).to_pylist(), "held": own.column(2).to_pylist(), "lengths": lengths.to_pylist(), "data": codec.compress(data, asbytes=True)}], schema=schema)
+
+
+class Texts:
+    """The documents of a block: ids, whether each is held out, token hashes and how many tokens each has."""
+
+    def __init__(self, dealt: pa.Table):
+        codec, tokens, counts = pa.Codec("zstd", 3), [], []
+        self.block = dealt.column("block")[0].as_py()
+        self.doc_ids = [x for row in dealt.column("doc_ids").to_pylist() for x in row]
+        self.held = np.array([x for row in dealt.column("held").to_pylist() for x in row], dtype=bool)
+        for lengths, data in zip(dealt.column("lengths").to_pylist(), dealt.column("data"), strict=True):
+            ends = np.cumsum([0, *lengths], dtype=np.int64)
+            raw = codec.decompress(data.as_buffer(), int(ends[-1])) if ends[-1] else pa.py_buffer(b"")
+            t, n = tokens_of(pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), raw]))
+            tokens.append(t)
+            counts.append(n)
+        self.tokens, self.counts = np.concatenate(tokens), np.concatenate(counts)
+
+
+class Level:
+    """The n-grams of one order in a block: the key that ends at each token, the distinct ones with their counts in the
+    block's training documents, and which of them the block asks for."""
+
+    def __init__(self, key: np.ndarray, train: np.ndarray, asked: np.ndarray | None):
+        """``asked``: of each token's n-gram; None for all."""
+        self.key, self.distinct, self.example, self.inverse = key, *np.unique(key, return_index=True, return_inverse=True)
+        self.own = np.bincount(self.inverse, weights=train, minlength=len(self.distinct)).astype(np.int64)
+        self.asked = np.ones(len(self.distinct), dtype=bool) if asked is None else asked[self.example]
+
+    def requests(self, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
+        keys, counts = self.distinct[self.asked], self.own[self.asked]
+        return ((p, blocks.pack_keys(keys[lo:hi]), blocks.pack_counts(counts[lo:hi])) for p, lo, hi in blocks.pieces(keys, parts))
+
+    def answered(self, told: dict[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Totals of the distinct n-grams, and whether other blocks have them too."""
+        total, shared = self.own.copy(), np.zeros(len(self.own), dtype=bool)
+        if told:
+            total[self.asked] = np.concatenate([blocks.unpack_counts(told[p][0]) for p in sorted(told)]).astype(np.int64)
+            shared[self.asked] = np.concatenate([np.unpackbits(np.frombuffer(told[p][1], dtype=np.uint8), count=len(blocks.unpack_counts(told[p][0]))) for p in sorted(told)]).astype(bool)
+        return total, shared
+
+
+def levels(texts: Texts, order: int, told: dict[int, dict[int, tuple[bytes, bytes]]]) -> Iterator[tuple[Level, np.ndarray, np.ndarray]]:
+    """(Level, totals, shared) from order 1 on; what a level asks follows from the answers of the one before."""
+    train = np.repeat(~texts.held, texts.counts)
+    first = np.cumsum(texts.counts) - texts.counts
+    asked = None
+    for number, key in enumerate(grams(texts.tokens, texts.counts, order), 1):
+        level = Level(key, train, asked)
+        total, shared = level.answered(told.get(number, {}))
+        yield level, total, shared
+        if number > 1:
+            ends = shared[level.inverse]
+            begins = np.append(True, ends[:-1])
+            begins[first] = True  # start tokens stand before every document
+            asked = ends & begins
+
+
+def _told(answers: pa.Table) -> dict[int, dict[int, tuple[bytes, bytes]]]:
+    out: dict[int, dict[int, tuple[bytes, bytes]]] = {}
+    for level, part, totals, shared in zip(*(blocks.column(answers, c) for c in ("level", "part", "totals", "shared")), strict=True):
+        out.setdefault(level, {})[part] = totals, shared
+    return out
+
+
+def _request(dealt: pa.Table, answers: pa.Table | None, wanted: range, parts: int) -> pa.Table:
+    """What a block asks for the orders ``wanted``, given the answers of all before."""
     out: dict[str, list] = {"part": [], "level": [], "block": [], "keys": [], "counts": []}
-    tokens, n = tokens_of(blocks.single(table, "text"))
-    train = np.repeat(~np.array(blocks.column(table, "held_out"), dtype=bool), n)
-    block = table.column("block")[0].as_py()
-    for level, key in enumerate(grams(tokens, n, order), 1):
-        distinct, inverse = np.unique(key, return_inverse=True)
-        count = np.bincount(inverse, weights=train, minlength=len(distinct)).astype(np.uint64)
-        del inverse
-        for p, lo, hi in blocks.pieces(distinct, parts):
-            for name, value in zip(out, (p, level, block, blocks.pack_keys(distinct[lo:hi]), blocks.pack_counts(count[lo:hi])), strict=True):
-                out[name].append(value)
+    if dealt.num_rows:
+        texts = Texts(dealt)
+        for number, (level, _, _) in enumerate(levels(texts, wanted.stop - 1, _told(answers) if answers is not None else {}), 1):
+            for p, keys, counts in level.requests(parts) if number in wanted else ():
+                for name, value in zip(out, (p, number, texts.block, keys, counts), strict=True):
+                    out[name].append(value)
     return pa.table(out, schema=pa.schema([("part", pa.int64()), ("level", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    answers, _ = blocks.add_up(blocks.column(table, "keys"), blocks.column(table, "counts"))
-    return pa.table({"block": table.column("block"), "level": table.column("level"), "part": table.column("part"), "totals": pa.array([blocks.pack_counts(a) for a in answers], pa.binary())})
-
+    totals, shared, _ = blocks.add_up(blocks.column(table, "keys"), blocks.column(table, "counts"))
+    return pa.table({"block": table.column("block"), "level": table.column("level"), "part": table.column("part"), "totals": pa.array([blocks.pack_counts(a) for a in totals], pa.binary()), "shared": pa.array([np.packbits(a).tobytes() for a in shared], pa.binary())})
 
-def build(levels: Iterator[np.ndarray], totals: Iterator[np.ndarray], tokens: np.ndarray, n: np.ndarray, order: int, prior: float, train_tokens: int, vocabulary: int, train_docs: int) -> tuple[BackoffAutomaton, np.ndarray]:
-    """The automaton of some documents, and the training count of each token.
 
-    ``levels``: the n-grams that end at each token, from order 1; ``totals``: training counts of the distinct ones, in order.
-    """
+def build(known: Iterator[tuple[Level, np.ndarray, np.ndarray]], tokens: np.ndarray, n: np.ndarray, order: int, prior: float, train_tokens: int, vocabulary: int, train_docs: int) -> tuple[BackoffAutomaton, np.ndarray]:
+    """The automaton of some documents, and the training count of each token, from the levels with their totals."""
     model = BackoffAutomaton(order, train_tokens, vocabulary, prior, train_docs)
-    first, state_before, known = np.cumsum(n) - n, np.zeros(len(tokens), np.int64), None
+    first, state_before, unigrams = np.cumsum(n) - n, np.zeros(len(tokens), np.int64), None
     # Where each (n-1)-gram that ends at a token has its state, NONE if training never had it; for level 1 the empty context.
     ends_in = np.zeros(len(tokens), np.int64)
-    for level, (key, total) in enumerate(zip(levels, totals, strict=True), 1):
-        _, example, inverse = np.unique(key, return_index=True, return_inverse=True)
-        if known is None:
-            known = total[inverse]
-        if level > 1:  # the context of the n-gram at a token ends one token earlier
-            state_before = np.empty(len(tokens), np.int64)
-            state_before[1:] = ends_in[:-1]
-            state_before[first] = level - 1  # level - 1 start tokens
+    for number, (level, total, _) in enumerate(known, 1):
+        if unigrams is None:
+            unigrams = total[level.inverse]
+        if number > 1:  # the context of the n-gram at a token ends one token earlier
+            state_before = np.append(0, ends_in[:-1])
+            state_before[first] = number - 1  # so many start tokens
         seen = np.flatnonzero(total > 0)
-        at = example[seen]  # a token at which each seen n-gram ends
-        fallback = np.zeros(len(seen), np.int64) if level == 1 else ends_in[at]
-        to = model.add_level(state_before[at], tokens[at], total[seen].astype(np.int64), fallback)
+        at = level.example[seen]  # a token at which each seen n-gram ends
+        fallback = np.zeros(len(seen), np.int64) if number == 1 else ends_in[at]
+        to = model.add_level(state_before[at], tokens[at], total[seen], fallback)
         leads = np.full(len(total), NONE, dtype=np.int64)
         leads[seen] = to
-        ends_in = leads[inverse]
-        del inverse, leads, example
+        ends_in = leads[level.inverse]
+        del level
     model.finish()
-    return model, known
+    return model, unigrams
 
 
-def _score(docs: pa.Table, answers: pa.Table, order: int, prior: float, train_tokens: int, vocabulary: int, train_docs: int) -> pa.Table:
-    tokens, n = tokens_of(blocks.single(docs, "text"))
-    told = dict(zip(zip(blocks.column(answers, "level"), blocks.column(answers, "part"), strict=True), blocks.column(answers, "totals"), strict=True))
-    totals = (np.concatenate([blocks.unpack_counts(told[k]) for k in sorted(k for k in told if k[0] == level)]) for level in range(1, order + 1))
-    model, known = build(grams(tokens, n, order), totals, tokens, n, order, prior, train_tokens, vocabulary, train_docs)
+def _score(dealt: pa.Table, answers: pa.Table, order: int, prior: float, train_tokens: int, vocabulary: int, train_docs: int) -> pa.Table:
+    texts = Texts(dealt)
+    tokens, n = texts.tokens, texts.counts
+    model, known = build(levels(texts, order, _told(answers)), tokens, n, order, prior, train_tokens, vocabulary, train_docs)
     model.arcs = []  # they are in the table
     first = np.cumsum(n) - n
     add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)  # noqa: E731  every document has a token
     base = np.log10((known + ADD) / (train_tokens + ADD * (vocabulary + 1)))
-    return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(add((known > 0).astype(np.int64)).astype(np.int64)), "base_score": pa.array(add(base).astype(np.float64)), "score": pa.array(model.read(tokens, n))})
+    return pa.table({"doc_id": pa.array(texts.doc_ids, pa.int64()), "held_out": pa.array(texts.held), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(add((known > 0).astype(np.int64)).astype(np.int64)), "base_score": pa.array(add(base).astype(np.float64)), "score": pa.array(model.read(tokens, n))})
 
 
 def _vocabulary_request(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -278,7 +352,7 @@ def _vocabulary_request(batches: Iterator[pa.RecordBatch], parts: int) -> Iterat
 
 
 def _vocabulary(table: pa.Table) -> pa.Table:
-    _, totals = blocks.add_up(blocks.column(table, "keys"), blocks.column(table, "counts"))
+    _, _, totals = blocks.add_up(blocks.column(table, "keys"), blocks.column(table, "counts"))
     return pa.table({"tokens": [int(totals.sum())], "distinct": [len(totals)]})
 
 
@@ -291,7 +365,12 @@ def score_documents(documents: DataFrame, *, order: int = 3, prior: float = 50.0
     sums = train.select("text").mapInArrow(lambda b: _vocabulary_request(b, n_blocks), "part bigint, keys binary, counts binary").groupBy("part").applyInArrow(_vocabulary, "tokens bigint, distinct bigint")
     seen = sums.agg(F.sum("tokens"), F.sum("distinct")).first()
     train_tokens, vocabulary, train_docs = int(seen[0] or 0), int(seen[1] or 0), train.count()
-    asked = docs.groupBy("block").applyInArrow(lambda t: blocks.released(_request, t, order, n_blocks), REQUEST)
+    dealt = docs.mapInArrow(_deal, DEALT)
+    asked = dealt.groupBy("block").applyInArrow(lambda t: blocks.released(_request, t, None, range(1, min(order, 2) + 1), n_blocks), REQUEST)
     told = asked.groupBy("part", "level").applyInArrow(lambda t: blocks.released(_answer, t), ANSWER)
-    scored = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, a: blocks.released(lambda x, y: _score(x, y, order, prior, train_tokens, vocabulary, train_docs), d, a), SCORES)
+    ask = lambda level: lambda d, a: blocks.released(_request, d, a, range(level, level + 1), n_blocks)
+    for level in range(3, order + 1):
+        more = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask(level), REQUEST)
+        told = told.unionByName(more.groupBy("part", "level").applyInArrow(lambda t: blocks.released(_answer, t), ANSWER))
+    scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda d, a: blocks.released(_score, d, a, order, prior, train_tokens, vocabulary, train_docs), SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -98,7 +98,7 @@ def _count(docs: pa.Table, length: int, parts: int) -> pa.Table:
 
 
 def _repeated(asked: pa.Table) -> pa.Table:
-    answers, _ = blocks.add_up(blocks.column(asked, "keys"), blocks.column(asked, "counts"))
+    answers, _, _ = blocks.add_up(blocks.column(asked, "keys"), blocks.column(asked, "counts"))
     return pa.table({"block": asked.column("block"), "part": asked.column("part"), "repeated": pa.array([np.packbits(a > 1).tobytes() for a in answers], pa.binary())})
 
 

@@ -138,9 +138,11 @@ def test_blocks_add_up():
     for k, c in zip(keys, counts, strict=True):
         for x, n in zip(k.tolist(), c.tolist(), strict=True):
             want[x] += n
-    got, totals = blocks.add_up([blocks.pack_keys(k) for k in keys], [blocks.pack_counts(c) for c in counts])
+    got, several, totals = blocks.add_up([blocks.pack_keys(k) for k in keys], [blocks.pack_counts(c) for c in counts])
     assert all([want[x] for x in k.tolist()] == g.tolist() for k, g in zip(keys, got, strict=True))
     assert totals.sum() == sum(want.values()) and len(totals) == len(want)
+    senders = Counter(x for k in keys for x in k.tolist())
+    assert all([senders[x] > 1 for x in k.tolist()] == m.tolist() for k, m in zip(keys, several, strict=True))
 
 
 # Mixing

@@ -460,10 +460,15 @@ def test_scores_equal_brute_force(edge, edge_rows, block_bytes, order):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5), round(r.score, 5)) for r in got) == brute_scores(edge_rows, order)
 
 
+def dealt(texts, held=()):
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(texts), pa.int32()), pa.array(range(len(texts)), pa.int64()), pa.array([k in held for k in range(len(texts))]), pa.array(texts, pa.string())], names=["block", "doc_id", "held_out", "text"])
+    return pa.Table.from_batches(list(language_model._deal(iter([batch]))))
+
+
 def automaton(texts, order):
-    tokens, n = language_model.tokens_of(pa.array(texts))
-    totals = (np.unique(key, return_counts=True)[1] for key in language_model.grams(tokens, n, order))
-    return language_model.build(language_model.grams(tokens, n, order), totals, tokens, n, order, 50.0, len(tokens), len(np.unique(tokens)), len(texts))[0], tokens, n
+    own = language_model.Texts(dealt(texts))
+    known = language_model.levels(own, order, {})  # a block that nobody else shares anything with
+    return language_model.build(known, own.tokens, own.counts, order, 50.0, len(own.tokens), len(np.unique(own.tokens)), len(texts))[0], own.tokens, own.counts
 
 
 def test_probabilities_of_every_state_sum_to_one():
@@ -484,17 +489,30 @@ def test_long_texts_are_read_alike_in_segments(monkeypatch):
     assert np.allclose(model.read(tokens, n), whole)
 
 
-def test_exchange_grows_with_the_corpus(spark):
-    """Rows that blocks send: never more than keys, whatever the number of parts."""
-    table = pa.table({"block": pa.array([0, 0], pa.int32()), "text": ["a b c d e f", "g h i"], "held_out": [False, False]})
-    keys = sum(len(np.unique(k)) for k in language_model.grams(*language_model.tokens_of(table.column("text")), 3))
-    assert [language_model._request(table, 3, parts).num_rows for parts in (1, 10**3, 10**6, 10**9)] == sorted([3, *[language_model._request(table, 3, p).num_rows for p in (10**3, 10**6, 10**9)]])
-    assert language_model._request(table, 3, 10**9).num_rows <= keys
+def test_exchange_grows_with_the_corpus():
+    """Rows that a block sends: never more than keys, whatever the number of parts."""
+    texts = dealt(["a b c d e f", "g h i", None, ""])
+    own = language_model.Texts(texts)
+    keys = sum(len(np.unique(k)) for k in language_model.grams(own.tokens, own.counts, 2))
+    rows = [language_model._request(texts, None, range(1, 3), parts).num_rows for parts in (1, 10**3, 10**6, 10**9)]
+    assert rows == sorted(rows) and rows[0] == 2 and rows[-1] <= keys and own.counts.tolist() == [7, 4, 1, 1]
+
+
+def test_only_shared_parts_are_asked_for():
+    texts, other = dealt(["a b c d"]), dealt(["x b c y", "c d"], held={1})
+    ask = lambda t, told, wanted: language_model._request(t, told, wanted, 1)
+    both = [ask(t, None, range(1, 3)) for t in (texts, other)]
+    answers = [language_model._answer(pa.concat_tables([x.filter(pa.compute.equal(x["level"], level)) for x in both])) for level in (1, 2)]
+    told = pa.concat_tables([a.slice(0, 1) for a in answers])
+    sent = ask(texts, told, range(3, 4))
+    # Shared pairs are "b c", "c d" and "d end"; so "b c d" and "c d end" are asked for, "a b c" and "start a b" are not.
+    assert len(blocks.unpack_keys(sent["keys"][0].as_py())) == 2
 
 
 def test_counts_beyond_32_bits():
     keys, many = np.array([1, 2**63], dtype=np.uint64), np.array([2**32 + 5, 3], dtype=np.uint64)
-    (a, b), totals = blocks.add_up([blocks.pack_keys(keys), blocks.pack_keys(keys[:1])], [blocks.pack_counts(many), blocks.pack_counts(many[:1])])
+    (a, b), (several, _), totals = blocks.add_up([blocks.pack_keys(keys), blocks.pack_keys(keys[:1])], [blocks.pack_counts(many), blocks.pack_counts(many[:1])])
+    assert several.tolist() == [True, False]
     assert a.tolist() == [2 * (2**32 + 5), 3] and b.tolist() == [2 * (2**32 + 5)] and totals.sum() == a.sum()
     assert blocks.unpack_counts(blocks.pack_counts(a)).tolist() == a.tolist() and len(blocks.unpack_keys(blocks.pack_keys(keys[:0]))) == 0
 
