@@ -73,6 +73,14 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def squeeze(data: bytes) -> bytes:
+    return struct.pack("<Q", len(data)) + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def expand(data: bytes) -> bytes:
+    return pa.Codec("zstd", 1).decompress(data[8:], struct.unpack_from("<Q", data)[0], asbytes=True)
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
     """Sorted keys as steps."""
     return _pack(np.diff(keys, prepend=np.uint64(0)) if len(keys) else keys)

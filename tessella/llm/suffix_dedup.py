@@ -1,10 +1,10 @@
 """Removal of repeated byte strings over the whole corpus, by suffix arrays.
 
 Every string of ``length`` bytes that also starts earlier (smaller doc_id, or earlier in the document) is removed;
-strings are judged on the input. Which strings can repeat at all is narrowed first: the hash of a string's 32-byte
-piece with the least hash (its fingerprint) is equal wherever the string occurs, and neighbouring strings mostly
-share the piece, so a document is a list of *runs* of strings with one fingerprint. Fingerprints are counted over the corpus (see
-``blocks``); runs whose fingerprint occurs once hold no repeated string and go no further.
+strings are judged on the input. Which strings can repeat at all is narrowed first: the hash of a string's 32-byte piece
+with the least hash, together with the piece beside it, is the string's *fingerprint*, equal wherever the string occurs,
+and neighbouring strings mostly share it, so a document is a list of *runs* of strings with one fingerprint. Fingerprints
+are counted over the corpus (see ``blocks``); runs whose fingerprint occurs once hold no repeated string and go no further.
 
 The other runs meet by fingerprint. Equal runs are one *segment* with its earliest place; all other places of it are
 repeats. Segments of a fingerprint that differ are cut down to strings all of whose 32-byte pieces occur again among
@@ -13,7 +13,8 @@ grouping construction (``suffix_array``), and strings that are equal are neighbo
 neighbours follows); all but the earliest of each class are repeats. Repeats travel back to their documents as spans.
 
 Documents are read through one exchange by block, which all three stages share. Hot passages cost one segment for
-each different surrounding, not one per copy.
+each different surrounding, not one per copy; as a fingerprint covers two pieces, surroundings that differ within 32 bytes
+of a passage's edge go to different parts, and further ones don't reach into its strings' fingerprints at all.
 
 Defined results: null and empty texts have 0 bytes and keep nothing; rows without doc_id stand before all others; rows
 that repeat a doc_id are in the order of their texts' hashes, equal rows one after another; matches never cross
@@ -73,9 +74,15 @@ def runs(chunk: ts.Chunk, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     bits = np.uint64(max(1, len(chunk.data).bit_length()))
     place = np.arange(len(h), dtype=np.uint64)
     least = sliding_min(h >> bits << bits | place, length - PIECE + 1)[at] & ((np.uint64(1) << bits) - np.uint64(1))
-    doc = np.repeat(np.arange(len(chunk)), fits)
-    first = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])))
-    return h[least[first].astype(np.int64)], doc[first], at[first] - chunk.starts[doc[first]], np.diff(np.append(first, len(at)))
+    doc, least = np.repeat(np.arange(len(chunk)), fits), least.astype(np.int64)
+    # A piece of a common passage stands in strings with many different surroundings: what is before or after it in the
+    # string, whichever is long enough, joins the fingerprint, so that these go different ways.
+    offset = least - at
+    side = np.where(offset >= PIECE, 0, np.where(offset <= length - 2 * PIECE, 1, 2))
+    beside = least + np.array([-PIECE, PIECE, 0])[side]
+    first = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | (side[1:] != side[:-1])))
+    key = ts.mix(h[least[first]] + ts.mix(h[beside[first]] + side[first].astype(np.uint64)))
+    return key, doc[first], at[first] - chunk.starts[doc[first]], np.diff(np.append(first, len(at)))
 
 
 def _all_runs(texts: pa.Array, length: int):
@@ -142,8 +149,8 @@ def _segments(docs: pa.Table, answers: pa.Table, length: int, parts: int) -> pa.
         for k, (p, lo, hi) in enumerate(spans):
             own, at = order[lo:hi], by_piece[places[k] : places[k + 1]]
             values = (fingerprint[own], np.array([len(data[i]) for i in own], dtype=np.int32), b"".join(data[i] for i in own), new_number[segment_[at]].astype(np.int32), ids[row_[at]], hashes[row_[at]], row_[at].astype(np.int32), start_[at].astype(np.int32))
-            for name, value in zip(out, (p, block, *values), strict=True):
-                out[name].append(value.tobytes() if isinstance(value, np.ndarray) else value)
+            for name, value in zip(out, (p, block, *(blocks.squeeze(v if isinstance(v, bytes) else v.tobytes()) for v in values)), strict=True):
+                out[name].append(value)
     return pa.table(out, schema=pa.schema([("part", pa.int64()), ("block", pa.int32()), *((c, pa.binary()) for c in _SEGMENT_COLUMNS)]))
 
 
@@ -223,6 +230,7 @@ def _resolve(table: pa.Table, length: int) -> pa.Table:
     known: dict[tuple[int, bytes], int] = {}
     gathered: dict[str, list[np.ndarray]] = {c: [] for c in ("segment", "doc_id", "doc_hash", "row", "start", "from")}
     for k, r in enumerate(table.to_pylist()):
+        r = {c: blocks.expand(r[c]) for c in _SEGMENT_COLUMNS}
         ends = np.cumsum(np.frombuffer(r["lengths"], dtype=np.int32)).tolist()
         number = np.array([known.setdefault((f, r["data"][b:e]), len(known)) for f, b, e in zip(np.frombuffer(r["fingerprints"], dtype=np.uint64).tolist(), [0, *ends[:-1]], ends, strict=True)], dtype=np.int64)
         gathered["segment"].append(number[np.frombuffer(r["segment"], dtype=np.int32)])

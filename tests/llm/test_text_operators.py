@@ -59,6 +59,21 @@ def test_repeats_equal_brute_force(edge, edge_rows, block_bytes):
     assert by_row(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats([r[:2] for r in edge_rows])
 
 
+def test_a_common_passage_goes_many_ways():
+    """400 documents share a passage in different surroundings: what stands across its edges spreads over all parts."""
+    rng = random.Random(5)
+    prose = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    passage = prose(90)
+    texts = [prose(200) + passage + prose(200) for _ in range(400)] + [passage * 2] * 5
+    docs = pa.table({"block": pa.array([0] * 405, pa.int32()), "doc_id": pa.array(range(405), pa.int64()), "has_id": [True] * 405, "doc_hash": pa.array([0] * 405, pa.int64()), "text": texts})
+    found = [key for _, key, *_ in suffix_dedup._all_runs(blocks.single(docs, "text"), 100)]
+    keys, times = np.unique(np.concatenate(found), return_counts=True)
+    assert len(keys) > 4000 and times.max() <= 410  # about once in a document
+    assert (times > 50).sum() <= 6  # what lies inside of it stays together
+    share = np.bincount(blocks.part_of(np.sort(np.repeat(keys, np.where(times > 50, 0, times))), 64), minlength=64)
+    assert share.max() < 2 * share.mean()
+
+
 def test_repeats_of_nothing(empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
