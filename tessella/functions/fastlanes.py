@@ -54,12 +54,3 @@ def unpack(words: np.ndarray, width: int, t: int, offset: int, count: int) -> np
             value = value | grid[:, at + 1] << np.uint64(t - shift)
         out[:, where[:, row]] = value & keep
     return out.reshape(-1)[offset : offset + count]
-
-
-def lookup(t: int) -> list[tuple[int, int]]:
-    """(lane, row) of each logical place of a block."""
-    out = [(0, 0)] * BLOCK
-    for lane, rows in enumerate(places(t).tolist()):
-        for row, place in enumerate(rows):
-            out[place] = (lane, row)
-    return out

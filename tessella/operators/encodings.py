@@ -143,29 +143,33 @@ class BitPack(Encoding):
         return {"count": len(values), "words": words, "validity": None if valid.all() else valid}
 
     def decode(self, block: Column) -> Column:
-        lanes, t, width = fastlanes.BLOCK // self.t, self.t, self.width
-        table = F.array(*[F.lit(lane * t + row) for lane, row in fastlanes.lookup(t)])
-
-        def value(i: Column) -> Column:
-            place = i + self.offset
-            known = F.get(table, place % fastlanes.BLOCK)
-            lane, bit = F.floor(known / t).cast("int"), (known % t) * width
-            at, shift = F.floor(bit / t).cast("int"), (bit % t).cast("int")
-            base = F.floor(place / fastlanes.BLOCK).cast("int") * (width * lanes) + lane
-            low = F.call_function("shiftrightunsigned", F.get(block["words"], base + at * lanes), shift)
-            high = F.call_function("shiftleft", F.get(block["words"], base + (at + 1) * lanes), F.lit(t) - shift)
-            whole = F.when(shift + width > t, low.bitwiseOR(high)).otherwise(low).bitwiseAND(F.lit(bits.mask(width)))
-            out = bits.wrap32(whole) if self.kind == "int32" else whole
-            present = F.coalesce(F.get(block["validity"], i), F.lit(True))
-            return F.when(present, out)
-
-        # A block of nulls alone has no words, and none are read.
-        none = F.array_repeat(F.lit(None).cast(sql_type(self.kind)), block["count"])
-        need = F.ceil((block["count"] + self.offset) / fastlanes.BLOCK) * (width * lanes)
-        short = (F.size(block["words"]) > 0) & (F.size(block["words"]) < need)
-        read = F.transform(indices(block["count"]), value)
-        empty = (F.size(block["words"]) == 0) & (block["count"] > 0)
-        return F.when(empty & block["validity"].isNotNull(), none).otherwise(fail_if(short | empty, read, "buffer-too-short"))
+        return packed_values(self)(block["count"], block["words"], block["validity"])
+
+
+def packed_values(e: BitPack):
+    """An Arrow function from (count, words, validity) of blocks to their values, a block at a time."""
+    lanes = fastlanes.BLOCK // e.t
+
+    @F.arrow_udf(f"array<{sql_type(e.kind)}>")
+    def read(count: pa.Array, words: pa.Array, validity: pa.Array) -> pa.Array:
+        out = []
+        for n, packed, known in zip(count.to_pylist(), words, validity, strict=True):
+            need = -(-(n + e.offset) // fastlanes.BLOCK) * e.width * lanes
+            missing = None if known.as_py() is None else ~np.asarray(known.values.to_numpy(zero_copy_only=False), dtype=bool)[:n]
+            if not len(packed.values) and n and missing is not None:  # a block of nulls alone has no words, and none are read
+                out.append(pa.nulls(n, _ARROW[e.kind]))
+                continue
+            if len(packed.values) < need:
+                raise EncodingError("buffer-too-short")
+            values = fastlanes.unpack(np.asarray(packed.values).view(np.uint64), e.width, e.t, e.offset, n)
+            out.append(pa.array((values.astype(np.uint32).view(np.int32) if e.kind == "int32" else values.view(np.int64)), _ARROW[e.kind], mask=missing))
+        offsets = np.cumsum([0, *map(len, out)])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(out) if out else pa.array([], _ARROW[e.kind]))
+
+    return read
+
+
+_ARROW = {"int32": pa.int32(), "int64": pa.int64()}
 
 
 def indices(count: Column) -> Column:
