@@ -131,6 +131,122 @@ warranty | warranty | 4 | without warranty of any kind
 attribution | attribution | 4 | attribution required
 noncommercial | commercial | 3 | for? non commercial use only
 noncommercial | noncommercial | 3 | for? noncommercial use only
+mit | substantial | 1 | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit | noninfringement | 3 | fitness for a particular purpose and noninfringement
+mit | sublicense | 2 | to use copy modify merge publish distribute sublicense and or sell copies
+bsd | endorse | 1 | may be used to endorse or promote products derived from this software without specific prior written permission
+bsd | reproduce | 2 | redistributions in binary form must reproduce the above copyright notice
+bsd | retain | 2 | redistributions of source code must retain the above copyright notice
+bsd-4-clause | acknowledgement | 1 | all advertising materials mentioning features or use of this software must display the following acknowledgement
+bsd | consequential | 3 | direct indirect incidental special exemplary or consequential damages
+apache-2.0 | unless | 2 | unless required by applicable law or agreed to in writing software distributed under the (license|licence)
+apache-2.0 | conditions | 3 | on an as is basis without warranties or conditions of any kind
+apache-2.0 | contributor | 2 | each contributor hereby grants to you a perpetual worldwide
+apache-2.0 | derivative | 3 | you may reproduce and distribute copies of the work or derivative works
+gpl | hope | 2 | distributed in the hope that it will be useful but without any warranty
+gpl | merchantability | 3 | without even the implied warranty of merchantability or fitness for a particular purpose
+gpl | foundation | 3 | free software foundation inc (51|59|675) (franklin|temple|mass)
+gpl | received | 2 | you should have received a copy of the gnu general public (license|licence)
+gpl | program | 3 | this program is free software
+gpl | copyleft | 4 | copyleft
+gpl-2.0 | torvalds | 3 | as published by linus torvalds
+gpl-2.0 | option | 2 | either version 2 of the (license|licence) or at your option any later version
+gpl-3.0 | option | 2 | either version 3 of the (license|licence) or at your option any later version
+gpl-3.0 | installation | 3 | installation information for a user product
+lgpl | lesser | 2 | terms of the gnu lesser general public (license|licence)
+lgpl | library | 2 | terms of the gnu library general public (license|licence)
+lgpl | relink | 3 | modify the library and then relink
+agpl-3.0 | affero | 2 | terms of the gnu affero general public (license|licence)
+agpl-3.0 | interacting | 3 | users interacting with it remotely through a computer network
+gfdl | invariant | 2 | with no invariant sections no front cover texts and no back cover texts
+gfdl | invariant | 3 | with the invariant sections being
+mpl | mozilla | 2 | subject to the terms of the mozilla public (license|licence)
+mpl-2.0 | incompatible | 2 | incompatible with secondary licenses
+mpl-1.1 | initial | 3 | the initial developer of the original code is
+epl | accompanying | 2 | this program and the accompanying materials are made available under the terms of the eclipse
+cddl | common | 2 | terms of the common development and distribution (license|licence)
+isc | isc | 3 | isc style (license|licence)
+isc | fee | 2 | for any purpose with or without fee is hereby granted
+isc | tortious | 3 | an action of contract negligence or other tortious action
+zlib | misrepresented | 1 | the origin of this software must not be misrepresented
+zlib | misrepresented | 2 | must not be misrepresented as being the original software
+zlib | liable | 3 | in no event will the authors be held liable for any damages
+boost-1.0 | machine | 2 | machine executable object code generated by a source language processor
+unlicense | unencumbered | 1 | this is free and unencumbered software released into the public domain
+unlicense | anyone | 2 | anyone is free to copy modify publish use compile sell or distribute this software
+unlicense | jurisdictions | 3 | in jurisdictions that recognize copyright laws
+wtfpl | fuck | 1 | do what the fuck you want to
+beerware | beer | 1 | you can buy me a beer in return
+beerware | beerware | 3 | beerware (license|licence)
+cc0-1.0 | waived | 1 | waived all copyright and related or neighboring rights
+cc0-1.0 | affirmer | 2 | affirmer hereby overtly fully permanently
+cc-by | credit | 2 | you must give appropriate credit provide a link to the (license|licence)
+cc-by | creativecommons | 2 | creativecommons org licenses by
+cc-by-sa | creativecommons | 1 | creativecommons org licenses by sa
+cc-by-nc | creativecommons | 1 | creativecommons org licenses by nc
+cc-by-nd | creativecommons | 1 | creativecommons org licenses by nd
+cc0-1.0 | creativecommons | 1 | creativecommons org publicdomain zero
+public-domain | creativecommons | 1 | creativecommons org publicdomain mark
+cc-by-sa | remix | 3 | if you remix transform or build upon the material you must distribute your contributions under the same
+cc-by-nd | derivatives | 3 | no derivatives
+cc-by-sa | alike | 3 | share alike
+ofl-1.1 | font | 2 | reserved font name
+ofl-1.1 | bundled | 3 | may be bundled redistributed and or sold with any software
+odbl-1.0 | odbl | 3 | open data commons odbl
+odbl-1.0 | commons | 2 | open data commons open database (license|licence)
+odc-by | commons | 2 | open data commons attribution (license|licence)
+pddl-1.0 | dedication | 2 | open data commons public domain dedication
+cdla | cdla | 3 | cdla (permissive|sharing)
+ogl-uk | ogl | 2 | open government (license|licence) v? (1|2|3) ogl
+ogl-uk | sector | 2 | contains public sector information licensed under the open government (license|licence)
+psf-2.0 | psf | 2 | psf is making python available to licensee
+openssl | openssl | 1 | this product includes software developed by the openssl project
+apache-1.1 | foundation | 2 | this product includes software developed by the apache software foundation
+perl | perl | 2 | same terms as perl itself
+ruby | ruby | 3 | same terms as ruby
+jquery | sizzle | 4 | sizzle js
+busl-1.1 | change | 2 | change date change (license|licence)
+sspl-1.0 | offering | 3 | offering the program as a service
+elastic-2.0 | hosted | 2 | to third parties as a hosted or managed service
+commons-clause | clause | 1 | commons clause (license|licence) condition
+polyform | polyform | 2 | polyform (noncommercial|shield|strict|small) (license|licence)?
+llama | llama | 2 | llama (2|3) community (license|licence)
+openrail | openrail | 2 | (creativeml|bigscience) openrail
+openrail | responsible | 3 | responsible ai (license|licence)
+json | evil | 1 | the software shall be used for good not evil
+noncommercial | noncommercial | 3 | noncommercial purposes only
+noncommercial | personal | 3 | for personal and non commercial use
+noncommercial | academic | 3 | for academic use only
+noncommercial | research | 3 | for research purposes only
+proprietary | confidential | 2 | confidential and proprietary information of
+proprietary | proprietary | 3 | proprietary (license|licence)
+proprietary | trade | 3 | contains trade secrets
+proprietary | internal | 3 | for internal use only
+proprietary | redistribution | 3 | not for redistribution
+proprietary | disclose | 2 | you shall not disclose such confidential information
+proprietary | reverse | 2 | reverse engineer decompile or disassemble
+proprietary | agreement | 3 | end user (license|licence) agreement
+proprietary | evaluation | 3 | evaluation (license|licence) agreement
+proprietary | subscription | 4 | subscription agreement
+reserved | retrieval | 2 | stored in a retrieval system or transmitted in any form
+reserved | reproduced | 2 | no part of this (publication|book|work|document) may be reproduced
+reserved | reproduced | 3 | may not be reproduced without (the|prior) written? permission
+reserved | copied | 3 | may not be copied or distributed
+reserved | reserves | 4 | reserves all rights
+reserved | nachdruck | 2 | nachdruck verboten
+reserved | vervielfältigung | 3 | jede vervielfältigung bedarf der zustimmung
+reserved | interdite | 2 | (toute|reproduction) reproduction? interdite
+reserved | prohibida | 2 | prohibida la reproducción total o parcial
+reserved | reservados | 2 | reservados todos los derechos
+reserved | reservados | 2 | todos os direitos reservados
+reserved | riservati | 2 | tutti i diritti riservati
+copyright-notice | copr | 4 | copr (19|20)?
+copyright-notice | copyrighted | 4 | copyrighted (material|work)
+copyright-notice | urheberrechtlich | 3 | urheberrechtlich geschützt
+trademark | trademark | 4 | is a registered trademark of
+trademark | respective | 4 | all other trademarks are the property of their respective owners
+patent | patent | 4 | patent pending
+attribution | attribution | 3 | with attribution to the original author
 """
 
 #: priority | template: how a text grants a license; NAME stands for the name's template
