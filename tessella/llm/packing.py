@@ -177,10 +177,18 @@ def pack_documents(documents: DataFrame, *, width: int = 2048, vocabulary: str =
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """Parquet files of packed rows: fixed-width id rows beside their segment tables."""
+    """Parquet files of packed rows: fixed-width id rows beside their segment tables. ``matrix`` reads them."""
     packed.write.parquet(path)
 
 
+def matrix(rows: pa.Table, width: int) -> np.ndarray:
+    """The ids of some packed rows as one matrix of ``width`` columns."""
+    held = rows.column("ids").combine_chunks()
+    parts = held.chunks if isinstance(held, pa.ChunkedArray) else [held]
+    flat = [np.frombuffer(x.as_buffer(), dtype="<u4") for part in parts for x in part]
+    return np.stack(flat) if flat else np.zeros((0, width), "<u4")
+
+
 def position_ids(resets: list[int], width: int) -> np.ndarray:
     """The position of every slot in its segment."""
     out = np.arange(width)

@@ -13,6 +13,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -569,6 +570,16 @@ def test_packing_loses_nothing(edge, edge_rows, block_tokens):
             assert got == whole and code.bpe.decode(got[:-1]) == (r[1] or "")
 
 
+def test_packed_rows_are_written_and_read(edge, tmp_path):
+    packed = packing.pack_documents(edge, width=64)
+    packing.write_packed(packed, f"file://{tmp_path}/packed")
+    held = pq.read_table(tmp_path / "packed")
+    ids = packing.matrix(held, 64)
+    assert ids.shape == (packed.count(), 64)
+    assert Counter(map(bytes, ids)) == Counter(bytes(r.ids) for r in packed.collect())
+    assert packing.matrix(held.slice(0, 0), 64).shape == (0, 64)
+
+
 def test_best_fit_decreasing_equals_brute_force():
     rng = np.random.default_rng(2)
     for width in (1, 7, 64, 100):
