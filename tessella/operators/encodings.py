@@ -332,12 +332,17 @@ class Plain(Encoding):
         return block
 
 
-def _arrow_value(value: Any) -> Any:
+def _one(value: Any, kind: pa.DataType) -> pa.Array:
+    """An array of one row, without going through Python values: fields of a dict, items of an array, or a scalar."""
     if isinstance(value, dict):
-        return {k: _arrow_value(v) for k, v in value.items()}
-    if isinstance(value, np.ndarray):
-        return value.tolist()
-    return value.to_pylist() if isinstance(value, pa.Array | pa.ChunkedArray) else value
+        return pa.StructArray.from_arrays([_one(value[f.name], f.type) for f in kind], fields=list(kind))
+    if isinstance(value, pa.ChunkedArray):
+        value = value.combine_chunks()
+    if isinstance(value, np.ndarray | pa.Array):
+        items = value if isinstance(value, pa.Array) else pa.array(value)
+        items = items if items.type == kind.value_type else items.cast(kind.value_type)
+        return pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items).cast(kind)
+    return pa.array([value], kind)
 
 
 def encode_table(df: DataFrame, encodings: dict[str, Encoding], block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -355,11 +360,9 @@ def encode_table(df: DataFrame, encodings: dict[str, Encoding], block_rows: int
         for batch in batches:
             for at in range(0, batch.num_rows, block_rows):
                 piece = batch.slice(at, block_rows)
-                row = {"part": part, "seq": seq, "rows": piece.num_rows}
-                for k, n in enumerate(names):
-                    row[n] = _arrow_value(encodings[n].encode(piece.column(k)))
+                values = [part, seq, piece.num_rows, *(encodings[n].encode(piece.column(k)) for k, n in enumerate(names))]
                 seq += 1
-                yield pa.RecordBatch.from_pylist([row], schema=target)
+                yield pa.RecordBatch.from_arrays([_one(v, f.type) for v, f in zip(values, target, strict=True)], schema=target)
 
     return df.select(*names).mapInArrow(run, schema)
 
