@@ -232,12 +232,18 @@ class Texts:
 
 
 class Level:
-    """The n-grams of one order in a block: the key that ends at each token, the distinct ones with their counts in the
-    block's training documents, and which of them the block asks for."""
+    """The n-grams of one order in a block: the distinct keys, which of them ends at each token, their counts in the block's
+    training documents, and which of them the block asks for."""
 
     def __init__(self, key: np.ndarray, train: np.ndarray, asked: np.ndarray | None):
         """``asked``: of each token's n-gram; None for all."""
-        self.key, self.distinct, self.example, self.inverse = key, *np.unique(key, return_index=True, return_inverse=True)
+        order = np.argsort(key)
+        ordered = key[order]
+        new = np.append(True, ordered[1:] != ordered[:-1]) if len(key) else np.zeros(0, bool)
+        self.distinct, self.example = ordered[new], order[new]  # any token at which it ends is an example
+        del ordered
+        self.inverse = np.empty(len(key), dtype=np.int64)
+        self.inverse[order] = np.cumsum(new) - 1
         self.own = np.bincount(self.inverse, weights=train, minlength=len(self.distinct)).astype(np.int64)
         self.asked = np.ones(len(self.distinct), dtype=bool) if asked is None else asked[self.example]
 
