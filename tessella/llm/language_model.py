@@ -125,39 +125,32 @@ class BackoffAutomaton:
         self.total = train_tokens + ADD * (vocabulary + 1)
         self.failure_to = [NONE, *range(order - 1)]
         self.context_count = [train_tokens, *[starts] * (order - 1)]
-        self.arcs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # of each level: state, token, count, next
+        self.arcs: list[tuple[np.ndarray, ...]] = []  # of each level: state, token, count, next, fallback
+        self.new_states: list[int] = []  # the first state that each level adds
 
     def add_level(self, state: np.ndarray, token: np.ndarray, count: np.ndarray, fallback: np.ndarray) -> np.ndarray:
         """Arcs of seen n-grams of one level: from a state of one word less, with their training counts. Unless the level is
         the highest, each leads to a new state, which fails to ``fallback``; else to ``fallback``. Returns where they lead."""
         highest = len(self.arcs) + 1 == self.order
         to = fallback if highest else np.arange(len(self.failure_to), len(self.failure_to) + len(state))
+        self.new_states.append(len(self.failure_to))
         if not highest:
             self.failure_to = np.concatenate([self.failure_to, fallback])
             self.context_count = np.concatenate([self.context_count, count])
-        self.arcs.append((state, token, count, to))
+        self.arcs.append((state, token, count, to, fallback))
         return to
 
     def finish(self) -> None:
-        """Weights of all arcs, level by level, and the table of arcs in the order of (state, token)."""
+        """Weights of all arcs, level by level, and the table of arcs."""
         self.failure_to = np.asarray(self.failure_to, dtype=np.int64)
         context = np.asarray(self.context_count, dtype=np.float64)
         self.failure = np.log10(self.prior / (context + self.prior))
-        states, tokens, weights, nexts = [], [], [], []
-        for level, (state, token, count, to) in enumerate(self.arcs):
-            if level == 0:
-                p = (count + ADD) / self.total
-            else:
-                # The same token is read one failure arc further down, possibly by a shorter arc still.
-                table, step = Arcs(states, tokens, weights, nexts), 1 << 16
-                shorter = np.concatenate([self._step(table, self.failure_to[state[k : k + step]], token[k : k + step])[0] for k in range(0, max(len(state), 1), step)])
-                del table
-                p = (count + self.prior * np.power(10.0, shorter)) / (context[state] + self.prior)
-            states.append(state)
-            tokens.append(token)
-            weights.append(np.log10(p))
-            nexts.append(to)
-        self.table = Arcs(states, tokens, weights, nexts)
+        p = [(count + ADD) / self.total for _, _, count, _, _ in self.arcs[:1]]
+        for level, (state, _, count, _, fallback) in enumerate(self.arcs[1:], 1):
+            # The n-gram without its first word is seen too: its arc is the one that led to the state to fall back to.
+            p.append((count + self.prior * p[-1][fallback - self.new_states[level - 1]]) / (context[state] + self.prior))
+        states, tokens, to = ([arc[k] for arc in self.arcs] for k in (0, 1, 3))
+        self.table = Arcs(states, tokens, [np.log10(x) for x in p], to)
 
     def _step(self, table: Arcs, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Read a token in each of some states: total weight, and the next state."""
