@@ -44,7 +44,7 @@ DEALT = "block int, doc_ids array<bigint>, held array<boolean>, lengths array<bi
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 NONE = -1
 SEGMENT = 512
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,24 +82,24 @@ def grams(tokens: np.ndarray, counts: np.ndarray, order: int) -> Iterator[np.nda
 class Arcs:
     """Arcs by (state, token): a sorted array of hashes, entered at the place that the leading bits tell."""
 
-    def __init__(self, states: list[np.ndarray], tokens: list[np.ndarray], weights: list[np.ndarray], to: list[np.ndarray]):
-        key = self._key(np.concatenate(states), np.concatenate(tokens))
+    def __init__(self, keys: list[np.ndarray], weights: list[np.ndarray], to: list[np.ndarray]):
+        key = np.concatenate(keys)
         order = np.argsort(key)
         self.key = key[order]
         del key
-        self.weight, self.to = np.concatenate(weights)[order], np.concatenate(to).astype(np.int32)[order]
+        self.weight, self.to = np.concatenate(weights)[order], np.concatenate(to)[order]
         bits = max(1, len(self.key).bit_length())
         self.shift = np.uint64(64 - bits)
         self.enter = np.searchsorted(self.key, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
     @staticmethod
-    def _key(state: np.ndarray, token: np.ndarray) -> np.ndarray:
+    def key_of(state: np.ndarray, token: np.ndarray) -> np.ndarray:
         return ts.mix(state.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ ts.mix(token))
 
     def find(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Places of arcs, NONE where there is none."""
         out = np.full(len(state), NONE, dtype=np.int64)
-        key = self._key(state, token)
+        key = self.key_of(state, token)
         at, left = self.enter[key >> self.shift], np.arange(len(key))
         while len(left):
             inside = at < len(self.key)
@@ -145,12 +145,19 @@ class BackoffAutomaton:
         self.failure_to = np.asarray(self.failure_to, dtype=np.int64)
         context = np.asarray(self.context_count, dtype=np.float64)
         self.failure = np.log10(self.prior / (context + self.prior))
-        p = [(count + ADD) / self.total for _, _, count, _, _ in self.arcs[:1]]
-        for level, (state, _, count, _, fallback) in enumerate(self.arcs[1:], 1):
-            # The n-gram without its first word is seen too: its arc is the one that led to the state to fall back to.
-            p.append((count + self.prior * p[-1][fallback - self.new_states[level - 1]]) / (context[state] + self.prior))
-        states, tokens, to = ([arc[k] for arc in self.arcs] for k in (0, 1, 3))
-        self.table = Arcs(states, tokens, [np.log10(x) for x in p], to)
+        keys, weights, to, p = [], [], [], None
+        for level in range(len(self.arcs)):
+            state, token, count, next_, fallback = self.arcs[level]
+            self.arcs[level] = None  # a block's arcs are not held twice
+            if level == 0:
+                p = (count + ADD) / self.total
+            else:
+                # The n-gram without its first word is seen too: its arc is the one that led to the state to fall back to.
+                p = (count + self.prior * p[fallback - self.new_states[level - 1]]) / (context[state] + self.prior)
+            keys.append(Arcs.key_of(state, token))
+            weights.append(np.log10(p))
+            to.append(next_.astype(np.int32))
+        self.table = Arcs(keys, weights, to)
 
     def _step(self, table: Arcs, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Read a token in each of some states: total weight, and the next state."""
@@ -235,7 +242,7 @@ class Level:
         new = np.append(True, ordered[1:] != ordered[:-1]) if len(key) else np.zeros(0, bool)
         self.distinct, self.example = ordered[new], order[new]  # any token at which it ends is an example
         del ordered
-        self.inverse = np.empty(len(key), dtype=np.int64)
+        self.inverse = np.empty(len(key), dtype=np.int32)  # a block has fewer tokens
         self.inverse[order] = np.cumsum(new) - 1
         self.own = np.bincount(self.inverse, weights=train, minlength=len(self.distinct)).astype(np.int64)
         self.asked = np.ones(len(self.distinct), dtype=bool) if asked is None else asked[self.example]
@@ -321,7 +328,6 @@ def _score(dealt: pa.Table, answers: pa.Table, order: int, prior: float, train_t
     texts = Texts(dealt)
     tokens, n = texts.tokens, texts.counts
     model, known = build(levels(texts, order, _told(answers)), tokens, n, order, prior, train_tokens, vocabulary, train_docs)
-    model.arcs = []  # they are in the table
     first = np.cumsum(n) - n
     add = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)  # noqa: E731  every document has a token
     base = np.log10((known + ADD) / (train_tokens + ADD * (vocabulary + 1)))
