@@ -4,7 +4,7 @@
 encoding defines. ``decode_table`` is a projection: every encoding has an expression from its struct to the array of
 the block's values, nested encodings compose by composition of expressions, and ``inline`` emits the rows. There is no
 shuffle, and a query reads only the structs of the columns that it uses. Expressions stay in the JVM except for raw
-bytes and string symbols, which are Arrow functions.
+bytes, packed bits and string symbols, which one Arrow function reads for all columns, a block at a time.
 
 Encoders refuse values that they can't hold exactly; decoders raise on malformed blocks (``raise_error``), so a query
 fails instead of returning part of its rows.
@@ -12,7 +12,7 @@ fails instead of returning part of its rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
@@ -65,10 +65,49 @@ class Encoding:
     def encode(self, column: pa.Array) -> dict[str, Any]:
         raise NotImplementedError
 
-    def decode(self, block: Column) -> Column:
+    def decode(self, block: Column, leaves: Leaves) -> Column:
         raise NotImplementedError
 
 
+class Leaves:
+    """Parts of blocks that Python reads. One Arrow function reads those of all columns and emits a row per block, so that a
+    worker holds the values of one block, however many blocks Spark hands it in a batch."""
+
+    def __init__(self) -> None:
+        self.inputs: list[Column] = []
+        self.parts: list[tuple[Callable[..., pa.Array], str, int, int]] = []
+
+    def add(self, read: Callable[..., pa.Array], kind: str, *inputs: Column) -> Column:
+        """The array that ``read`` makes of the inputs' values in a block."""
+        at, name = len(self.inputs), f"v{len(self.parts)}"
+        self.inputs += inputs
+        self.parts.append((read, kind, at, at + len(inputs)))
+        return F.col(f"`{LEAVES}`")[name]
+
+    def values(self) -> Column:
+        """All arrays, as a struct."""
+        layout = "struct<" + ",".join(f"v{k}:array<{sql_type(kind)}>" for k, (_, kind, _, _) in enumerate(self.parts)) + ">"
+        return leaf_values([(read, at, end) for read, _, at, end in self.parts], layout)(F.col("rows"), *self.inputs)
+
+
+LEAVES = "#leaves"
+
+
+def leaf_values(parts: list[tuple[Callable[..., pa.Array], int, int]], layout: str):
+    """An Arrow function from (rows, inputs) of blocks to the struct of what the parts read, a block at a time."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(_parse(f"x {layout}")).field(0).type
+
+    @F.arrow_udf(layout)
+    def read(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for rows, *inputs in batches:
+            for k in range(len(rows)):
+                yield _one({f"v{j}": one(*(x[k] for x in inputs[at:end])) for j, (one, at, end) in enumerate(parts)}, target)
+
+    return read
+
+
 @dataclass(frozen=True)
 class Raw(Encoding):
     """Little-endian fixed-width values; integers may be narrower than their type and are sign-extended. No nulls."""
@@ -93,26 +132,20 @@ class Raw(Encoding):
             values = narrow
         return {"count": len(values), "data": values.tobytes()}
 
-    def decode(self, block: Column) -> Column:
-        return raw_values(self.kind, self.size())(block["count"], block["data"])
+    def decode(self, block: Column, leaves: Leaves) -> Column:
+        return leaves.add(raw_values(self.kind, self.size()), self.kind, block["count"], block["data"])
 
 
-def raw_values(kind: str, size: int):
-    """An Arrow function from (count, bytes) of blocks to their values."""
+def raw_values(kind: str, size: int) -> Callable[..., pa.Array]:
+    """A function from (count, bytes) of a block to its values."""
+    stored = f"<i{size}" if kind in ("int32", "int64") else _NUMPY[kind]
 
-    @F.arrow_udf(f"array<{sql_type(kind)}>")
-    def read(count: pa.Array, data: pa.Array) -> pa.Array:
-        offsets, parts = [0], []
-        stored = f"<i{size}" if kind in ("int32", "int64") else _NUMPY[kind]
-        for n, raw in zip(count.to_pylist(), data, strict=True):
-            view = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
-            if len(view) < n * size:
-                raise EncodingError("buffer-too-short")
-            parts.append(view[: n * size].view(stored))
-            offsets.append(offsets[-1] + n)
-        flat = np.concatenate(parts) if parts else np.zeros(0, stored)
-        flat = flat != 0 if kind == "boolean" else flat.astype(_NUMPY[kind])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+    def read(count: pa.Scalar, data: pa.Scalar) -> pa.Array:
+        n, view = count.as_py(), np.frombuffer(data.as_buffer(), dtype=np.uint8)
+        if len(view) < n * size:
+            raise EncodingError("buffer-too-short")
+        values = view[: n * size].view(stored)
+        return pa.array(values != 0 if kind == "boolean" else values.astype(_NUMPY[kind], copy=False))
 
     return read
 
@@ -142,29 +175,24 @@ class BitPack(Encoding):
         words = fastlanes.pack(shifted, self.width, self.t).view(np.int64) if valid.any() else np.zeros(0, np.int64)
         return {"count": len(values), "words": words, "validity": None if valid.all() else valid}
 
-    def decode(self, block: Column) -> Column:
-        return packed_values(self)(block["count"], block["words"], block["validity"])
+    def decode(self, block: Column, leaves: Leaves) -> Column:
+        return leaves.add(packed_values(self), self.kind, block["count"], block["words"], block["validity"])
 
 
-def packed_values(e: BitPack):
-    """An Arrow function from (count, words, validity) of blocks to their values, a block at a time."""
+def packed_values(e: BitPack) -> Callable[..., pa.Array]:
+    """A function from (count, words, validity) of a block to its values."""
     lanes = fastlanes.BLOCK // e.t
 
-    @F.arrow_udf(f"array<{sql_type(e.kind)}>")
-    def read(count: pa.Array, words: pa.Array, validity: pa.Array) -> pa.Array:
-        out = []
-        for n, packed, known in zip(count.to_pylist(), words, validity, strict=True):
-            need = -(-(n + e.offset) // fastlanes.BLOCK) * e.width * lanes
-            missing = None if known.as_py() is None else ~np.asarray(known.values.to_numpy(zero_copy_only=False), dtype=bool)[:n]
-            if not len(packed.values) and n and missing is not None:  # a block of nulls alone has no words, and none are read
-                out.append(pa.nulls(n, _ARROW[e.kind]))
-                continue
-            if len(packed.values) < need:
-                raise EncodingError("buffer-too-short")
-            values = fastlanes.unpack(np.asarray(packed.values).view(np.uint64), e.width, e.t, e.offset, n)
-            out.append(pa.array((values.astype(np.uint32).view(np.int32) if e.kind == "int32" else values.view(np.int64)), _ARROW[e.kind], mask=missing))
-        offsets = np.cumsum([0, *map(len, out)])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(out) if out else pa.array([], _ARROW[e.kind]))
+    def read(count: pa.Scalar, packed: pa.Scalar, known: pa.Scalar) -> pa.Array:
+        n = count.as_py()
+        need = -(-(n + e.offset) // fastlanes.BLOCK) * e.width * lanes
+        missing = None if not known.is_valid else ~np.asarray(known.values.to_numpy(zero_copy_only=False), dtype=bool)[:n]
+        if not len(packed.values) and n and missing is not None:  # a block of nulls alone has no words, and none are read
+            return pa.nulls(n, _ARROW[e.kind])
+        if len(packed.values) < need:
+            raise EncodingError("buffer-too-short")
+        values = fastlanes.unpack(np.asarray(packed.values).view(np.uint64), e.width, e.t, e.offset, n)
+        return pa.array((values.astype(np.uint32).view(np.int32) if e.kind == "int32" else values.view(np.int64)), _ARROW[e.kind], mask=missing)
 
     return read
 
@@ -199,9 +227,9 @@ class Frame(Encoding):
             delta = delta.astype(np.int32)
         return {"reference": reference, "inner": self.inner.encode(pa.array(delta, mask=~valid))}
 
-    def decode(self, block: Column) -> Column:
+    def decode(self, block: Column, leaves: Leaves) -> Column:
         plus = (lambda d: bits.wrap32(d.cast("long") + block["reference"])) if self.kind == "int32" else (lambda d: bits.wrapping_add64(d, block["reference"]))
-        return F.transform(self.inner.decode(block["inner"]), plus)
+        return F.transform(self.inner.decode(block["inner"], leaves), plus)
 
 
 @dataclass(frozen=True)
@@ -223,8 +251,8 @@ class Dictionary(Encoding):
         codes = d.indices.cast(pa.int64() if self.codes.kind == "int64" else pa.int32())
         return {"codes": self.codes.encode(codes), "values": self.values.encode(d.dictionary)}
 
-    def decode(self, block: Column) -> Column:
-        values, codes = self.values.decode(block["values"]), self.codes.decode(block["codes"])
+    def decode(self, block: Column, leaves: Leaves) -> Column:
+        values, codes = self.values.decode(block["values"], leaves), self.codes.decode(block["codes"], leaves)
         # One array holds both, so that the values are decoded once for a block and not once for a row.
         both = F.array(F.struct(values.alias("values"), codes.alias("codes")))
 
@@ -252,10 +280,10 @@ class RunEnd(Encoding):
         runs = pa.compute.run_end_encode(column, run_end_type=pa.int32())
         return {"count": len(column), "ends": np.asarray(runs.run_ends), "values": self.values.encode(runs.values)}
 
-    def decode(self, block: Column) -> Column:
+    def decode(self, block: Column, leaves: Leaves) -> Column:
         ends, count = block["ends"], block["count"]
         starts = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))))
-        runs = F.arrays_zip(starts.alias("a"), ends.alias("b"), self.values.decode(block["values"]).alias("v"))
+        runs = F.arrays_zip(starts.alias("a"), ends.alias("b"), self.values.decode(block["values"], leaves).alias("v"))
         ordered = F.forall(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda r: F.coalesce(r["a"] < r["b"], F.lit(False)))
         bad = ~ordered | F.coalesce(F.get(ends, F.size(ends) - 1) != count, count != 0)
         long_enough = F.size(F.filter(runs, lambda r: r["b"].isNull())) == 0
@@ -285,7 +313,7 @@ class Decimal(Encoding):
             raise EncodingError(f"values are not multiples of 1e{self.exponent}")
         return {"mantissas": pa.array(kernels.alp_parse(block).mantissas, mask=~valid)}
 
-    def decode(self, block: Column) -> Column:
+    def decode(self, block: Column, leaves: Leaves) -> Column:
         scale = F.lit(10.0**self.exponent)
         return F.transform(block["mantissas"], lambda m: (m.cast("double") * scale).cast(sql_type(self.kind)))
 
@@ -302,18 +330,13 @@ class Symbols(Encoding):
     def encode(self, column: pa.Array) -> dict[str, Any]:
         return {"params": kernels.fsst_encode([None if x is None else x.encode() for x in column.to_pylist()])}
 
-    def decode(self, block: Column) -> Column:
-        return symbol_values()(block["params"])
-
+    def decode(self, block: Column, leaves: Leaves) -> Column:
+        return leaves.add(symbol_values, self.kind, block["params"])
 
-def symbol_values():
-    """An Arrow function from parameter blocks to their strings."""
 
-    @F.arrow_udf("array<string>")
-    def read(params: pa.Array) -> pa.Array:
-        return pa.array([kernels.fsst_decode(p.as_py()) for p in params], pa.list_(pa.string()))
-
-    return read
+def symbol_values(params: pa.Scalar) -> pa.Array:
+    """The strings of a parameter block."""
+    return pa.array(kernels.fsst_decode(params.as_py()), pa.string())
 
 
 @dataclass(frozen=True)
@@ -328,7 +351,7 @@ class Plain(Encoding):
     def encode(self, column: pa.Array) -> Any:
         return column
 
-    def decode(self, block: Column) -> Column:
+    def decode(self, block: Column, leaves: Leaves) -> Column:
         return block
 
 
@@ -375,8 +398,10 @@ def _parse(ddl: str):
 
 def decode_table(blocks: DataFrame, encodings: dict[str, Encoding], *, keep: tuple[str, ...] = ()) -> DataFrame:
     """The rows of blocks; ``keep`` carries block columns along."""
-    arrays = [F.struct(e.decode(F.col(f"`{n}`")).alias("x"))["x"].alias(n) for n, e in encodings.items()]
-    values = blocks.select("rows", *keep, *arrays)
+    leaves = Leaves()
+    arrays = [F.struct(e.decode(F.col(f"`{n}`"), leaves).alias("x"))["x"].alias(n) for n, e in encodings.items()]
+    read = blocks.withColumn(LEAVES, leaves.values()) if leaves.parts else blocks
+    values = read.select("rows", *keep, *arrays)
     sizes = [F.coalesce(F.size(f"`{n}`"), F.lit(-1)) != F.col("rows") for n in encodings]
     checked = fail_if(reduce(lambda a, b: a | b, sizes), F.arrays_zip(*[F.col(f"`{n}`") for n in encodings]), "count-mismatch")
     out = values.select(*keep, F.inline(checked))

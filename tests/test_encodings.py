@@ -285,3 +285,30 @@ def test_ingress_report_tells_what_was_made(spark, tmp_path):
     assert {c: r.status for c, r in rows.items()} == {"x": "encoded", "s": "encoded", "m": "skipped"}
     assert rows["x"].rows == 2 and rows["m"].bytes == 0 and "map<int,int>" in rows["m"].detail
     assert rows["x"].bytes == 2 * 4 + 2 and rows["x"].identity.startswith("blake3:") and rows["m"].identity is None
+
+
+def _worker_peak_mb():
+    """The most memory that any Python worker of this process has had."""
+    import psutil
+
+    peaks = [0.0]
+    for p in psutil.Process().children(recursive=True):
+        try:
+            status = dict(line.split(":", 1) for line in open(f"/proc/{p.pid}/status"))
+        except OSError:
+            continue
+        if "python" in p.name() and "VmHWM" in status:
+            peaks.append(int(status["VmHWM"].split()[0]) / 1024)
+    return max(peaks)
+
+
+def test_a_worker_decodes_a_block_at_a_time(spark):
+    """100 blocks of 512 Ki rows are one Arrow batch of 13 MB and 210 MB of values."""
+    n = 1 << 19
+    blocks = spark.range(100, numPartitions=1).selectExpr(f"{n} AS rows", f"named_struct('count', {n}, 'words', array_repeat(0L, {n // 32}), 'validity', cast(null as array<boolean>)) AS x")
+    before = _worker_peak_mb()
+    rows = decode_table(blocks, {"x": BitPack("int32", 1)}).agg(F.count(F.lit(1)), F.sum("x")).first()
+    assert tuple(rows) == (100 * n, 0)
+    assert _worker_peak_mb() < max(before, 250)
+    plan = catalog.QUERIES["enc_dict_nullable"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
