@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -93,11 +94,14 @@ def pack_column(name: str, kind: str, nullable: bool, column: pa.Array) -> dict[
     return out
 
 
-def pack_table(df: DataFrame, program: ir.Program, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Blocks (part, seq, the part's rows before, rows, and the program's slices) of a table, in one narrow Arrow stage."""
+def pack_table(df: DataFrame, program: ir.Program, rows: int = BLOCK_ROWS, *, bounds: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks (part, seq, the part's rows before, rows, and the program's slices) of a table, in one narrow Arrow stage, with
+    ``x#min`` and ``x#max`` of the integer columns in ``bounds``."""
     slices = list(program.slices())
     outputs = [(ir.column_name(b.id), b.type, b.nullable) for b in program.builders()]
-    target = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("part_row", pa.int64()), ("rows", pa.int32()), *((s, pa.binary()) for s in slices)])
+    places = [[n for n, _, _ in outputs].index(c) for c in bounds]
+    ends = [f"{c}#{m}" for c in bounds for m in ("min", "max")]
+    target = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("part_row", pa.int64()), ("rows", pa.int32()), *((s, pa.binary()) for s in slices), *((e, pa.int64()) for e in ends)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -107,8 +111,9 @@ def pack_table(df: DataFrame, program: ir.Program, rows: int = BLOCK_ROWS) -> Da
             for at in range(0, batch.num_rows, rows):
                 piece = batch.slice(at, rows)
                 packed = {k: v for j, o in enumerate(outputs) for k, v in pack_column(*o, piece.column(j)).items()}
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([done], pa.int64()), pa.array([piece.num_rows], pa.int32()), *(pa.array([packed[s]], pa.binary()) for s in slices)], schema=target)
+                found = [x for j in places for x in pa.compute.min_max(piece.column(j)).as_py().values()]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([done], pa.int64()), pa.array([piece.num_rows], pa.int32()), *(pa.array([packed[s]], pa.binary()) for s in slices), *(pa.array([x], pa.int64()) for x in found)], schema=target)
                 seq, done = seq + 1, done + piece.num_rows
 
-    fields = ", ".join(f"`{s}` binary" for s in slices)
+    fields = ", ".join([*(f"`{s}` binary" for s in slices), *(f"`{e}` bigint" for e in ends)])
     return df.select(*[f"`{n}`" for n, _, _ in outputs]).mapInArrow(run, f"part int, seq int, part_row bigint, rows int, {fields}")

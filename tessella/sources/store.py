@@ -16,11 +16,8 @@ Paths go through Spark's readers and writers only, so any store that Spark can o
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,29 +36,9 @@ def _hash(part: str) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.col(f"`{part}`"), 256))
 
 
-def _described(blocks: DataFrame, program: ir.Program) -> DataFrame:
-    """Blocks with ``x#min``, ``x#max`` of integer columns and ``x#hash`` of every slice."""
-    slices, stats = list(program.slices()), _stats(program)
-    kinds = {ir.column_name(b.id): b.type for b in program.builders()}
-    extra = [f"{c}#{m}" for c in stats for m in ("min", "max")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: dict[str, list] = {name: [] for name in extra}
-            for c in stats:
-                valid = batch.schema.get_field_index(f"{c}#valid")
-                for k in range(batch.num_rows):
-                    values = np.frombuffer(batch.column(batch.schema.get_field_index(c))[k].as_buffer(), dtype="<i4" if kinds[c] == "int32" else "<i8")
-                    if valid >= 0:
-                        values = values[np.frombuffer(batch.column(valid)[k].as_buffer(), dtype=bool)]
-                    columns[f"{c}#min"].append(int(values.min()) if len(values) else None)
-                    columns[f"{c}#max"].append(int(values.max()) if len(values) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(columns[name], pa.int64()) for name in extra)], names=[*batch.schema.names, *extra])
-
-    if stats:
-        base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema.fields)
-        blocks = blocks.mapInArrow(run, ", ".join([base, *(f"`{name}` bigint" for name in extra)]))
-    return blocks.withColumns({f"{s}#hash": _hash(s) for s in slices})
+def described(df: DataFrame, program: ir.Program, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Blocks of a table with ``x#min``, ``x#max`` of integer columns, taken as a block is packed, and ``x#hash`` of every slice."""
+    return pack_table(df, program, rows, bounds=tuple(_stats(program))).withColumns({f"{s}#hash": _hash(s) for s in program.slices()})
 
 
 def _put_text(spark: SparkSession, path: str, text: str) -> None:
@@ -77,7 +54,7 @@ def write_encoded(df: DataFrame, path: str, *, rows: int = BLOCK_ROWS, required:
     verify.admit(made.program)
     if order_by:
         df = df.repartitionByRange(F.col(f"`{order_by}`")).sortWithinPartitions(F.col(f"`{order_by}`"))
-    _described(pack_table(df, made.program, rows), made.program).write.mode("overwrite").parquet(f"{path}/blocks")
+    described(df, made.program, rows).write.mode("overwrite").parquet(f"{path}/blocks")
     parts = df.sparkSession.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("rows").cast("bigint").alias("rows"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     parts.withColumn("first_row", F.coalesce(F.sum("rows").over(before), F.lit(0))).coalesce(1).write.mode("overwrite").parquet(f"{path}/parts")

@@ -312,3 +312,14 @@ def test_a_worker_decodes_a_block_at_a_time(spark):
     assert _worker_peak_mb() < max(before, 250)
     plan = catalog.QUERIES["enc_dict_nullable"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_bounds_of_blocks_are_taken_as_they_are_packed(spark):
+    """Blocks don't go to Python a second time, in batches as large as Spark makes them."""
+    df = spark.createDataFrame([(None if i % 3 == 0 or i >= 90 else i - 40, -i, float(i)) for i in range(99)], "a int, b bigint, c double").coalesce(1)
+    blocks = store.described(df, generate(df.schema, 10, required=("b",)).program, 10)
+    assert blocks._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = [tuple(r) for r in blocks.orderBy("seq").select("a#min", "a#max", "b#min", "b#max").collect()]
+    kept = [[i - 40 for i in range(at, min(at + 10, 90)) if i % 3] for at in range(0, 99, 10)]
+    assert got == [(min(x, default=None), max(x, default=None), -min(at + 9, 98), -at) for x, at in zip(kept, range(0, 99, 10), strict=True)]
+    assert "c#min" not in blocks.columns
